@@ -6,6 +6,7 @@ from treeledger.functions.paths import resolve_sql
 from treeledger.llm.frequent import p3_found, p3_top
 from treeledger.llm.leakage import p7_found, p7_items
 from treeledger.llm.parsing import p4_errors, p4_found, p4_rates
+from treeledger.llm.sentences import p8_found, p8_lengths
 from treeledger.llm.tokens import p6_ids, p6_roundtrip
 from treeledger.llm.topn import p2_found
 
@@ -22,6 +23,7 @@ c AS (SELECT field_name, item_value, count(*) AS n_events, CAST(sum(count(*)) OV
 LLM_QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p3_top": p3_top, "p4_found": p4_found, "p4_errors": p4_errors, "p4_rates": p4_rates,
     "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_items": p7_items,
+    "p8_found": p8_found, "p8_lengths": p8_lengths,
 }
 
 LLM_ORACLES = {
