@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from treeledger.plans.problem_sql import PROBLEM_SQL
 from treeledger.plans.problems import PROBLEMS
+from treeledger.plans.queries import CATALOGUE
+from treeledger.plans.query_sql import CATALOGUE_SQL
 
-QUERIES = {**PROBLEMS}
-ORACLES = {**PROBLEM_SQL}
-flagship = PROBLEMS["p1_rates"]
+QUERIES = {**PROBLEMS, **CATALOGUE}
+ORACLES = {**PROBLEM_SQL, **CATALOGUE_SQL}
+flagship = CATALOGUE["token_report"]
