@@ -54,21 +54,24 @@ def node_centrality(edges: DataFrame) -> DataFrame:
 
 
 class Walk:
-    """Edges prepared for hops from their ``src`` side."""
+    """Edges prepared for hops from their ``src`` side: written once, those of hot nodes salted."""
 
     def __init__(self, edges: DataFrame):
-        edges = edges.select("src", "dst")
-        counts = edges.groupBy("src").agg(F.count("*").alias("n"))
+        base = cut_lineage(edges.select("src", "dst"))
+        counts = base.groupBy("src").agg(F.count("*").alias("n"))
         total = counts.agg(F.sum("n")).first()[0] or 0
-        self.hot = F.broadcast(counts.where(F.col("n") > max(1000, int(total * HOT_SHARE))).select("src", F.lit(True).alias("hot")))  # at most 1 / HOT_SHARE rows
-        marked = edges.join(self.hot, "src", "left")
-        self.edges = cut_lineage(marked.select("src", "dst", salted(F.coalesce("hot", F.lit(False)), F.hash("dst"), SALTS).alias("salt")))
+        self.hot = [r["src"] for r in counts.where(F.col("n") > max(1000, int(total * HOT_SHARE))).collect()]  # at most 1 / HOT_SHARE names
+        self.edges = base.select("src", "dst", salted(self._is_hot(), F.hash("dst"), SALTS).alias("salt")) if self.hot else base
+
+    def _is_hot(self) -> Column:
+        return F.coalesce(F.col("src").isin(self.hot), F.lit(False))
 
     def step(self, frontier: DataFrame) -> DataFrame:
         """Distinct nodes one hop behind the nodes of ``frontier`` (column node)."""
-        spread = frontier.select(F.col("node").alias("src")).join(self.hot, "src", "left")
-        spread = spread.select("src", F.explode(all_salts(F.coalesce("hot", F.lit(False)), SALTS)).alias("salt"))
-        return self.edges.join(spread, ["src", "salt"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        spread = frontier.select(F.col("node").alias("src"))
+        if self.hot:
+            spread = spread.select("src", F.explode(all_salts(self._is_hot(), SALTS)).alias("salt"))
+        return self.edges.join(spread, spread.columns, "left_semi").select(F.col("dst").alias("node")).distinct()
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -78,7 +81,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     nothing new is found. Cycles and edges from a node to itself do no harm.
     """
     walk = Walk(edges)
-    starts = starts.select("node").where(F.col("node").isNotNull()).distinct()
+    starts = cut_lineage(starts.select("node").where(F.col("node").isNotNull()).distinct())
     visited = starts.select("node", F.lit(0).alias("depth"))
     frontier, depth = starts, 0
     while max_depth is None or depth < max(1, max_depth):
@@ -98,7 +101,7 @@ def proximity(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     Nodes further off have no row; an anchor has one when another hop leads to it.
     """
     both = Walk(undirected(edges))
-    anchors = anchors.select("node").where(F.col("node").isNotNull()).distinct()
+    anchors = cut_lineage(anchors.select("node").where(F.col("node").isNotNull()).distinct())
     one = cut_lineage(both.step(anchors))
     two = both.step(one).join(anchors, "node", "left_anti")
     three = reach(edges, anchors, 3).select("node")

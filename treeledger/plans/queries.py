@@ -82,7 +82,8 @@ def changes_since(s, d):
 
 
 def duplicate_contents(s, d):
-    return changes.duplicate_contents(_last_delivery(s, d))
+    texts = _sources(s, d).where(F.col("contents").isNotNull())
+    return changes.duplicate_contents(texts.select("path", F.sha2("contents", 256).alias("hash")))
 
 
 def source_tokens(s, d):

@@ -124,7 +124,7 @@ SELECT path, status, CASE WHEN status = 'hit' THEN CAST(floor((t - last_checked)
     "entry_points": f"WITH {F} SELECT path, summary.purpose AS purpose FROM f WHERE starts_with(summary.purpose, 'entry point')",
     "change_detection": f"WITH {F}, {LAST}, {COMPARED} SELECT path, status FROM both_",
     "changes_since": f"WITH {F}, {LAST}, {NOW}, {COMPARED} SELECT path, status FROM both_, now WHERE status NOT IN ('changed', 'deleted') OR last_checked >= t - {20 * DAY}",
-    "duplicate_contents": f"WITH {LAST} SELECT hash, count(*) AS n_paths FROM lastd WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1",
+    "duplicate_contents": f"WITH {SRC} SELECT sha256(contents) AS hash, count(*) AS n_paths FROM src WHERE contents IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "source_tokens": f"WITH {SRC} SELECT path, sha256(contents) AS hash, CAST(ceil(length(contents) / 4) AS BIGINT) AS tokens, CAST(CASE WHEN contents = '' THEN 0 ELSE len(string_split(contents, chr(10))) END AS INTEGER) AS lines FROM src WHERE contents IS NOT NULL",
     "upsert_files": f"""WITH {F}, {LAST} SELECT coalesce(n.path, f.path) AS path, CASE WHEN n.path IS NULL THEN f.hash ELSE n.hash END AS hash, CASE WHEN n.path IS NULL THEN f.last_checked ELSE 0 END AS last_checked,
   CASE WHEN n.path IS NULL THEN f.summary IS NOT NULL ELSE coalesce(f.hash = n.hash, false) AND f.summary IS NOT NULL END AS has_summary FROM f FULL JOIN lastd n ON f.path = n.path""",
