@@ -12,7 +12,7 @@ from treeledger.functions.paths import last_dot, normal_hash, posix, resolve_pat
 DAY_MS = 86_400_000
 
 # Folders never scanned, binary files, files that can hold imports.
-SKIPPED_SEGMENTS = (".git", ".repo-memory", "node_modules")
+SKIPPED_SEGMENTS = (".git", ".treeledger", "node_modules")
 BINARY_EXTENSIONS = (
     ".png", ".jpg", ".jpeg", ".gif", ".ico", ".bmp", ".webp", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".pdf", ".zip", ".tar", ".gz", ".bz2", ".7z",
     ".exe", ".dll", ".so", ".dylib", ".mp3", ".mp4", ".wav", ".avi", ".mov",

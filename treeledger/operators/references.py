@@ -66,9 +66,9 @@ def match_runs(references: DataFrame, runs: DataFrame, number: str = "number", b
     """``references`` with ``orphan``: whether its number lies in no run.
 
     Each number is matched as-of to the preceding run start of its block. A null number is
-    no reference and is left out. The columns ``block``, ``run_end`` and ``orphan`` are the operator's own.
+    no reference and is left out; repeated ones keep all their rows. A column ``orphan`` is replaced.
     """
-    extra = [c for c in references.columns if c != number]
+    extra = [c for c in references.columns if c not in (number, "orphan")]
     points = references.where(F.col(number).isNotNull()).select(
         F.floor(F.col(number) / F.lit(block)).alias("block"), F.col(number).alias("at"), F.lit(1).alias("is_ref"), F.lit(None).cast("bigint").alias("run_end"), F.struct(number, *extra).alias("row")
     )

@@ -10,6 +10,7 @@ from treeledger.functions.text import file_type_relevance, recency, token_estima
 from treeledger.operators import catalogue as cat
 from treeledger.operators import changes, extract, graph, lifecycle, maintenance, memory, projects, ranking, report, search
 from treeledger.session import read_table
+from treeledger.streaming.events import stream_type_counts
 
 DAY_MS = 86_400_000
 
@@ -342,6 +343,6 @@ CATALOGUE = {
         report_by_type, report_totals, report_last_hours, report_top_files, report_file_use, report_missed, report_sessions, age_histogram, token_report,
         language_breakdown, folder_counts, folder_counts_shallow, import_edges, node_degrees, most_connected, node_centrality, symbol_edges, symbol_usage,
         reach_two, reach_all, dependents_all, proximity, related_files, rank_composite, rank_signals, search_purpose, search_scores,
-        frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, import_refs, diff_classes, summary_savings,
+        frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, import_refs, diff_classes, summary_savings, stream_type_counts,
     )
 }

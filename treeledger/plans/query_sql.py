@@ -203,5 +203,6 @@ SELECT project, count(*) AS n_files, CAST(sum(greatest(0, CAST(ceil(length(conte
 p AS (SELECT path, mtime, string_split(contents, chr(10)) AS lines, string_split(lag(contents) OVER (PARTITION BY path ORDER BY mtime, contents), chr(10)) AS old FROM v),
 d AS (SELECT path, mtime, list_distinct(list_filter(lines, lambda x: NOT list_contains(old, x))) AS a, list_distinct(list_filter(old, lambda x: NOT list_contains(lines, x))) AS r FROM p WHERE old IS NOT NULL)
 SELECT path, mtime, CAST(len(a) AS INTEGER) AS n_added, CAST(len(r) AS INTEGER) AS n_removed, len(list_filter(a || r, lambda x: regexp_matches(x, '{STRUCTURAL}'))) > 0 AS structural, len(a) <> len(r) AS lines_changed FROM d""",
+    "stream_type_counts": "SELECT lower(regexp_replace(event_type, '^\\s+|\\s+$', '', 'g')) AS event_type, count(*) AS n_events FROM telemetry GROUP BY 1",
     "invalidated": f"WITH {F} SELECT CAST(0 AS BIGINT) AS timestamp, 'invalidation' AS event_type, path AS file_path FROM f WHERE contains(path, '/tests/')",
 }
