@@ -60,7 +60,7 @@ switchstmt = 'switch' '(' expr ')' '{' ( ( 'case' expr | 'default' ) ':' stmt* )
 trystmt = 'try' block ( 'catch' ( '(' target {{ annotation? }} ')' )? block ( 'finally' block )? | 'finally' block ) ;
 vardecl = ( 'var' | 'let' ) ( vardef % ',' ) | 'const' ( constdef % ',' ) | 'await'? 'using' NONL ( constdef % ',' ) ;
 vardef = NAME {{ '!'? annotation? }} ( '=' assign )? | pattern {{ annotation? }} '=' assign ;
-constdef = target {{ annotation? }} '=' assign ;
+constdef = target {{ annotation? }} '=' assign {{ | NAME annotation }} ;
 target = NAME | pattern ;
 pattern = '{' ( ( patternprop % ',' ( ',' restprop )? ','? ) | restprop )? '}' | '[' ','* ( patternelem ( ','+ patternelem )* ','* )? ']' ;
 restprop = '...' NAME ;
@@ -139,12 +139,14 @@ COMPARE := '<' '>' '==' '>=' '<=' '!=' 'in' 'is' ;
 file = stmt** EOF ;
 stmt = compound | simples ;
 simples = simple ( ';' simple )* ';'? NEWLINE ;
-simple = assignment | exprs | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' ( expr ( 'from' expr )? )?
+simple = assignment | value | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' ( expr ( 'from' expr )? )?
   | ( 'global' | 'nonlocal' ) ( NAME % ',' ) | 'del' ( target % ',' ) ','? | 'assert' expr ( ',' expr )? | imports
   | 'type' NAME typeparams? '=' expr ;
 assignment = NAME ':' expr ( '=' value )? | primary ':' expr ( '=' value )? | '(' primary ')' ':' expr ( '=' value )?
   | ( targets '=' )+ value !'=' | target AUGMENT value ;
-value = yield | exprs ;
+value = yield | stars ;
+stars = star ( ',' star )* ','? ;
+star = '*' bits | expr !':=' ;
 targets = startarget ( ',' startarget )* ','? ;
 startarget = '*'? target ;
 target = primary ;
@@ -165,7 +167,7 @@ lambda = 'lambda' ( lparam ( ',' lparam )* ','? )? ':' expr ;
 lparam = '/' | '**' NAME | '*' NAME? | NAME ( '=' expr )? ;
 if = 'if' named ':' block ( 'elif' named ':' block )* ( 'else' ':' block )? ;
 while = 'while' named ':' block ( 'else' ':' block )? ;
-for = 'for' targets 'in' exprs ':' block ( 'else' ':' block )? ;
+for = 'for' targets 'in' stars ':' block ( 'else' ':' block )? ;
 with = 'with' ( '(' withitem % ',' ','? ')' ':' | withitem % ',' ':' ) block ;
 withitem = expr ( 'as' startarget )? ;
 try = 'try' ':' block ( ( 'except' '*'? ( expr ( 'as' NAME )? )? ':' block )+ ( 'else' ':' block )? ( 'finally' ':' block )? | 'finally' ':' block ) ;
@@ -191,7 +193,7 @@ primary = 'await'? atom ( '.' NAME | '(' args? ')' | '[' slices ']' )* ;
 atom = NAME | 'None' | 'True' | 'False' | NUM | string+ | '...' | '(' ( yield | comprehended | exprs )? ')' | '[' ( comprehended | exprs )? ']' | '{' ( dict | comprehended | exprs )? '}' ;
 string = STR | FOPEN FTEXT? ( field FTEXT? )* FCLOSE ;
 field = '{' value '='? ( CONV )? ( ':' ( FTEXT | field )* )? '}' ;
-yield = 'yield' ( 'from' expr | exprs )? ;
+yield = 'yield' ( 'from' expr | stars )? ;
 comprehended = ( named | '*' bits ) comp+ ;
 comp = 'async'? 'for' targets 'in' or ( 'if' ( lambda | or ) )* ;
 dict = ( pair comp+ | pair ( ',' pair )* ','? ) ;
@@ -479,7 +481,7 @@ body = block | stmt | ';' ;
 assignment = postfix ASSIGN expr ;
 
 expr = unary ( operator unary | NONL ( 'as' | 'as?' | 'is' | '!is' ) type | ( 'as' | 'as?' ) type )* ;
-operator = LOWBIN | NONL ( SAMELINE | '>' | 'in' | '!in' | NAME !( '->' | '=' | ':' ) ) ;
+operator = LOWBIN | NONL ( SAMELINE | '>' | 'in' | '!in' | !'where' NAME !( '->' | '=' | ':' ) ) ;
 unary = ( '+' | '-' | '!' | '!!' | '++' | '--' | annotation | NAME '@' )* postfix ;
 postfix = primary suffix* ;
 suffix = '.' ( NAME | 'class' | '(' expr ')' ) | '?.' NAME | '::' ( NAME | 'class' ) | NONL ( '++' | '--' | '!!' | '!' '!' | args trailing? | trailing | '[' ( expr % ',' ','? ) ']' | typeargs ( args trailing? | trailing ) ) | '?' '::' ( NAME | 'class' ) ;
