@@ -51,3 +51,17 @@ def test_diff_classes(spark):
     data = [("a", "x = 1\ny", 1), ("a", "x = 2\ny", 2), ("a", "x = 2\ny\nexport const z = 1", 3), ("a", None, 4), (None, "x", 1), ("b", "q", 1), ("b", "q", 1)]
     df = spark.createDataFrame(data, "path string, contents string, mtime bigint")
     assert rows(extract.diff_classes(df)) == [("a", 2, 1, 1, False, False), ("a", 3, 1, 0, True, True)]
+
+
+def test_import_refs_of_other_languages(spark):
+    go = 'package a\nimport x "y/z"\nimport (\n\t"fmt"\n\tq "r"\n)\n// import "no"\nvar s = `import "no"`\n'
+    rust = "use std::collections::{HashMap, HashSet};\nuse crate::a::b;\nuse super::c;\nmod utils;\n// use no;\n"
+    kotlin = "package p\nimport a.b.C\nimport a.d.*\nimport a.E as F\n/* import no */\n"
+    java = "package p;\nimport a.b.C;\nimport static a.b.D.m;\nimport a.e.*;\n"
+    df = spark.createDataFrame([("m.go", go), ("src/x/l.rs", rust), ("k.kt", kotlin), ("J.java", java)], "path string, contents string")
+    known = spark.createDataFrame([("src/a/b.rs",), ("src/c.rs",), ("src/x/utils/mod.rs",)], "path string")
+    got = {(r["source"], r["module"]): (r["target"], r["specifiers"]) for r in extract.resolve_refs(extract.import_refs(df), known).collect()}
+    assert {k: v[1] for k, v in got.items() if k[0] == "m.go"} == {("m.go", "y/z"): ["x"], ("m.go", "fmt"): [], ("m.go", "r"): ["q"]}
+    assert {k[1]: v for k, v in got.items() if k[0] == "src/x/l.rs"} == {"std/collections": ("std/collections", ["HashMap", "HashSet"]), "crate/a/b": ("src/a/b.rs", []), "super/c": ("src/c.rs", []), "./utils": ("src/x/utils/mod.rs", [])}
+    assert {k[1]: v[1] for k, v in got.items() if k[0] == "k.kt"} == {"a/b/C": [], "a/d": ["*"], "a/E": ["F"]}
+    assert {k[1]: v[1] for k, v in got.items() if k[0] == "J.java"} == {"a/b/C": [], "a/b/D": ["m"], "a/e": ["*"]}

@@ -171,6 +171,33 @@ PYTHON_PASSES = (
 )
 
 
+GO_PASSES = ((r"""\bimport\s+(?:(\w+)\s+)?"([^"]+)\"""", 1, 2, "static"),)
+GO_GROUP, GO_GROUPED = r"\bimport\s*\(([^)]*)\)", ((r"""(?:(\w+)[ \t]+)?"([^"]+)\"""", 1, 2, "static"),)
+RUST_PASSES = ((r"\b(?:pub\s+)?use\s+([\w:]+)::\{([^}]*)\}\s*;", 2, 1, "static"), (r"\b(?:pub\s+)?use\s+([\w:]+)\s*;", 0, 1, "static"), (r"\bmod\s+(\w+)\s*;", 0, 1, "static"))
+KOTLIN_PASSES = (
+    (r"(?m)^[ \t]*import\s+([\w.]+)\.\*[ \t]*;?[ \t\r]*$", -1, 1, "static"),
+    (r"(?m)^[ \t]*import\s+([\w.]+)\s+as\s+(\w+)[ \t]*;?[ \t\r]*$", 2, 1, "static"),
+    (r"(?m)^[ \t]*import\s+([\w.]*\w)[ \t]*;?[ \t\r]*$", 0, 1, "static"),
+)
+JAVA_PASSES = (
+    (r"(?m)^[ \t]*import\s+(?:static\s+)?([\w.]+)\.\*\s*;", -1, 1, "static"),
+    (r"(?m)^[ \t]*import\s+static\s+([\w.]+)\.(\w+)\s*;", 2, 1, "static"),
+    (r"(?m)^[ \t]*import\s+(?!static\b)([\w.]*\w)\s*;", 0, 1, "static"),
+)
+
+
+def import_family(path: Column) -> Column:
+    """As ``family``, with Kotlin and Java."""
+    ext = typed_extension(path)
+    return F.coalesce(family(path), F.when(ext.isin(".kt", ".kts"), "kotlin").when(ext == ".java", "java"))
+
+
+def _without(text: Column, *patterns: str) -> Column:
+    for p in patterns:
+        text = F.regexp_replace(text, p, "")
+    return text
+
+
 def _pass(text: Column, number: int, pattern: str, names: int, module: int, kind: str) -> Column:
     """References of one pass, as (pass, module, names, import_type)."""
     modules = F.regexp_extract_all(text, F.lit(pattern), F.lit(module))
@@ -190,18 +217,37 @@ def _refs(text: Column, passes) -> Column:
 
 
 def import_refs(files: DataFrame) -> DataFrame:
-    """(source, ordinal, module, specifiers, import_type) read from scripts and Python files.
+    """(source, ordinal, module, specifiers, import_type) read from sources of six languages.
 
-    Aliases keep the original name. ``ordinal`` follows the passes, so of equal references
-    the one with the greatest counts. Null contents give none.
+    Aliases keep the original name, but for Go and Kotlin, where the alias is told; ``*``
+    stands for all names. Comments and long strings are left out first, but for scripts.
+    Rust, Kotlin and Java modules are told as paths. ``ordinal`` follows the passes, so of
+    equal references the one with the greatest counts. Null contents give none.
     """
-    f, t = family(F.col("path")), F.col("contents")
-    bare = F.regexp_replace(t, r"""(?s)'''.*?'''|\"\"\".*?\"\"\"|(?m:#[^\n]*)""", "")
-    refs = F.when(f == "script", _refs(t, SCRIPT_PASSES)).when(f == "python", _refs(bare, PYTHON_PASSES))
+    f, t = import_family(F.col("path")), F.col("contents")
+    plain = _without(t, r"/\*[\s\S]*?\*/", r"//[^\n]*")
+    go, rust = _without(plain, r"`[^`]*`"), _without(plain, r'r#+"[\s\S]*?"#+')
+    grouped = F.array_join(F.regexp_extract_all(go, F.lit(GO_GROUP), F.lit(1)), "\n")
+    found = {
+        "script": _refs(t, SCRIPT_PASSES),
+        "python": _refs(_without(t, r"'''[\s\S]*?'''", r'"""[\s\S]*?"""', r"#[^\n]*"), PYTHON_PASSES),
+        "go": F.concat(_refs(go, GO_PASSES), _refs(grouped, GO_GROUPED)),
+        "rust": _refs(rust, RUST_PASSES),
+        "kotlin": _refs(_without(plain, r'"""[\s\S]*?"""'), KOTLIN_PASSES),
+        "java": _refs(_without(plain, r'"""[\s\S]*?"""'), JAVA_PASSES),
+    }
+    refs = reduce(lambda out, kv: F.when(f == kv[0], kv[1]).otherwise(out), found.items(), F.lit(None))
     rows = files.where(t.isNotNull()).select(F.col("path").alias("source"), f.alias("family"), F.posexplode(refs).alias("ordinal", "r"))
-    # `import a, b` of Python names several modules at once.
+    # `import a, b` of Python names several modules at once; other languages spell paths in their own way.
     several = (F.col("family") == "python") & (F.col("r.pass") == 0)
-    modules = F.when(several, F.transform(F.split("r.module", ","), lambda s: F.regexp_replace(F.trim(s), r"\s+as\s+.*$", ""))).otherwise(F.array("r.module"))
+    own = F.col("r.module")
+    spelled = (
+        F.when((F.col("family") == "rust") & (F.col("r.pass") == 2), F.concat(F.lit("./"), own))
+        .when(F.col("family") == "rust", F.regexp_replace(own, "::", "/"))
+        .when(F.col("family").isin("kotlin", "java"), F.translate(own, ".", "/"))
+        .otherwise(own)
+    )
+    modules = F.when(several, F.transform(F.split(own, ","), lambda s: F.regexp_replace(F.trim(s), r"\s+as\s+.*$", ""))).otherwise(F.array(spelled))
     names = F.filter(F.transform(F.split("r.names", ","), lambda s: F.when(s.startswith("* as "), s).otherwise(F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), r" as .*$", ""))), lambda s: s != "")
     return rows.select("source", "ordinal", F.explode(modules).alias("module"), names.alias("specifiers"), F.col("r.import_type").alias("import_type"))
 
@@ -211,30 +257,45 @@ PROBES = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 SWAPS = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
 
 
-def candidates(source: Column, module: Column) -> Column:
-    """Paths that a reference may mean, best first; none for modules that are no paths."""
+def candidates(source: Column, module: Column, root: Column) -> Column:
+    """Paths that a reference may mean, best first; none for modules that are no paths.
+
+    ``root`` is the folder of the project, '' where paths start there.
+    """
+    none = F.array().cast("array<string>")
     joined = resolve_segments(F.concat(dirname(source), F.lit("/"), module))
     ext = extname(joined)
     stem = F.regexp_replace(joined, r"\.[^./]*$", "")
-    swapped = reduce(lambda out, kv: out.when(ext == kv[0], F.array(*[F.concat(stem, F.lit(x)) for x in kv[1]])), SWAPS.items(), F.when(F.lit(False), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    added = F.when(ext == "", F.array(*[F.concat(joined, F.lit(x)) for x in PROBES])).otherwise(F.array().cast("array<string>"))
+    swapped = reduce(lambda out, kv: F.when(ext == kv[0], F.array(*[F.concat(stem, F.lit(x)) for x in kv[1]])).otherwise(out), SWAPS.items(), none)
+    added = F.when(ext == "", F.array(*[F.concat(joined, F.lit(x)) for x in PROBES])).otherwise(none)
     index = F.array(*[F.concat(joined, F.lit("/index" + x)) for x in PROBES])
     script = F.when(module.startswith("."), F.concat(F.array(joined), swapped, added, index))
+
     dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
     below = F.translate(F.regexp_replace(module, r"^\.+", ""), ".", "/")
     up = F.concat(dirname(source), F.when(dots > 1, F.repeat(F.lit("/.."), dots - 1)).otherwise(""))
-    python_base = resolve_segments(F.when(dots > 0, F.concat(up, F.lit("/"), below)).otherwise(F.concat(F.substring_index(source, "/", 1), F.lit("/"), below)))
+    python_base = resolve_segments(F.concat(F.when(dots > 0, up).otherwise(root), F.lit("/"), below))
     python = F.array(python_base, F.concat(python_base, F.lit(".py")), F.concat(python_base, F.lit("/__init__.py")))
-    return F.coalesce(F.when(family(source) == "python", python).otherwise(script), F.array().cast("array<string>"))
+
+    def rust_at(base: Column) -> Column:
+        base = resolve_segments(base)
+        return F.array(base, F.concat(base, F.lit(".rs")), F.concat(base, F.lit("/mod.rs")))
+
+    rest = F.regexp_replace(module, "^crate/", "")
+    beside = F.concat(dirname(source), F.lit("/"), F.regexp_replace(F.regexp_replace(module, "^self/", ""), r"\bsuper/", "../"))
+    rust = F.when(module.startswith("crate/"), F.concat(rust_at(F.concat(root, F.lit("/"), rest)), rust_at(F.concat(root, F.lit("/src/"), rest)))).when(module.rlike(r"^(?:super|self|\.)/"), rust_at(beside))
+    f = import_family(source)
+    return F.coalesce(F.when(f == "script", script).when(f == "python", python).when(f == "rust", rust), none)
 
 
-def resolve_refs(refs: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_refs(refs: DataFrame, files: DataFrame, root: Column | None = None) -> DataFrame:
     """``refs`` with target and external: the first candidate that is a file, else the module as written.
 
-    Candidates are joined with the files, so no file system is asked.
+    Candidates are joined with the files, so no file system is asked. ``root`` is the folder
+    of each reference's project; without it paths start there.
     """
     keyed = refs.withColumn("ref", F.struct("source", "ordinal", "module"))
-    tried = keyed.select("ref", F.posexplode(candidates(F.col("source"), F.col("module"))).alias("place", "path"))
+    tried = keyed.select("ref", F.posexplode(candidates(F.col("source"), F.col("module"), F.lit("") if root is None else root)).alias("place", "path"))
     found = tried.join(files.select("path").distinct(), "path").groupBy("ref").agg(F.min_by("path", "place").alias("target"))
     return keyed.join(found, "ref", "left").select("source", "ordinal", "module", F.coalesce("target", "module").alias("target"), "specifiers", "import_type", F.col("target").isNull().alias("external"))
 

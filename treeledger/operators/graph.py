@@ -49,8 +49,8 @@ def most_connected(edges: DataFrame, limit: int = 10) -> DataFrame:
 def node_centrality(edges: DataFrame) -> DataFrame:
     """(node, degree, centrality): the logarithm of the degree against the highest one."""
     d = degrees(edges)
-    most = d.agg(F.max("degree").alias("most"))  # one row
-    return d.crossJoin(F.broadcast(most)).select("node", "degree", centrality(F.col("degree"), F.col("most")).alias("centrality"))
+    most = d.agg(F.max("degree")).first()[0] or 0
+    return d.select("node", "degree", centrality(F.col("degree"), F.lit(most)).alias("centrality"))
 
 
 class Walk:

@@ -54,4 +54,5 @@ def sessions(tasks: DataFrame) -> DataFrame:
 
 def checked_before(files: DataFrame, session: DataFrame) -> DataFrame:
     """Files last checked before the one session of ``session`` (started_at) began; no session, no files."""
-    return files.crossJoin(F.broadcast(session.select("started_at").limit(1))).where(F.col("last_checked") < F.col("started_at")).drop("started_at")
+    started = session.select("started_at").first()
+    return files.where(F.lit(False) if started is None else F.col("last_checked") < F.lit(started[0]))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from treeledger.functions.paths import resolve_path
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+# The known event types.
+KINDS = ("cache_hit", "cache_miss", "invalidation", "force_reread", "summary_served", "search_miss")
 #: Event types whose tokens count as saved.
 SAVING = ("cache_hit", "summary_served")
 AGES = ("<1 day", "1-7 days", "7-30 days", ">30 days")
@@ -78,9 +80,17 @@ def age_histogram(catalogue: DataFrame, now_ms: Column) -> DataFrame:
 
 
 def token_report(telemetry: DataFrame, since_ms: int | None = None) -> DataFrame:
-    """The whole report as one row: totals, counts by type, top files and missed queries."""
+    """The whole report as one row: totals, counts by type, top files and missed queries.
+
+    Types outside of the known ones are counted together as ``other``, so the row stays small.
+    """
     events = since(distinct_events(telemetry), since_ms)
-    kinds = events_by_type(events).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("event_type", F.lit("")), "n_events")))).alias("events_by_type"))
+    one = F.lit(1).alias("one")
+    named = events.withColumn("event_type", F.when(F.col("event_type").isin(*KINDS), F.col("event_type")).otherwise("other"))
+    kinds = events_by_type(named).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n_events")))).alias("events_by_type"))
     files = top_files(events).agg(F.collect_list(F.struct("file_path", "n_events", "tokens")).alias("top_files"))
     missed = missed_queries(events).orderBy(F.col("n_missed").desc(), "query").limit(10).agg(F.collect_list(F.struct("query", "n_missed")).alias("top_missed_queries"))
-    return totals(events).crossJoin(kinds).crossJoin(files).crossJoin(missed)  # each is one row
+    out = totals(events).select("*", one)
+    for part in (kinds, files, missed):  # one row each
+        out = out.join(part.select("*", one), "one")
+    return out.drop("one")

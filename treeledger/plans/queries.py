@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.functions.paths import last_dot, normal_hash, resolve_path
+from treeledger.functions.paths import last_dot, normal_hash, project_of, resolve_path
 from treeledger.functions.text import file_type_relevance, recency, token_estimate
 from treeledger.operators import catalogue as cat
-from treeledger.operators import changes, extract, graph, lifecycle, maintenance, memory, projects, ranking, report, search
+from treeledger.operators import changes, extract, graph, lifecycle, maintenance, memory, outline, projects, ranking, report, search
 from treeledger.session import read_table
 from treeledger.streaming.events import stream_type_counts
 
@@ -314,9 +314,14 @@ def regex_summaries(s, d):
     return done.select("path", "summary.purpose", "summary.lineCount", "summary.confidence", *lists)
 
 
+def source_outlines(s, d):
+    """Purpose line and declared names of every source."""
+    return outline.outlines(_sources(s, d))
+
+
 def import_refs(s, d):
     files = _sources(s, d)
-    refs = extract.resolve_refs(extract.import_refs(files), _files(s, d))
+    refs = extract.resolve_refs(extract.import_refs(files), _files(s, d), project_of(F.col("source")))
     return refs.select("source", "ordinal", "module", "target", "specifiers", "import_type", "external")
 
 
@@ -327,7 +332,6 @@ def diff_classes(s, d):
 
 def summary_savings(s, d):
     """Tokens that serving summaries saves against the texts, per project."""
-    from treeledger.functions.paths import project_of
     from treeledger.functions.text import tokens_saved
 
     both = _sources(s, d).where(F.col("contents").isNotNull())
@@ -343,6 +347,6 @@ CATALOGUE = {
         report_by_type, report_totals, report_last_hours, report_top_files, report_file_use, report_missed, report_sessions, age_histogram, token_report,
         language_breakdown, folder_counts, folder_counts_shallow, import_edges, node_degrees, most_connected, node_centrality, symbol_edges, symbol_usage,
         reach_two, reach_all, dependents_all, proximity, related_files, rank_composite, rank_signals, search_purpose, search_scores,
-        frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, import_refs, diff_classes, summary_savings, stream_type_counts,
+        frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, source_outlines, import_refs, diff_classes, summary_savings, stream_type_counts,
     )
 }
