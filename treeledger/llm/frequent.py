@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import resolve_path
-from treeledger.session import read_table
+from treeledger.session import cut_lineage, read_table
 
 #: Bits of the hash that each round counts. A round's groups number at most 2**12 for each retained prefix.
 PREFIX_BITS = (12, 24)
@@ -27,14 +27,16 @@ def _prefix(bits: int) -> Column:
     return F.shiftrightunsigned(F.col("h"), 64 - bits)
 
 
-def _retained(values: DataFrame, kept: dict[str, list[int]] | None, bits_before: int) -> DataFrame:
-    """Rows below the prefixes kept so far."""
+#: Prefixes up to this number are broadcast; more of them, as when no value stands out, are joined by shuffling.
+BROADCAST_PREFIXES = 10_000
+
+
+def _retained(values: DataFrame, kept: DataFrame | None, bits: int) -> DataFrame:
+    """Rows below the prefixes (field_name, prefix) kept so far."""
     if kept is None:
         return values
-    if not kept:
-        return values.where(F.lit(False))
-    below = [(F.col("field_name") == name) & _prefix(bits_before).isin(list(prefixes)) for name, prefixes in kept.items()]
-    return values.where(_any(below))
+    below = F.broadcast(kept) if kept.count() <= BROADCAST_PREFIXES else kept
+    return values.withColumn("prefix", _prefix(bits)).join(below, ["field_name", "prefix"], "left_semi").drop("prefix")
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -54,7 +56,8 @@ def frequent_values(values: DataFrame, min_share: float | None = None, k: int |
     An empty table gives no rows; a field of few values may give fewer than ``k``.
 
     At most 1 / min_share prefixes (or, by ``k``, those whose count reaches the count of the
-    k-th best value found so far) are kept in a round; only their numbers reach the driver.
+    k-th best value found so far) are kept in a round; only the totals and bounds of the
+    fields reach the driver.
     """
     if min_share is None and k is None:
         raise ValueError("give min_share or k")
@@ -69,9 +72,7 @@ def frequent_values(values: DataFrame, min_share: float | None = None, k: int |
                 if k is not None:
                     floors = _kth_bounds(rows, counts, bits, k, floors)
             reach = _any([(F.col("field_name") == f) & (F.col("n") >= n) for f, n in floors.items()] or [F.lit(False)])
-            kept = {}
-            for r in counts.where(reach).select("field_name", "prefix").collect():
-                kept.setdefault(r["field_name"], []).append(r["prefix"])
+            kept = cut_lineage(counts.where(reach).select("field_name", "prefix"))
         finally:
             counts.unpersist()
         before = bits
@@ -89,9 +90,7 @@ def frequent_values(values: DataFrame, min_share: float | None = None, k: int |
 def _kth_bounds(rows: DataFrame, counts: DataFrame, bits: int, k: int, floors: dict[str, int]) -> dict[str, int]:
     """Lower bound of the k-th best count: the k-th best of the values below the k largest prefixes."""
     best = Window.partitionBy("field_name").orderBy(F.col("n").desc(), F.col("prefix"))
-    probes: dict[str, list[int]] = {}
-    for r in counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).collect():
-        probes.setdefault(r["field_name"], []).append(r["prefix"])
+    probes = cut_lineage(counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("field_name", "prefix"))
     found = _retained(rows, probes, bits).groupBy("field_name", "item_value").agg(F.count("*").alias("n"))
     place = Window.partitionBy("field_name").orderBy(F.col("n").desc())
     bounds = {r["field_name"]: r["n"] for r in found.withColumn("place", F.row_number().over(place)).where(F.col("place") == k).collect()}
