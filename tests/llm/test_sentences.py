@@ -22,6 +22,8 @@ CASES = [
     "从4.7.7开始。|评审者问：“好吗？”|“好吗？”他问道。|日志写着“是。”然后停止。|目录……删除。|真的？！|好。",
     "（これは括弧。）|「準備は？」と聞いた。|キャッシュは……消す。|値は14.5倍。",
     "นี่คือหนึ่ง | เปิดไฟล์ a.rs แล้วดู | ใช้เวลา 3 วินาที",
+    'He came. | Ask first: "Who needs it? When? And wh',
+    "好。|评审者问：“好吗？真的",
     "## Why not? A short answer\n|Text goes\non here. | More:\n|- one. | two\n|* three\n|1. What?! | four\n\n|```py\nx = 1. y\n\n# z\n```\n|> Quoted text\n> goes on. |\n> Next.",
 ]
 

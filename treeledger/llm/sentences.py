@@ -110,13 +110,13 @@ MARK_RULES = (
     Rule(False, ""),
 )
 
-_CANDIDATE = re.compile(
-    rf"""(?P<code>`[^`\n]*`)
+_TOKENS = rf"""(?P<code>`[^`\n]*`)
     |(?P<group>“[^”]*”|„[^“”]*[“”]|«[^«»]*»|「[^」]*」|『[^』]*』|"[^"]*"|(?<!\w)'[^'\s][^']*'(?!\w)|\((?:[^()]|\([^()]*\))*\)|（[^（）]*）)
     |(?P<mark>[{_MARK}]+[{_CLOSE_ONLY}]*)
-    |(?P<thai>(?<=[{_THAI}])[ ]+(?=[{_THAI}]))""",
-    re.X,
-)
+    |(?P<thai>(?<=[{_THAI}])[ ]+(?=[{_THAI}]))"""
+_CANDIDATE = re.compile(_TOKENS, re.X)
+#: In the last block of a text that is cut off, a quotation or bracket may stay open to the end.
+_LAST_CANDIDATE = re.compile(_TOKENS + r"""|(?P<open>“[^”]*\Z|„[^“”]*\Z|«[^«»]*\Z|「[^」]*\Z|（[^（）]*\Z|(?:(?<=\s)|(?<=:)|\A)"(?=\S)[^"]*\Z)""", re.X)
 _GROUP_END = re.compile(rf"[{_MARK}][{_CLOSE}\s]*\Z")
 _LINE = re.compile(r"[^\n]*\n?")
 _HEADING = re.compile(r"#{1,6}(?:\s|$)")
@@ -175,12 +175,13 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 def sentence_units(text: str) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, in code points; none for a blank text."""
     out = []
+    last = len(text.rstrip())
     for begin, stop, whole in _blocks(text):
         begin, stop = _trimmed(text, begin, stop)
         if begin == stop:
             continue
         if not whole:
-            for m in _CANDIDATE.finditer(text, begin, stop):
+            for m in (_LAST_CANDIDATE if stop == last else _CANDIDATE).finditer(text, begin, stop):
                 end = m.end()
                 kind = m.lastgroup
                 if kind == "code" or end >= stop:
