@@ -192,6 +192,13 @@ def sentence_units(text: str) -> list[tuple[int, int]]:
                     continue
                 if kind == "group" and not _GROUP_END.search(m.group()[1:-1]):
                     continue
+                sure = _plain(m.group(), text, begin, m.start(), end, stop) if kind == "mark" else None
+                if sure is False:
+                    continue
+                if sure:
+                    out.append((begin, end))
+                    begin = _trimmed(text, end, stop)[0]
+                    continue
                 unit, rest = text[max(begin, end - _BACK) : end], text[end : min(stop, end + _AHEAD)]
                 if _decide(GROUP_RULES if kind == "group" else MARK_RULES, unit, rest):
                     out.append((begin, end))
@@ -201,6 +208,25 @@ def sentence_units(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _plain(mark: str, text: str, begin: int, at: int, end: int, stop: int) -> bool | None:
+    """Outcome of MARK_RULES for the common candidates, without trying them; None for the others.
+
+    Marks inside a word never end a unit, full stops of scripts without spaces always do, and
+    a word of seven letters or more is no abbreviation of any table.
+    """
+    after = text[end]
+    if mark[-1] in _FULL:
+        return None if after.isspace() or after in ",;:" or "…" in mark else True
+    if not after.isspace():
+        return None if after in ",;:>" or mark[-1] not in _MARK else False
+    if len(mark) > 1 or mark == "…" or at - begin < 8:
+        return None
+    follows = text[end + 1]
+    if follows.isspace() or follows in "—–-,;:>" or end + 1 >= stop:
+        return None
+    return True if text[at - 7 : at].isalpha() else None
+
+
 _UNITS = T.ArrayType(T.StructType([T.StructField("sent_start", T.LongType()), T.StructField("sent_end", T.LongType())]))
 
 
