@@ -45,6 +45,13 @@ def test_ledger(spark, tmp_path):
     task = ledger.create_task("t")
     ledger.mark_explored(task, "src/h.ts")
     assert ledger.get_task_context(task)["frontier"].count() == 2
+    session = ledger.start_session()
+    ledger.end_session("unknown")
+    ledger.end_session(session)
+    assert ledger.list_sessions().where("ended_at is not null").count() == 1
+    ledger.set_meta("summaries", "regex:3")
+    ledger.set_meta("summaries", "ast:3")
+    assert ledger.get_meta("summaries") == "ast:3" and ledger.get_meta("none") is None
 
 
 def test_stream(spark, tmp_path):

@@ -25,6 +25,7 @@ SCHEMAS = {
     "tasks": "id string, name string, state string, created_at bigint, updated_at bigint, session_id string, metadata_json string",
     "task_files": "task_id string, file_path string, status string, notes string, explored_at bigint",
     "telemetry": "id bigint, timestamp bigint, event_type string, file_path string, tokens_estimated bigint, metadata_json string",
+    "sessions": "id string, started_at bigint, ended_at bigint, metadata_json string",
     "meta": "key string, value string",
 }
 
@@ -122,6 +123,26 @@ class Ledger:
         self.store.commit("imports", maintenance.delete_entries(self.table("files"), self.table("imports"), removed)[1])
         self.store.commit("files", files)
 
+    def start_session(self, metadata_json: str | None = None) -> str:
+        key = str(uuid.uuid4())
+        self.store.append("sessions", self.spark.createDataFrame([(key, int(time.time() * 1000), None, metadata_json)], SCHEMAS["sessions"]))
+        return key
+
+    def end_session(self, session_id: str) -> None:
+        """Set the end of a session; an unknown one changes nothing."""
+        ended = F.when(F.col("id") == session_id, F.lit(int(time.time() * 1000))).otherwise(F.col("ended_at"))
+        self.store.commit("sessions", self.table("sessions").withColumn("ended_at", ended))
+
+    def list_sessions(self, limit: int = 100) -> DataFrame:
+        return self.table("sessions").orderBy(F.col("started_at").desc(), "id").limit(limit)
+
+    def set_meta(self, key: str, value: str) -> None:
+        self.store.commit("meta", maintenance.upsert(self.table("meta"), self.spark.createDataFrame([(key, value)], SCHEMAS["meta"]), "key"))
+
+    def get_meta(self, key: str) -> str | None:
+        found = self.table("meta").where(F.col("key") == key).first()
+        return found["value"] if found else None
+
     def create_task(self, name: str) -> str:
         now, key = int(time.time() * 1000), str(uuid.uuid4())
         self.store.append("tasks", self.spark.createDataFrame([(key, name, "created", now, now, None, None)], SCHEMAS["tasks"]))
