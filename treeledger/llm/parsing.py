@@ -43,14 +43,19 @@ def parse_files(files: DataFrame) -> DataFrame:
     contents, null contents last). ``valid`` is null for null contents and for extensions
     without a grammar. Texts are parsed whole. Rows without a path are left out.
     """
+    # Parsing costs far more than moving a text, so its tasks are as many as the cluster can use, however few bytes they hold.
+    spark = files.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     latest = (
         files.select(resolve_path(F.col("path")).alias("path"), F.struct("mtime", "contents").alias("row"))
         .where(F.col("path").isNotNull())
-        .groupBy("path")
+        .groupBy("path")  # reduced before it moves, so a path of many rows is no hot key
         .agg(F.max("row").getField("contents").alias("contents"))
+        .repartition(tasks, F.xxhash64("path"))
         .withColumn("language", language_of(F.col("path")))
     )
-    parsed = latest.withColumn("r", parse_outcome("language", "contents"))
+    # Called nondeterministic, so that a filter on its outcome does not take it below the exchange.
+    parsed = latest.withColumn("r", parse_outcome.asNondeterministic()("language", "contents"))
     return parsed.select("path", project_of(F.col("path")).alias("project"), "language", "r.valid", "r.error_line", "r.error_text")
 
 
