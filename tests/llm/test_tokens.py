@@ -42,3 +42,10 @@ def test_rows(spark):
     assert rows(got) == sorted(((k, e.tiktoken.encode_ordinary(t or "")) for k, t in data), key=repr)
     assert sorted(r["decoded"] for r in decoded(got).collect()) == sorted(t or "" for _, t in data)
     assert rows(token_ids(df.limit(0))) == []
+
+
+def test_texts_of_usual_length_are_joined(monkeypatch):
+    e, joins = encoder("byte_bpe_50k", VOCABULARIES), []
+    monkeypatch.setattr(type(e), "join", lambda self, a, b, join=type(e).join: joins.append(1) or join(self, a, b))
+    text = "The catalogue's rows   weren't\n\n kept since v1.2; they'll be back. " * 8
+    assert e.encode(text) == e.tiktoken.encode_ordinary(text) and len(joins) == 3

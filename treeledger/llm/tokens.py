@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import base64
 import os
-from functools import cache
+from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,10 @@ VOCABULARIES = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: No match of the pattern depends on text further than this behind its own end.
 LOOK_AHEAD = 3
-#: Code points of a leaf of the tree, and of a part that is a row of its own.
-LEAF, PART = 1 << 14, 1 << 20
+#: Code points of a leaf of the tree, far fewer than usual texts have, and of a part that is a row of its own.
+LEAF, PART = 256, 1 << 20
+#: Splits whose tokens are kept for the next texts, and the code points of the longest of them.
+KEPT, KEPT_LENGTH = 1 << 16, 32
 
 
 class Encoder:
@@ -43,6 +46,7 @@ class Encoder:
         self.tiktoken = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(PATTERN)
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.kept = lru_cache(KEPT)(self.tiktoken.encode_ordinary)
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
         if len(text) <= leaf:
@@ -58,12 +62,10 @@ class Encoder:
 
     def part(self, text: str) -> Part:
         """A leaf: splits and tokens of a text that stands alone."""
-        cuts, firsts, ids = [], [], []
-        for m in self.split.finditer(text):
-            cuts.append(m.start())
-            firsts.append(len(ids))
-            ids += self.tiktoken.encode_ordinary(m.group())
-        return Part(text, np.array(cuts, np.int64), np.array(firsts, np.int64), np.array(ids, np.int32))
+        pieces = self.split.findall(text)  # they cover the text
+        tokens = [self.kept(p) if len(p) <= KEPT_LENGTH else self.tiktoken.encode_ordinary(p) for p in pieces]
+        cuts, firsts = np.cumsum([0, *map(len, pieces)]), np.cumsum([0, *map(len, tokens)])
+        return Part(text, cuts[:-1], firsts[:-1], np.array(list(chain.from_iterable(tokens)), np.int32))
 
     def join(self, a: Part, b: Part, window: int = 64) -> Part:
         if not a.text or not b.text:
@@ -77,7 +79,8 @@ class Encoder:
             seam = self.part(text[start:end])
             sure = len(seam.cuts) if end == len(text) else int(np.searchsorted(seam.cuts, end - start - LOOK_AHEAD, "right"))
             places = seam.cuts[:sure] + start - size
-            common = np.flatnonzero((places >= 0) & np.isin(places, b.cuts))
+            found = np.minimum(np.searchsorted(b.cuts, places), len(b.cuts) - 1)
+            common = np.flatnonzero(b.cuts[found] == places)
             if len(common) or end == len(text):
                 break
             window *= 2
