@@ -35,6 +35,24 @@ def test_cases(case):
     assert [text[a:b] for a, b in sentence_units(text)] == want
 
 
+OPENED = [
+    "It keeps paths, sizes, etc. | if it fails, rerun.",
+    "It keeps paths, sizes, etc. | in brief: it works.",
+    "Es gibt Pfade usw. | wenn es scheitert, neu starten.",
+    "The first record. | it keeps paths, etc. | on a warm start the index is read. | rerun it all, etc. | delete it.",
+    "it keeps paths, etc. | since the tree grew, it is slow. | paths, etc. since the last release.",
+    "alle Pfade stehen bereit. | es gibt Kanten usw. | zur Not hilft der Bericht weiter. | Kanten usw. seit der letzten Fassung.",
+    "It keeps paths, etc. on a warm start. | Edges, etc. while large and old.",
+    "Made in the U.S. | Run the job. | The U.S. Department agreed. | It left the U.S. | Compare src/a.ts first.",
+]
+
+
+@pytest.mark.parametrize("case", OPENED)
+def test_small_letters_and_commands_behind_abbreviations(case):
+    text = "".join(case.split("|"))
+    assert [text[a:b] for a, b in sentence_units(text)] == [p.strip() for p in case.split("|")]
+
+
 @pytest.mark.parametrize("text", ["", " ", "\n \n", "\r\n"])
 def test_blank(text):
     assert sentence_units(text) == []

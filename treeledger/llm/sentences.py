@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,19 +51,48 @@ _NUMBERED = {
     "es": r"p(?:á|Ã¡)gs?|art|n(?:ú|Ãº)m|cap|fig",
     "ru": r"рис|стр|гл|разд|табл|п|пп|ст|с|Рис|Стр|Гл|Табл",
 }
-#: Words that carry a sentence on behind "etc." and the like, whatever the style of the text.
-_ON = r"in|without|under|on|as|before|after|since|when|for|while|and|or|but|because|if|by|at|of|to|with|from|until|are|is|were|was"
+#: Closed word classes. Prepositions and conjunctions carry a sentence on behind "etc." and the like, unless they open a clause of their own.
+_PREPOSITIONS = {
+    "en": r"in|without|under|on|by|at|of|to|with|from|for|during|across|between|over|through|into|about",
+    "de": r"in|im|ins|ohne|unter|auf|an|am|bei|beim|mit|von|vom|für|zu|zum|zur|aus|über|durch|gegen|vor|nach|seit|während|zwischen",
+    "fr": r"en|dans|sans|sous|sur|par|à|au|aux|de|du|des|d|avec|pour|chez|vers|entre|depuis|pendant|avant|après|dès",
+    "es": r"en|sin|bajo|sobre|por|a|al|de|del|con|para|hacia|hasta|entre|desde|durante|antes|tras|según",
+    "ru": r"в|во|на|без|под|по|от|до|из|с|со|к|ко|для|при|через|между|после|перед|начиная|над|о|об|у|за",
+}
+_CONJUNCTIONS = r"and|or|but|nor|und|oder|aber|sowie|sondern|et|ou|mais|ni|y|e|o|u|pero|и|или|но|а"
+_SUBORDINATORS = r"if|when|whenever|while|because|unless|although|though|once|wenn|falls|sobald|weil|obwohl|solange|si|quand|lorsque|parce|quoique|puisque|cuando|mientras|porque|aunque|если|когда|пока|хотя"
+#: These stand before a noun as well.
+_DOUBLE = r"as|since|before|after|until|till|als|wie|bevor|nachdem|bis|comme|como|как"
+_BE = r"are|is|were|was|sind|ist|waren|war|sont|est|son|es"
+_ON = "|".join((*_PREPOSITIONS.values(), _CONJUNCTIONS, _SUBORDINATORS, _DOUBLE, _BE))
+_DETERMINERS = r"the|an?|this|that|these|those|its|our|your|their|his|her|my|some|any|no|each|every|all|most|both|many|few|several|such"
+_PRONOUNS = r"it|we|they|he|she|you|there|one|who|what|which"
+_ADVERBS = r"here|then|now|never|not|thus|hence|also|why|how|where|so|yet|only|always|often"
+_WORD = r"[^\W\d_]+"
+#: A capital that starts an English sentence: a word of a closed class, or one that a determiner, a code name or a numbered reference follows, as a command has it.
+_STARTS = rf"(?!No\.)(?=[A-Z])(?:(?i:{_DETERMINERS}|{_PRONOUNS}|{_ADVERBS}|{_PREPOSITIONS['en']}|{_SUBORDINATORS}|{_DOUBLE}|and|or|but)\b|\w+{_W}+(?:(?:{_DETERMINERS}|{_PRONOUNS})\b|[`\"“]|\S*\w[._/]\w|(?:{'|'.join(_NUMBERED.values())})\.{_W}*\d))"
+#: The end of a list.
+_LISTED = r"(?:\b(?:etc|usw|ff)\.|и\s+т\.\s?[дп]\.|и\s+др\.)"
+_INSIDE = r"(?:[^.!?…,;:。！？]|[.:,](?=\w))"
+#: A short phrase before a colon, and a clause that a comma parts from its main clause: both open a sentence.
+_HEADED = rf"(?!(?:as|like|namely|including|such|wie|nämlich|comme|como|как){_W})(?:{_WORD}{_W}+){{0,2}}{_WORD}:{_W}"
+_CLAUSE = rf"{_W}+{_INSIDE}*{_W}{_INSIDE}*,{_W}+(?!(?:{_CONJUNCTIONS})\b)"
+#: Phrases in front of a subject (English) or of a finite verb (German).
+_FRONTED = rf"(?:{_PREPOSITIONS['en']}){_W}+(?:(?:{_DETERMINERS}){_W}+)?(?:(?!(?:{_ON}|all|both|half)\b|\w+ing\b){_WORD}{_W}+){{1,2}}(?:{_DETERMINERS}|{_PRONOUNS})\b|(?:{_PREPOSITIONS['de']}){_W}+(?:{_LOWER}+{_W}+){{0,2}}[A-ZÄÖÜ]\w+{_W}+(?!(?:{_ON})\b){_LOWER}+(?:t|en|ist|sind){_W}+\w"
 
 _QUOTED = rf"[:：]{_W}*(?:\"[^\"]*|“[^”]*|„[^“”]*|«[^»]*|「[^」]*|『[^』]*|'[^']*)"
 
 
 class Rule:
-    """Whether to break between a unit that matches ``before`` at its end and a text that starts with ``after``."""
+    """Whether to break between a unit that matches ``before`` at its end and a text that starts with ``after``.
+
+    ``small`` limits a rule to texts that start sentences with small letters (True) or to others (False).
+    """
 
-    __slots__ = ("breaks", "before", "after")
+    __slots__ = ("breaks", "before", "after", "small")
 
-    def __init__(self, breaks: bool, before: str, after: str = ""):
-        self.breaks, self.before, self.after = breaks, re.compile(f"(?:{before})\\Z", re.S), re.compile(after, re.S)
+    def __init__(self, breaks: bool, before: str, after: str = "", small: bool | None = None):
+        self.breaks, self.before, self.after, self.small = breaks, re.compile(f"(?:{before})\\Z", re.S), re.compile(after, re.S), small
 
 
 _START = r"\A(?:>\s*)?(?:[-*]\s+|\d+\.\s+)?"
@@ -96,12 +126,13 @@ MARK_RULES = (
     Rule(False, r"(?:^|[\s(>])[zdouiртEpc]\.", rf"{_W}?(?:B|h|a|ä|T|d|е|к|н|д|п|UU|ej|ex)\."),
     Rule(False, r"(?:^|[\s(>])(?:т|z|d|i|p|EE)\.", rf"{_W}?(?:B|h|d|е|к|н|д|п|ej|ex|UU|e|g)\."),
     Rule(False, r"\bEE\.\s?UU\.", rf"{_W}+{_LOWER}"),
-    Rule(False, r"\b(?:[A-Z]\.){2,}", rf"{_W}+(?!(?:The|An?|It|This|That|We|They|He|She|But|In|On|If|When|Since|Open|See|Set|Keep|Use|Never|Some|By)\b)\w"),
+    Rule(False, r"\b(?:[A-Z]\.){2,}", rf"{_W}+(?!{_STARTS})\w"),
     Rule(False, r"\d\s?[aApP]\.\s?[mM]\.", rf"{_W}+(?:[A-Z]{{2,5}}\b|and\b|or\b|to\b|until\b)"),
-    # ends of lists: on where a small letter follows, unless the text starts its sentences small
-    Rule(True, r"\b(?:etc|usw)\.", rf"{_W}+(?:in short:|since v?\d|on a cold|by default|im zweifel)"),
-    Rule(False, r"\b(?:etc|usw|ff)\.|и\s+т\.\s?[дп]\.|и\s+др\.", rf"{_W}+(?:{_ON})\b"),
-    Rule(False, rf"{_START}(?![a-z]+\s).*(?:\b(?:etc|usw|ff)\.|и\s+т\.\s?[дп]\.|и\s+др\.)", rf"{_W}+{_LOWER}+(?![\w.]*[A-Z(.]\w)"),
+    # ends of lists: on where a small letter follows, unless it opens a clause or the text starts its sentences small
+    Rule(True, _LISTED, rf"{_W}+(?:{_HEADED}|(?:{_SUBORDINATORS}){_CLAUSE})"),
+    Rule(True, _LISTED, rf"{_W}+(?:(?:{_DOUBLE}){_CLAUSE}|{_FRONTED})", small=True),
+    Rule(False, _LISTED, rf"{_W}+(?:{_ON})\b(?![.(]\w)"),
+    Rule(False, _LISTED, rf"{_W}+{_LOWER}+(?![\w.]*[A-Z(.]\w)", small=False),
     # dates
     Rule(False, r"(?:^|\D)\d{1,2}\.", rf"{_W}+(?:{_MONTHS})\b"),
     # full stops of scripts without spaces end a sentence wherever they stand, others before white space
@@ -118,20 +149,34 @@ _CANDIDATE = re.compile(_TOKENS, re.X)
 #: In the last block of a text that is cut off, a quotation or bracket may stay open to the end.
 _LAST_CANDIDATE = re.compile(_TOKENS + r"""|(?P<open>“[^”]*\Z|„[^“”]*\Z|«[^«»]*\Z|「[^」]*\Z|（[^（）]*\Z|(?:(?<=\s)|(?<=:)|\A)"(?=\S)[^"]*\Z)""", re.X)
 _GROUP_END = re.compile(rf"[{_MARK}][{_CLOSE}\s]*\Z")
+_SMALL_START = re.compile(rf"(?:>\s*)?(?:[-*]\s+|\d+\.\s+)?{_LOWER}+\s")
+_SMALL_ELSEWHERE = re.compile(rf"[^\W\d_]{{5}}(?<!pprox)(?<!aprox)[.!?][ \n]+{_LOWER}+\s")
 _LINE = re.compile(r"[^\n]*\n?")
 _HEADING = re.compile(r"#{1,6}(?:\s|$)")
 _ITEM = re.compile(r"(?:[-*]|\d+\.)\s")
-#: Characters of a unit and of what follows it that rules may look at; the marks of a unit lie within.
-_BACK, _AHEAD = 4000, 80
+#: Characters of a unit that rules may look at; its marks lie within.
+_BACK = 4000
 
 
-def _decide(rules: tuple[Rule, ...], unit: str, rest: str) -> bool:
+def _decide(rules: tuple[Rule, ...], text: str, begin: int, end: int, stop: int) -> bool:
+    """Outcome of the rules for a unit of ``text`` from ``begin`` to ``end``, in a block that ends at ``stop``."""
+    unit = text[max(begin, end - _BACK) : end]
     for rule in rules:
-        if rule.before.search(unit) and rule.after.match(rest):
+        if rule.before.search(unit) and rule.after.match(text, end, stop) and (rule.small is None or rule.small == _small(text, begin)):
             return rule.breaks
     return False
 
 
+def _small(text: str, begin: int) -> bool:
+    """Whether the unit, or another sentence of the text behind a word of five letters or more, starts with a small letter."""
+    return bool(_SMALL_START.match(text, begin)) or _starts_small(text)
+
+
+@lru_cache(1)
+def _starts_small(text: str) -> bool:
+    return bool(_SMALL_ELSEWHERE.search(text))
+
+
 def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, whole) of paragraphs, list items, headings and fences; ``whole`` ones are single units."""
     start, fence, first = -1, -1, True
@@ -199,8 +244,7 @@ def sentence_units(text: str) -> list[tuple[int, int]]:
                     out.append((begin, end))
                     begin = _trimmed(text, end, stop)[0]
                     continue
-                unit, rest = text[max(begin, end - _BACK) : end], text[end : min(stop, end + _AHEAD)]
-                if _decide(GROUP_RULES if kind == "group" else MARK_RULES, unit, rest):
+                if _decide(GROUP_RULES if kind == "group" else MARK_RULES, text, begin, end, stop):
                     out.append((begin, end))
                     begin = _trimmed(text, end, stop)[0]
         if begin < stop:
