@@ -47,6 +47,13 @@ def test_import_refs_are_resolved(spark):
     assert got["p/q/m.py", "..base"] == ("p/base.py", False, ["Config"]) and ("p/q/m.py", "sys") in got and ("p/q/m.py", "hidden") not in got
 
 
+def test_python_imports_over_several_lines(spark):
+    text = "from .a import (\n    b,  # first (\n    c as d,\n)\nfrom x import (e,\r\n  f)\nfrom y import g, \\\n    h\nimport i, \\\n    j\nfrom z import k; n = (1, 2)\nfrom w import *\nfrom v import(l)\nfrom u import (m\n"
+    df = spark.createDataFrame([("p/m.py", text)], "path string, contents string")
+    got = {r["module"]: r["specifiers"] for r in extract.import_refs(df).collect()}
+    assert got == {".a": ["b", "c"], "x": ["e", "f"], "y": ["g", "h"], "i": [], "j": [], "z": ["k"], "w": ["*"], "v": ["l"], "u": ["m"]}
+
+
 def test_diff_classes(spark):
     data = [("a", "x = 1\ny", 1), ("a", "x = 2\ny", 2), ("a", "x = 2\ny\nexport const z = 1", 3), ("a", None, 4), (None, "x", 1), ("b", "q", 1), ("b", "q", 1)]
     df = spark.createDataFrame(data, "path string, contents string, mtime bigint")

@@ -167,7 +167,8 @@ SCRIPT_PASSES = (
 )
 PYTHON_PASSES = (
     (r"(?m)^[ \t]*import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)", 0, 1, "static"),
-    (r"(?m)^[ \t]*from[ \t]+(\.{0,3}[\w.]*)[ \t]+import[ \t]+\(?([^)\n#]+)", 2, 1, "static"),
+    # In brackets the names up to the closing one, else those of the line.
+    (r"(?m)^[ \t]*from[ \t]+(\.{0,3}[\w.]*)[ \t]+import\b[ \t]*\(?((?<=\()[^)]*(?=\))|[^(;\n]+)", 2, 1, "static"),
 )
 
 
@@ -230,7 +231,7 @@ def import_refs(files: DataFrame) -> DataFrame:
     grouped = F.array_join(F.regexp_extract_all(go, F.lit(GO_GROUP), F.lit(1)), "\n")
     found = {
         "script": _refs(t, SCRIPT_PASSES),
-        "python": _refs(_without(t, r"'''[\s\S]*?'''", r'"""[\s\S]*?"""', r"#[^\n]*"), PYTHON_PASSES),
+        "python": _refs(F.regexp_replace(_without(t, r"'''[\s\S]*?'''", r'"""[\s\S]*?"""', r"#[^\n]*"), r"\\\r?\n", " "), PYTHON_PASSES),
         "go": F.concat(_refs(go, GO_PASSES), _refs(grouped, GO_GROUPED)),
         "rust": _refs(rust, RUST_PASSES),
         "kotlin": _refs(_without(plain, r'"""[\s\S]*?"""'), KOTLIN_PASSES),
