@@ -54,6 +54,35 @@ def test_ledger(spark, tmp_path):
     assert ledger.get_meta("summaries") == "ast:3" and ledger.get_meta("none") is None
 
 
+def test_edited_files_stay_in_the_search(spark, tmp_path):
+    root = tmp_path / "r"
+    (root / "empty").mkdir(parents=True)
+    (root / "full").mkdir()
+    (root / "empty/.gitkeep").write_text("")
+    (root / "full/.gitkeep").write_text("x")
+    for name in "abcd":
+        (root / f"{name}.ts").write_text(f"export function walrus{name.upper()}() {{}}\n")
+    ledger = Ledger(spark, str(root), str(tmp_path / "store"))
+    ledger.index()
+    (root / "a.ts").write_text("export function walrus() {}\nexport function pelican() {}\n")
+    (root / "b.ts").write_text("export function other() {}\n")
+    (root / "c.ts").unlink()
+    assert {r["path"] for r in ledger.search_by_purpose("walrus").collect()} == {"a.ts", "d.ts"}
+    assert [r["path"] for r in ledger.search_by_purpose("pelican").collect()] == ["a.ts"]
+    assert {r["folder"] for r in ledger.get_project_map()["folders"].collect()} == {"full"}
+
+
+def test_report_of_a_session(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path), str(tmp_path / "store"))
+    event = lambda t: spark.createDataFrame([(t, "cache_hit", "a", 5)], "timestamp bigint, event_type string, file_path string, tokens_estimated bigint")
+    ledger.track(event(5))
+    session = ledger.start_session()
+    start = ledger.list_sessions().first()["started_at"]
+    ledger.track(event(start - 1))
+    ledger.track(event(start))
+    assert [ledger.get_token_report(session_id=s).first()["total_events"] for s in (session, "unknown")] == [1, 3]
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "d"
     spark.createDataFrame([(1, 5, "a ", None, 1, None), (2, 6, "A", "x", None, "{")], "id bigint, timestamp bigint, event_type string, file_path string, tokens_estimated bigint, metadata_json string").write.parquet(str(folder / "telemetry.parquet"))

@@ -64,7 +64,7 @@ class Ledger:
 
     def get_project_map(self, depth: int = 2) -> dict[str, DataFrame]:
         files = self.table("files")
-        return {"folders": projects.folder_counts(files, depth), "languages": projects.language_breakdown(files), "entry_points": cat.entry_points(files)}
+        return {"folders": projects.folder_counts(files.where(~cat.placeholder(F.col("path"), F.col("hash"))), depth), "languages": projects.language_breakdown(files), "entry_points": cat.entry_points(files)}
 
     def get_related_files(self, path: str, limit: int = 10) -> DataFrame:
         """Related files with their score, best first."""
@@ -110,9 +110,17 @@ class Ledger:
         return extract.summarise(self.scan().where(F.col("path") == path))
 
     def search_by_purpose(self, query: str, limit: int = 20, prefix: str | None = None) -> DataFrame:
-        """Matches among rows that are still fresh against the tree."""
-        state = cat.freshness(self.table("files"), self.scan(), F.lit(0)).where("status = 'hit'")
-        return search.search(self.table("files").join(state.select("path"), "path", "left_semi"), query, limit, prefix)
+        """Matches among stored files that are still there; those whose text changed since are summarised again before they are scored.
+
+        What is stored stays as it is until the next ``index``.
+        """
+        stored, found = self.table("files"), self.scan()
+        state = cat.freshness(stored, found, F.lit(0)).select("path", "status")
+        hits = stored.join(state.where("status = 'hit'"), "path", "left_semi").select("path", "summary")
+        # Rows without a summary are no candidates, as they never were scored.
+        edited = found.join(state.where("status = 'stale'"), "path", "left_semi").join(stored.where(F.col("summary").isNotNull()), "path", "left_semi")
+        made = extract.summarise(edited).select("path", F.col("summary").cast(SUMMARY).alias("summary"))
+        return search.search(hits.unionByName(made), query, limit, prefix)
 
     def invalidate(self, path: str | None = None) -> None:
         now = F.lit(int(time.time() * 1000))
@@ -165,9 +173,13 @@ class Ledger:
         full = events.select(*[F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in SCHEMAS["telemetry"].split(", ")) if c != "id"])
         self.store.append("telemetry", maintenance.sample_events(full.withColumn("id", F.xxhash64(*full.columns, F.lit(time.time_ns()), F.monotonically_increasing_id())).select("id", *full.columns), rate))
 
-    def get_token_report(self, hours: float | None = None) -> DataFrame:
+    def get_token_report(self, hours: float | None = None, session_id: str | None = None) -> DataFrame:
+        """The report of the last hours, or of the events since a session started; an unknown session keeps all events."""
+        events = self.table("telemetry")
+        if session_id is not None:
+            return report.token_report(events, self.table("sessions").where(F.col("id") == session_id).agg(F.min("started_at")).first()[0])
         start = int(time.time() * 1000 - hours * report.HOUR_MS) if hours else None
-        return report.token_report(self.table("telemetry"), start)
+        return report.token_report(events, start)
 
     def diagnostics(self) -> dict:
         files, now = self.table("files"), F.lit(int(time.time() * 1000))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.functions.paths import last_dot, normal_hash, posix, resolve_path
+from treeledger.functions.paths import basename, last_dot, normal_hash, posix, resolve_path
 
 DAY_MS = 86_400_000
 
@@ -63,6 +63,11 @@ def indexable(path: Column) -> Column:
     return F.lower(last_dot(path)).isin(*INDEXABLE_EXTENSIONS)
 
 
+def placeholder(path: Column, hash: Column) -> Column:
+    """Whether the file is a ``.gitkeep`` of zero bytes, by the hash of its raw bytes."""
+    return (basename(path) == ".gitkeep") & hash.eqNullSafe(F.sha2(F.lit("").cast("binary"), 256))
+
+
 def in_scope(path: Column, prefix: str | None) -> Column:
     """The path is the prefix or lies below it; an empty prefix, or one of slashes, holds all."""
     scope = (prefix or "").strip().replace("\\", "/")
