@@ -38,3 +38,14 @@ def test_long_lines_are_cut(spark):
     df = spark.createDataFrame([("a.ts", text)], "path string, contents string")
     purpose = outlines(df).first()["purpose"]
     assert len(purpose) == 160 and purpose.endswith("…")
+
+
+def test_long_bodies_and_comments(spark):
+    body = "class A:\n" + "    x = 1\n\n" * 20000 + "    def a(self): ...\n    def b(self): ..."
+    go = "package m\n\n// Store keeps rows. Fast.\n" + "// More: of it.\n" * 300 + "type Store struct {\n}\n"
+    rust = "/// A list. Short.\n" + "/// More: of it.\n" * 300 + "#[a]\n" * 30 + "pub struct L {\n}\n"
+    head = "// Package m counts. Fast.\n" + "// More: of it.\n" * 300 + "package m\n"
+    df = spark.createDataFrame([("a.py", "class S:\n    def a(self): ...\n" + body), ("m.go", go), ("l.rs", rust), ("h.go", head)], "path string, contents string")
+    assert {r["path"]: r["purpose"] for r in outlines(df).collect()} == {
+        "a.py": "class A (2 methods) +S", "m.go": "struct Store (0 methods): Store keeps rows.", "l.rs": "struct L (0 methods): A list.", "h.go": "Package m counts.",
+    }

@@ -1,7 +1,9 @@
 """Outlines of source texts: what a file declares, with method counts and docs, and a line on its purpose.
 
 Rules look at declarations that start a line, as formatted sources have them; they are
-regular expressions that Spark evaluates in the JVM. Every rule gives (doc, exported, kind,
+regular expressions that Spark evaluates in the JVM. Bodies and comment blocks reach to the
+line that ends them, however long: their loops are possessive, which the JVM runs without
+recursion. Every rule gives (doc, exported, kind,
 name, body); a missing part is the empty string.
 """
 
@@ -19,8 +21,8 @@ from treeledger.operators import extract
 
 MOST = 160
 _BLOCK_DOC = r"(?:/\*\*[ \t]*\r?\n?[ \t]*\*?[ \t]*([^\n*/]*)[^/]*/[ \t]*\r?\n)?"
-_SLASH_DOC = r"(?:^//[ \t]?([^\n]*)\n(?://[^\n]*\n){0,50})?"
-_RUST_DOC = r"(?:^///[ \t]?([^\n]*)\n(?://[^\n]*\n){0,50})?(?:^#\[[^\n]*\n){0,9}"
+_SLASH_DOC = r"(?:^//[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?"
+_RUST_DOC = r"(?:^///[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?(?:^#\[[^\n]*\n)*+"
 _BODY = r"[^{;]*\{([\s\S]*?)^\}"
 
 
@@ -47,12 +49,12 @@ RULES = {
         "export",
     ),
     "python": Rules(
-        r"(?m)()^()(class)\s+(\w+)[^\n]*\n((?:(?:[ \t]+[^\n]*)?\n){0,2000})",
+        r"(?m)()^()(class)\s+(\w+)[^\n]*\n((?:(?:[ \t]++[^\n]*+)?+\n)*+(?:[ \t]+[^\n]*)?)",
         r"(?m)()^()(?:async\s+)?(def)\s+(\w+)()",
         r"(?m)()^()(type)\s+(\w+)\s*=()",
         r"(?m)()^()()([A-Z][A-Z0-9_]*)\s*(?::[^=\n]*)?=()",
         r"(?m)^(?:    |\t)(?:async\s+)?def\s+(?!__init__\b)\w+",
-        "^[^_]", True, r"""\A(?:\s*#[^\n]*\n)*\s*(?:\"\"\"|\'\'\')[ \t]*\n?[ \t]*([^\n"']+)""",
+        "^[^_]", True, r"""\A(?:\s*#[^\n]*\n)*+\s*(?:\"\"\"|\'\'\')[ \t]*\n?[ \t]*([^\n"']+)""",
     ),
     "go": Rules(
         rf"(?m){_SLASH_DOC}^()type\s+()(\w+)\s+struct\b{_BODY}",
@@ -60,7 +62,7 @@ RULES = {
         r"(?m)()^()type\s+()(\w+)\s+(?!struct\b)()\S",
         r"(?m)()^()(const|var)\s+(\w+)()",
         "",
-        "^[A-Z]", True, r"(?m)^//[ \t]?([^\n]+)\n(?://[^\n]*\n){0,50}package\b",
+        "^[A-Z]", True, r"(?m)^//[ \t]?([^\n]+)\n(?://[^\n]*\n)*+package\b",
     ),
     "rust": Rules(
         rf"(?m){_RUST_DOC}^((?:pub\s+)?)(struct|enum|trait)\s+(\w+)()",
