@@ -64,6 +64,37 @@ def test_python_like_its_own_parser():
         assert (first_error("python", text) is None) == good, text
 
 
+PYTHON_NOT = ["f() = 1", "1 = x", "(*a)", "f(a=1, b)", "f(**a, *b)", "def f(a=1, b): pass", "def f(*): pass", "def f(**a, b): pass", "f(x for x in y, 1)", "[a, b] += 1", "del f()", "lambda a=1, b: a"]
+PYTHON = ["a.b().c = 1", "(a, *b), [c, d] = x", "(*a,)", "f(a, *b, c=1, *d, **e, g=2)", "def f(a, b=1, /, c=2, *d, e, g=3, **h): pass", "lambda a, b=1, /, *c, d=2, **e: 0", "(a): int = 1", "del a.b, (c, d), e[0]"]
+JAVA_NOT = ["count;", '"text";', "42;", "a.b;", "a[0];", "new int[3];", "this;", "a.b().c;", "for (; ; i) { }"]
+JAVA = ["f();", "a.<T>b().c();", "new A() { }.b();", "new int[]{1}.clone();", "super.f();", "i++;", "--i;", "a.b().c = 1;", '"x".length();', "o.new In();", "for (i = 0; ; i++, f()) { }"]
+
+
+@pytest.mark.parametrize("text", PYTHON_NOT + PYTHON)
+def test_python_targets_arguments_and_parameters(text):
+    assert (first_error("python", text + "\n") is None) == (text in PYTHON)
+
+
+@pytest.mark.parametrize("text", JAVA_NOT + JAVA)
+def test_java_statement_expressions(text):
+    assert (first_error("java", f"class X {{ void f() {{ {text} }} }}") is None) == (text in JAVA)
+
+
+def test_python_like_its_own_parser_whatever_it_says():
+    random.seed(11)
+    whole = "".join(t + "\n" for t in VALID["python"] if "yield)" not in t and "async" not in t)
+    for i in range(600):
+        base = random.choice(PYTHON) + "\n" if i % 2 else whole
+        a = random.randrange(len(base))
+        text = random.choice([base[:a], base[:a] + base[a + 1 :], base[:a] + random.choice("(){}[]:,=.*'\" \n1") + base[a:]])
+        try:
+            ast.parse(text)
+            good = True
+        except SyntaxError:
+            good = False
+        assert (first_error("python", text) is None) == good, text
+
+
 def test_rows(spark):
     data = [("p/a.PY", "x = (", 1), ("p/a.PY", "x = 1", 2), ("p/b.js", None, 1), ("p/c.txt", "(", 1), (None, "(", 1), ("p/d.json", "{}", None), ("./p/e.go", "x", 5), ("p/e.go", "x", 5)]
     df = spark.createDataFrame([(*r, "clash", True) for r in data], "path string, contents string, mtime bigint, language string, valid boolean")

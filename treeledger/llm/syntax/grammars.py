@@ -142,14 +142,15 @@ simples = simple ( ';' simple )* ';'? NEWLINE ;
 simple = assignment | value | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' ( expr ( 'from' expr )? )?
   | ( 'global' | 'nonlocal' ) ( NAME % ',' ) | 'del' ( target % ',' ) ','? | 'assert' expr ( ',' expr )? | imports
   | 'type' NAME typeparams? '=' expr ;
-assignment = NAME ':' expr ( '=' value )? | primary ':' expr ( '=' value )? | '(' primary ')' ':' expr ( '=' value )?
-  | ( targets '=' )+ value !'=' | target AUGMENT value ;
+assignment = single ':' expr ( '=' value )? | ( targets '=' )+ value !'=' | single AUGMENT value ;
 value = yield | stars ;
 stars = star ( ',' star )* ','? ;
 star = '*' bits | expr !':=' ;
 targets = startarget ( ',' startarget )* ','? ;
 startarget = '*'? target ;
-target = primary ;
+target = place | NAME | '(' ( ( startarget ',' )+ startarget? | target )? ')' | '[' targets? ']' ;
+single = place | NAME | '(' single ')' ;
+place = atom ( call* ( '.' NAME | '[' slices ']' ) )+ !'(' ;
 imports = 'import' ( dotted ( 'as' NAME )? ) ( ',' dotted ( 'as' NAME )? )*
   | 'from' ( '.' | '...' )* dotted? 'import' ( '*' | '(' aliased % ',' ','? ')' | aliased % ',' ) ;
 aliased = NAME ( 'as' NAME )? ;
@@ -161,10 +162,19 @@ block = NEWLINE INDENT stmt+ DEDENT | simples ;
 class = 'class' NAME typeparams? ( '(' args? ')' )? ':' block ;
 typeparams = '[' ( '*' | '**' )? NAME ( ':' expr )? ( '=' starexpr )? ( ',' ( '*' | '**' )? NAME ( ':' expr )? ( '=' starexpr )? )* ','? ']' ;
 def = 'def' NAME typeparams? '(' params? ')' ( '->' expr )? ':' block ;
-params = param ( ',' param )* ','? ;
-param = '/' | '**' NAME ( ':' expr )? | '*' ( NAME ( ':' starexpr )? )? | NAME ( ':' expr )? ( '=' expr )? ;
-lambda = 'lambda' ( lparam ( ',' lparam )* ','? )? ':' expr ;
-lparam = '/' | '**' NAME | '*' NAME? | NAME ( '=' expr )? ;
+params = ( positional ( ',' starred )? | starred ) ','? ;
+positional = plain ( ',' plain )* ( ',' '/' ( ',' plain )* ( ',' default )* | ( ',' default )+ ( ',' '/' ( ',' default )* )? )? | default ( ',' default )* ( ',' '/' ( ',' default )* )? ;
+starred = '*' ( NAME ( ':' starexpr )? ( ',' keyword )* | ( ',' keyword )+ ) ( ',' '**' param )? | '**' param ;
+param = NAME ( ':' expr )? ;
+plain = param !'=' ;
+default = param '=' expr ;
+keyword = param ( '=' expr )? ;
+lambda = 'lambda' ( ( lpositional ( ',' lstarred )? | lstarred ) ','? )? ':' expr ;
+lpositional = lplain ( ',' lplain )* ( ',' '/' ( ',' lplain )* ( ',' ldefault )* | ( ',' ldefault )+ ( ',' '/' ( ',' ldefault )* )? )? | ldefault ( ',' ldefault )* ( ',' '/' ( ',' ldefault )* )? ;
+lstarred = '*' ( NAME ( ',' lkeyword )* | ( ',' lkeyword )+ ) ( ',' '**' NAME )? | '**' NAME ;
+lplain = NAME !'=' ;
+ldefault = NAME '=' expr ;
+lkeyword = NAME ( '=' expr )? ;
 if = 'if' named ':' block ( 'elif' named ':' block )* ( 'else' ':' block )? ;
 while = 'while' named ':' block ( 'else' ':' block )? ;
 for = 'for' targets 'in' stars ':' block ( 'else' ':' block )? ;
@@ -189,8 +199,9 @@ not = 'not'* bits ( ( COMPARE 'not'? | 'not' 'in' ) bits )* ;
 bits = factor ( BINARY factor )* ;
 factor = ( '+' | '-' | '~' )* power ;
 power = primary ( '**' factor )? ;
-primary = 'await'? atom ( '.' NAME | '(' args? ')' | '[' slices ']' )* ;
-atom = NAME | 'None' | 'True' | 'False' | NUM | string+ | '...' | '(' ( yield | comprehended | exprs )? ')' | '[' ( comprehended | exprs )? ']' | '{' ( dict | comprehended | exprs )? '}' ;
+primary = 'await'? atom ( '.' NAME | call | '[' slices ']' )* ;
+call = '(' ( named comp+ | args )? ')' ;
+atom = NAME | 'None' | 'True' | 'False' | NUM | string+ | '...' | '(' ( yield | comprehended | starexpr ',' exprs? | named )? ')' | '[' ( comprehended | exprs )? ']' | '{' ( dict | comprehended | exprs )? '}' ;
 string = STR | FOPEN FTEXT? ( field FTEXT? )* FCLOSE ;
 field = '{' value '='? ( CONV )? ( ':' ( FTEXT | field )* )? '}' ;
 yield = 'yield' ( 'from' expr | stars )? ;
@@ -198,8 +209,11 @@ comprehended = ( named | '*' bits ) comp+ ;
 comp = 'async'? 'for' targets 'in' or ( 'if' ( lambda | or ) )* ;
 dict = ( pair comp+ | pair ( ',' pair )* ','? ) ;
 pair = '**' bits | expr ':' expr ;
-args = arg ( ',' arg )* ','? ;
-arg = '**' expr | '*' expr | NAME '=' expr | named comp* ;
+args = ( arg ( ',' arg )* ( ',' kwargs )? | kwargs ) ','? ;
+arg = '*' expr | named !'=' ;
+kwargs = kwarg ( ',' kwarg )* ( ',' kwlast ( ',' kwlast )* )? | kwlast ( ',' kwlast )* ;
+kwarg = NAME '=' expr | '*' expr ;
+kwlast = NAME '=' expr | '**' expr ;
 slices = slice ( ',' slice )* ','? ;
 slice = expr? ':' expr? ( ':' expr? )? | starexpr ;
 """
@@ -250,11 +264,15 @@ blockstmt = localtype | localvar ';' | stmt ;
 localtype = ( annotation | 'final' | 'abstract' | 'static' | 'sealed' | 'non-sealed' | 'strictfp' )* ( &( 'class' | 'interface' | 'enum' | 'record' NAME ( '(' | '<' ) | '@' ) typebody ) ;
 localvar = ( annotation | 'final' )* type vardef % ',' ;
 stmt = block | ';' | 'if' '(' expr ')' stmt ( 'else' stmt )? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
-  | 'for' '(' ( ( annotation | 'final' )* type NAME dims ':' expr ')' | ( localvar | expr % ',' )? ';' expr? ';' ( expr % ',' )? ')' ) stmt
+  | 'for' '(' ( ( annotation | 'final' )* type NAME dims ':' expr ')' | ( localvar | statementexpr % ',' )? ';' expr? ';' ( statementexpr % ',' )? ')' ) stmt
   | 'switch' '(' expr ')' switchbody | 'try' ( resources block ( catch )* ( 'finally' block )? | block ( catch+ ( 'finally' block )? | 'finally' block ) )
   | 'synchronized' '(' expr ')' block | 'return' expr? ';' | 'throw' expr ';' | 'break' NAME? ';' | 'continue' NAME? ';'
   | 'yield' !( '=' | '.' | '++' | '--' | '[' ) expr ';' | 'assert' expr ( ':' expr )? ';' | NAME ':' stmt | statementexpr ';' ;
-statementexpr = ( '++' | '--' ) unary | postfixed ASSIGN expr | postfixed ( '++' | '--' ) | postfixed ;
+statementexpr = ( '++' | '--' ) unary | postfixed ASSIGN expr | postfixed ( '++' | '--' )
+  | ( NAME args | ( 'this' | 'super' ) args | 'new' newobject ) ( quiet* called )* | primary ( quiet* called )+ ;
+called = '.' ( typeargs? NAME args | 'new' newobject | 'super' args ) ;
+quiet = '.' ( NAME !'(' | 'this' | 'super' !'(' ) | '[' expr ']' ;
+newobject = typeargs? annotations classtype args classbody? ;
 resources = '(' ( ( localvar | postfixed ) % ';' ) ';'? ')' ;
 catch = 'catch' '(' ( annotation | 'final' )* type ( '|' type )* NAME ')' block ;
 switchbody = '{' ( ( caselabel ( '->' ( block | 'throw' expr ';' | expr ';' ) | ( ':' caselabel )* ':' blockstmt* ) ) )* '}' ;
