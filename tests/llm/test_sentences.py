@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from conftest import rows
 
+from treeledger.llm import sentences as module
 from treeledger.llm.sentences import sentence_units, sentences
 
 CASES = [
@@ -53,6 +56,18 @@ def test_small_letters_and_commands_behind_abbreviations(case):
     assert [text[a:b] for a, b in sentence_units(text)] == [p.strip() for p in case.split("|")]
 
 
+def test_plain_ends_are_decided_as_by_the_rules():
+    random.seed(4)
+    assert sentence_units("真的？!好") == [(0, 4), (4, 5)]
+    for _ in range(20000):
+        mark = "".join(random.choices("..!?…。！？।؟", k=random.randint(1, 3))) + random.choice(["", "", "”", ")"])
+        before = random.choice(["It ", "真的", "> ", ""]) + random.choice(["sentence", "etc", "真的好", "v1", "The catalogue", "e.g", "Wait"])
+        text = before + mark + random.choice([" ", "", "\n", "  "]) + random.choice(["The end", "and so", "好", "1", ", x", ": y", "— z", "-q", ">a", "x"])
+        end = len(before + mark)
+        sure = module._plain(mark, text, 0, len(before), end, len(text))
+        assert sure is None or sure == module._decide(module.MARK_RULES, text, 0, end, len(text)), (text, mark)
+
+
 @pytest.mark.parametrize("text", ["", " ", "\n \n", "\r\n"])
 def test_blank(text):
     assert sentence_units(text) == []

@@ -262,7 +262,7 @@ def _plain(mark: str, text: str, begin: int, at: int, end: int, stop: int) -> bo
     if mark[-1] in _FULL:
         return None if after.isspace() or after in ",;:" or "…" in mark else True
     if not after.isspace():
-        return None if after in ",;:>" or mark[-1] not in _MARK else False
+        return None if after in ",;:>" or mark[-1] not in _MARK or any(c in _FULL for c in mark) else False
     if len(mark) > 1 or mark == "…" or at - begin < 8:
         return None
     follows = text[end + 1]
