@@ -65,7 +65,7 @@ def test_plain_ends_are_decided_as_by_the_rules():
         text = before + mark + random.choice([" ", "", "\n", "  "]) + random.choice(["The end", "and so", "好", "1", ", x", ": y", "— z", "-q", ">a", "x"])
         end = len(before + mark)
         sure = module._plain(mark, text, 0, len(before), end, len(text))
-        assert sure is None or sure == module._decide(module.MARK_RULES, text, 0, end, len(text)), (text, mark)
+        assert sure is None or sure == module._decide(module.MARK_RULES, text, 0, end, len(text), len(before)), (text, mark)
 
 
 @pytest.mark.parametrize("text", ["", " ", "\n \n", "\r\n"])
@@ -87,6 +87,13 @@ def test_long_text():
     assert len(sentence_units("e.g. " * 20000)) == 1
 
 
+def test_units_over_any_window():
+    filler = "and many words " * 700
+    for case in (f"(It keeps {filler}here.) | Next one.", f"He keeps {filler}or... | Then he left.", f"It keeps {filler}or... and more.", f'The log says: "it keeps {filler}here." | npm has it.', f"It keeps {filler}etc. when large."):
+        text = "".join(case.split("|"))
+        assert [text[a:b] for a, b in sentence_units(text)] == [p.strip() for p in case.split("|")], case[:20] + case[-20:]
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "A b. C d.", "x"), (1, "A b. C d.", "x"), (2, None, "x"), (3, " ", None), (None, "Q.", "x")], "doc_id bigint, text string, u string")
     assert rows(sentences(df)) == sorted([(1, 0, 4), (1, 5, 9)] * 2 + [(None, 0, 2)], key=repr)

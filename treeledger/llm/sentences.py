@@ -154,13 +154,33 @@ _SMALL_ELSEWHERE = re.compile(rf"[^\W\d_]{{5}}(?<!pprox)(?<!aprox)[.!?][ \n]+{_L
 _LINE = re.compile(r"[^\n]*\n?")
 _HEADING = re.compile(r"#{1,6}(?:\s|$)")
 _ITEM = re.compile(r"(?:[-*]|\d+\.)\s")
-#: Characters of a unit that rules may look at; its marks lie within.
-_BACK = 4000
+#: From this length on the middle of a unit is left out: rules look at its start, at the last quotation or marks, and at what lies close before them.
+_LONG, _NEAR = 4000, 400
+#: The marker of a unit and its first words.
+_HEAD = re.compile(r"(?:\S*\s+){0,4}\S*")
 
 
-def _decide(rules: tuple[Rule, ...], text: str, begin: int, end: int, stop: int) -> bool:
-    """Outcome of the rules for a unit of ``text`` from ``begin`` to ``end``, in a block that ends at ``stop``."""
-    unit = text[max(begin, end - _BACK) : end]
+@lru_cache(1)
+def _head(text: str, begin: int) -> int:
+    return _HEAD.match(text, begin).end()
+
+
+def _unit(text: str, begin: int, at: int, end: int) -> str:
+    """The unit as far as rules can tell: all of it, or of a long one its first words and the part around its last candidate."""
+    if end - begin <= _LONG:
+        return text[begin:end]
+    near = at - _NEAR
+    while near > begin and not text[near].isspace():
+        near -= 1
+    while near > begin and text[near].isspace():
+        near -= 1
+    head = _head(text, begin)
+    return text[begin:head] + " " + text[near:end] if head < near else text[begin:end]
+
+
+def _decide(rules: tuple[Rule, ...], text: str, begin: int, end: int, stop: int, at: int) -> bool:
+    """Outcome of the rules for a unit of ``text`` from ``begin`` to ``end``, whose last candidate starts at ``at``, in a block that ends at ``stop``."""
+    unit = _unit(text, begin, at, end)
     for rule in rules:
         if rule.before.search(unit) and rule.after.match(text, end, stop) and (rule.small is None or rule.small == _small(text, begin)):
             return rule.breaks
@@ -244,7 +264,7 @@ def sentence_units(text: str) -> list[tuple[int, int]]:
                     out.append((begin, end))
                     begin = _trimmed(text, end, stop)[0]
                     continue
-                if _decide(GROUP_RULES if kind == "group" else MARK_RULES, text, begin, end, stop):
+                if _decide(GROUP_RULES if kind == "group" else MARK_RULES, text, begin, end, stop, m.start()):
                     out.append((begin, end))
                     begin = _trimmed(text, end, stop)[0]
         if begin < stop:
