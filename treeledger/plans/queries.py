@@ -310,7 +310,7 @@ def invalidated(s, d):
 
 def regex_summaries(s, d):
     done = extract.summarise(_sources(s, d)).where(F.col("summary").isNotNull())
-    lists = [F.array_sort(f"summary.{n}").alias(a) for n, a in (("exports", "exports"), ("imports", "imports"), ("topLevelDeclarations", "declarations"))]
+    lists = [F.col(f"summary.{n}").alias(a) for n, a in (("exports", "exports"), ("imports", "imports"), ("topLevelDeclarations", "declarations"))]
     return done.select("path", "summary.purpose", "summary.lineCount", "summary.confidence", *lists)
 
 
@@ -321,7 +321,7 @@ def source_outlines(s, d):
 
 def import_refs(s, d):
     files = _sources(s, d)
-    refs = extract.resolve_refs(extract.import_refs(files), _files(s, d), project_of(F.col("source")))
+    refs = extract.resolve_refs(extract.import_refs(files), _files(s, d), project_of)
     return refs.select("source", "ordinal", "module", "target", "specifiers", "import_type", "external")
 
 
@@ -330,6 +330,14 @@ def diff_classes(s, d):
     return extract.diff_classes(rows)
 
 
+def smart_summaries(s, d):
+    """Summaries of all versions of the sources, kept over small edits."""
+    rows = read_table(s, d, "source_files").select(resolve_path(F.col("path")).alias("path"), "contents", "mtime")
+    done = extract.smart_summaries(rows)
+    lists = [F.size(f"summary.{n}").alias(a) for n, a in (("exports", "n_exports"), ("imports", "n_imports"), ("topLevelDeclarations", "n_declarations"))]
+    return done.select("path", "mtime", "summary_source", "summary.purpose", "summary.lineCount", "summary.confidence", *lists)
+
+
 def summary_savings(s, d):
     """Tokens that serving summaries saves against the texts, per project."""
     from treeledger.functions.text import tokens_saved
@@ -347,6 +355,6 @@ CATALOGUE = {
         report_by_type, report_totals, report_last_hours, report_top_files, report_file_use, report_missed, report_sessions, age_histogram, token_report,
         language_breakdown, folder_counts, folder_counts_shallow, import_edges, node_degrees, most_connected, node_centrality, symbol_edges, symbol_usage,
         reach_two, reach_all, dependents_all, proximity, related_files, rank_composite, rank_signals, search_purpose, search_scores,
-        frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, source_outlines, import_refs, diff_classes, summary_savings, stream_type_counts,
+        frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, source_outlines, import_refs, diff_classes, smart_summaries, summary_savings, stream_type_counts,
     )
 }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from treeledger.functions.paths import normal_hash_sql, resolve_sql
 from treeledger.functions.text import file_type_relevance_sql, identifier_tokens_sql, term_quality_sql
 from treeledger.operators.catalogue import BINARY_EXTENSIONS, INDEXABLE_EXTENSIONS, SKIPPED_SEGMENTS
-from treeledger.operators.extract import DECLARATIONS, EXPORTS, IMPORTS, OTHER_PURPOSES, SCRIPT, STRUCTURAL
 from treeledger.operators.ranking import WEIGHTS
 from treeledger.operators.search import FIELD_WEIGHTS
+from treeledger.plans.source_sql import VERSIONS, import_refs_sql, summaries_sql
 
 DAY = 86_400_000
 
@@ -61,53 +61,8 @@ def _search(query: str) -> str:
 
 ALL_EXT = "regexp_extract(path, '(\\.[^.]*)$', 1)"
 
-def _found(rules, text: str = "contents") -> str:
-    return " || ".join(f"regexp_extract_all({text}, '{p.replace(chr(39), chr(39) * 2)}', {g})" for p, g in rules)
-
-
-def _per_family(make) -> str:
-    cases = " ".join(f"WHEN fam = '{n}' THEN {make(n)}" for n in ("script", "python", "go", "rust"))
-    return f"list_sort(list_distinct(CASE {cases} ELSE CAST([] AS VARCHAR[]) END))"
-
-
-def _exports_sql(name: str) -> str:
-    found = _found(EXPORTS[name])
-    if name == "script":
-        return f"CASE WHEN regexp_matches(contents, '(?m)^export\\s+default\\s+') THEN list_append({found}, 'default') ELSE {found} END"
-    if name == "python":
-        listed = "regexp_extract(contents, '__all__\\s*=\\s*\\[([^\\]]*)\\]', 1)"
-        names = f"list_filter(list_transform(string_split({listed}, ','), lambda s: regexp_replace(s, '^\\s+|\\s+$|[''\"]', '', 'g')), lambda s: s <> '')"
-        return f"CASE WHEN regexp_matches(contents, '__all__\\s*=\\s*\\[([^\\]]*)\\]') THEN {names} ELSE {found} END"
-    return found
-
-
-def _imports_sql(name: str) -> str:
-    found = _found(IMPORTS[name])
-    if name == "go":
-        groups = "regexp_extract_all(contents, '\\bimport\\s*\\(([\\s\\S]*?)\\)', 1)"
-        return f"flatten(list_transform({groups}, lambda g: regexp_extract_all(g, '\"([^\"]+)\"', 1))) || {found}"
-    return found
-
-
-def _declarations_sql(name: str) -> str:
-    found = _found([(DECLARATIONS[name][0], 1)])
-    return f"list_transform({found}, lambda d: regexp_replace(regexp_replace(regexp_replace(d, '^func\\s+\\([^)]*\\)', 'func'), '\\s*\\*', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-_BASE, _TEXT = "string_split(path, '/')[-1]", "contents"
-SUMMARIES = f"""{SRC}, fam AS (SELECT path, contents, CASE WHEN ends_with(path, '.d.ts') THEN '.d.ts' ELSE regexp_extract(path, '(\\.[^.]*)$', 1) END AS ext, {_BASE} AS base FROM src WHERE contents IS NOT NULL),
-typed AS (SELECT *, CASE WHEN ext IN {_list(SCRIPT)} THEN 'script' WHEN ext = '.py' THEN 'python' WHEN ext = '.go' THEN 'go' WHEN ext = '.rs' THEN 'rust' END AS fam FROM fam),
-lists AS (SELECT path, contents, ext, fam, {_per_family(_exports_sql)} AS exports, {_per_family(_imports_sql)} AS imports, {_per_family(_declarations_sql)} AS declarations,
-  CAST(CASE WHEN contents = '' THEN 0 ELSE len(string_split(contents, chr(10))) END AS INTEGER) AS "lineCount",
-  CASE WHEN fam IS NULL THEN coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in OTHER_PURPOSES.items())}}}[ext], 'other') WHEN ext = '.d.ts' THEN 'types' WHEN regexp_matches(base, '\\.(?:test|spec)\\.[tj]sx?$') THEN 'test'
-    WHEN regexp_matches(base, '\\.config\\.(?:[tj]sx?|mjs)$') THEN 'config' WHEN base IN ('types.ts', 'interfaces.ts') THEN 'types' WHEN base IN ('index.ts', 'index.js') THEN 'entry point'
-    WHEN ext = '.py' THEN CASE WHEN starts_with(base, 'test_') OR ends_with(base, '_test.py') OR contains(path, '/tests/') OR contains(path, '/test/') OR base = 'conftest.py' THEN 'test' WHEN base IN ('setup.py', 'settings.py', 'config.py') THEN 'config'
-      WHEN base IN ('__init__.py', '__main__.py') OR regexp_matches(contents, '\\bif\\s+__name__\\s*==\\s*[''\"]__main__[''\"]\\s*:') THEN 'entry point' ELSE 'source' END
-    WHEN ext = '.go' THEN CASE WHEN ends_with(base, '_test.go') THEN 'test' WHEN base = 'main.go' OR regexp_matches(contents, '\\bfunc\\s+main\\s*\\(') THEN 'entry point' ELSE 'source' END
-    WHEN ext = '.rs' THEN CASE WHEN contains(path, '/tests/') OR starts_with(base, 'test_') THEN 'test' WHEN base IN ('main.rs', 'lib.rs', 'mod.rs') THEN 'entry point' WHEN base = 'build.rs' THEN 'config' WHEN regexp_matches(contents, '\\bfn\\s+main\\s*\\(') THEN 'entry point' ELSE 'source' END
-    WHEN contains(path, '/bin/') OR regexp_matches(contents, '\\bmain\\s*\\(') THEN 'entry point' ELSE 'source' END AS purpose FROM typed),
-sums AS (SELECT *, CASE WHEN fam IS NULL THEN CASE WHEN "lineCount" > 0 AND ext IN ('.json', '.yaml', '.yml', '.toml') THEN 'medium' ELSE 'low' END
-  WHEN "lineCount" = 0 OR len(exports) + len(imports) + len(declarations) = 0 THEN 'low' WHEN len(exports) > 0 OR purpose IN ('entry point', 'config', 'types', 'test') THEN 'high' ELSE 'medium' END AS confidence FROM lists)"""
+TEXTS = "texts AS (SELECT path AS key, path, contents FROM src WHERE contents IS NOT NULL)"
+SUMMARIES = f"{SRC}, {TEXTS}, {summaries_sql('texts')}"
 
 CATALOGUE_SQL = {
     "scan_files": f"""WITH {F} SELECT path, lower({ALL_EXT}) IN {_list(INDEXABLE_EXTENSIONS)} AS indexable FROM f
@@ -199,10 +154,12 @@ UNION ALL SELECT 'old_events', count(*) FROM ev, now WHERE timestamp < t - {90 *
     "regex_summaries": f'WITH {SUMMARIES} SELECT path, purpose, exports, imports, "lineCount", confidence, declarations FROM sums',
     "summary_savings": f"""WITH {SUMMARIES}, j AS (SELECT string_split(path, '/')[1] AS project, contents, CAST(to_json(struct_pack(purpose := purpose, exports := exports, imports := imports, "lineCount" := "lineCount", "topLevelDeclarations" := declarations, confidence := confidence)) AS VARCHAR) AS s FROM sums)
 SELECT project, count(*) AS n_files, CAST(sum(greatest(0, CAST(ceil(length(contents) / 4) AS BIGINT) - CAST(ceil(length(s) / 4) AS BIGINT))) AS BIGINT) AS tokens_saved FROM j GROUP BY 1""",
-    "diff_classes": f"""WITH v AS (SELECT DISTINCT {resolve_sql('path')} AS path, contents, mtime FROM source_files WHERE path IS NOT NULL AND contents IS NOT NULL AND mtime IS NOT NULL),
-p AS (SELECT path, mtime, string_split(contents, chr(10)) AS lines, string_split(lag(contents) OVER (PARTITION BY path ORDER BY mtime, contents), chr(10)) AS old FROM v),
-d AS (SELECT path, mtime, list_distinct(list_filter(lines, lambda x: NOT list_contains(old, x))) AS a, list_distinct(list_filter(old, lambda x: NOT list_contains(lines, x))) AS r FROM p WHERE old IS NOT NULL)
-SELECT path, mtime, CAST(len(a) AS INTEGER) AS n_added, CAST(len(r) AS INTEGER) AS n_removed, len(list_filter(a || r, lambda x: regexp_matches(x, '{STRUCTURAL}'))) > 0 AS structural, len(a) <> len(r) AS lines_changed FROM d""",
+    "diff_classes": f"WITH {VERSIONS} SELECT path, mtime, n_added, n_removed, structural, n_added <> n_removed AS lines_changed FROM p JOIN d USING (key)",
+    "smart_summaries": f"""WITH {VERSIONS}, w AS (SELECT p.*, coalesce(NOT structural AND n_added + n_removed > 0, false) AS partial FROM p LEFT JOIN d USING (key)),
+read AS (SELECT key, path, CASE WHEN partial THEN before ELSE contents END AS contents FROM w), {summaries_sql('read')}
+SELECT w.path, w.mtime, CASE WHEN partial THEN 'diff-partial' ELSE 'full' END AS summary_source, purpose, CAST(CASE WHEN w.contents = '' THEN 0 ELSE len(string_split(w.contents, chr(10))) END AS INTEGER) AS "lineCount", confidence,
+  CAST(len(exports) AS INTEGER) AS n_exports, CAST(len(imports) AS INTEGER) AS n_imports, CAST(len(declarations) AS INTEGER) AS n_declarations FROM w JOIN sums USING (key)""",
+    "import_refs": import_refs_sql(SRC, F),
     "stream_type_counts": "SELECT lower(regexp_replace(event_type, '^\\s+|\\s+$', '', 'g')) AS event_type, count(*) AS n_events FROM telemetry GROUP BY 1",
     "invalidated": f"WITH {F} SELECT CAST(0 AS BIGINT) AS timestamp, 'invalidation' AS event_type, path AS file_path FROM f WHERE contains(path, '/tests/')",
 }
