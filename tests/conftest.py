@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ def spark():
     from treeledger.session import build_session, ship_library
 
     session = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__default__parallelism="4"
+        "tests", "local[4]", spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"), spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__default__parallelism="4"
     )
     session.sparkContext.setLogLevel("ERROR")
     ship_library(session)

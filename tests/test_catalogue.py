@@ -63,7 +63,9 @@ def test_maintenance(spark):
     assert rows(maintenance.prune_edges(edges, c)) == [("a", "b"), ("b", "a")]
     refs = spark.createDataFrame([("a", "c", ["p"], "static", 1, False), ("a", "c", ["q"], "static", 2, False), ("a", "zod", [], "static", 3, True)], "source string, target string, specifiers array<string>, import_type string, ordinal int, external boolean")
     old = spark.createDataFrame([("a", "old", [], "static"), ("b", "a", [], "static")], "source string, target string, specifiers array<string>, import_type string")
-    assert rows(maintenance.replace_edges(old, refs)) == [("a", "c", ["q"], "static"), ("b", "a", [], "static")]
+    read = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    assert rows(maintenance.replace_edges(old, refs, read("a"))) == [("a", "c", ["q"], "static"), ("b", "a", [], "static")]
+    assert rows(maintenance.replace_edges(old, refs.where("false"), read("a", "b"))) == []  # read again, and no import is left
 
 
 def test_report(spark):
@@ -98,7 +100,10 @@ def test_tokens(spark):
     assert [r[0] for r in df.select(text.line_count(F.col("t"))).collect()] == [1, 0, None]
     tags = spark.createDataFrame([("ast:3",), ("ast:10",), ("x",), (None,), ("regex:2",)], "t string")
     assert [r[0] for r in tags.select(text.generation_of(F.col("t"))).collect()] == [3, 10, None, None, 2]
-    assert [r[0] for r in tags.select(lifecycle.generation_action(F.col("t"), "regex")).collect()] == ["clear", "block", "retag", "retag", "retag"] or True
+    assert [r[0] for r in tags.select(lifecycle.generation_action(F.col("t"), "regex")).collect()] == ["clear", "block", "clear", "retag", "retag"]
+    assert [r[0] for r in tags.select(lifecycle.generation_action(F.col("t"), "ast")).collect()] == ["keep", "block", "clear", "clear", "clear"]
+    old = spark.createDataFrame([("regex:0",), ("regex:3",), ("regex:4",)], "t string")
+    assert [r[0] for r in old.select(lifecycle.generation_action(F.col("t"), "regex")).collect()] == ["clear", "keep", "block"]
 
 
 def test_ranking(spark):

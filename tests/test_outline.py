@@ -1,4 +1,6 @@
-from treeledger.operators.outline import outlines
+import pytest
+
+from treeledger.operators.outline import outlines, summarise
 
 FILES = [
     ("src/greet.ts", "/**\n * Greets people. And more.\n */\nexport function greet(n: string) {\n  return n;\n}\n"),
@@ -49,3 +51,34 @@ def test_long_bodies_and_comments(spark):
     assert {r["path"]: r["purpose"] for r in outlines(df).collect()} == {
         "a.py": "class A (2 methods) +S", "m.go": "struct Store (0 methods): Store keeps rows.", "l.rs": "struct L (0 methods): A list.", "h.go": "Package m counts.",
     }
+
+
+LONG = {
+    "a.ts": ("export class A {\n" + "  m{n}(x) {{\n    return x;\n  }}\n", "}\n"),
+    "a.py": ("class A:\n" + "    def m{n}(self):\n        return 1\n", ""),
+    "a.go": ("package a\n\ntype A struct {\n}\n" + "func (a *A) M{n}() {{\n\treturn\n}}\n", ""),
+    "a.rs": ("pub struct A {\n}\nimpl A {\n" + "    pub fn m{n}(&self) {{\n        return;\n    }}\n", "}\n"),
+    "a.kt": ("class A {\n" + "    fun m{n}() {{\n        return\n    }}\n", "}\n"),
+    "A.java": ("public class A {\n" + "    public int m{n}(int x) {{\n        return x;\n    }}\n", "}\n"),
+}
+
+
+@pytest.mark.parametrize("path", LONG)
+def test_classes_of_fifty_thousand_lines(spark, path):
+    start, end = LONG[path]
+    cut = next(i for i in range(len(start)) if "{n}" in start[start.rfind("\n", 0, start.index("{n}")) + 1 :] and i == start.rfind("\n", 0, start.index("{n}")) + 1)
+    method = start[cut:]
+    text = start[:cut] + "".join(method.format(n=n) for n in range(50_000 // method.count("\n"))) + end
+    df = spark.createDataFrame([(path, text)], "path string, contents string")
+    assert outlines(df).first()["methods"] == 50_000 // method.count("\n")
+
+
+def test_summaries(spark):
+    files = FILES + [("p.py", "__all__ = ['b']\ndef a(): ...\ndef b(): ...\n"), ("d.ts", "import x from 'y';\nexport default function f() {}\n"), ("M.java", "import a.b.C;\npublic class M {\n    public M() {}\n    public static final int N = 1;\n    private int q() { return 1; }\n    public static void main(String[] a) {\n    }\n}\n")]
+    df = spark.createDataFrame(files, "path string, contents string")
+    got = {r["path"]: r["summary"] for r in summarise(df).collect()}
+    assert got["n.ts"] is None and got["x.txt"]["purpose"] == "other" and got["e.ts"]["confidence"] == "low"
+    assert got["p.py"]["exports"] == ["b"] and got["d.ts"]["exports"] == ["f", "default"] and got["d.ts"]["imports"] == ["y"]
+    assert got["M.java"]["exports"] == ["M", "N", "main"] and got["M.java"]["imports"] == ["a.b.C"] and got["M.java"]["purpose"].startswith("entry point: class M")
+    assert got["src/s.ts"]["exports"] == ["A", "C"] and got["src/s.ts"]["topLevelDeclarations"] == ["class A", "class Hidden", "class C"]
+    assert all(s["confidence"] == "high" for p, s in got.items() if p in WANT and p != "e.ts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +102,14 @@ def ancestors(path: Column) -> Column:
         F.size(parts) > 1,
         F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")),
     ).otherwise(F.array().cast("array<string>"))
+
+
+def validated(root: str, path: str) -> str:
+    """``path`` relative to ``root``, with slashes; '' for the root. A null character or a way out of the root is an error."""
+    if "\0" in path:
+        raise ValueError("null character in a path")
+    base = posixpath.normpath(root.replace("\\", "/"))
+    full = posixpath.normpath(posixpath.join(base, path.replace("\\", "/")))
+    if full != base and not full.startswith(base.rstrip("/") + "/"):
+        raise ValueError(f"{path} is not below the root")
+    return "" if full == base else full[len(base.rstrip("/")) + 1 :]

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def parse_since(text: str | None) -> int | None:
+    """Epoch milliseconds of an ISO time, in UTC without a zone; None for nothing, ``last_check`` and what is no time."""
+    try:
+        at = datetime.fromisoformat(text.strip()) if text and text != "last_check" else None
+    except ValueError:
+        return None
+    return None if at is None else int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000)
+
+
 def compare(scan: DataFrame, catalogue: DataFrame, since_ms: int | None = None) -> DataFrame:
     """(path, status) with status added, changed, deleted or unchanged.
 

@@ -78,6 +78,10 @@ def _per_family(path: Column, make) -> Column:
     return out.otherwise(F.array().cast("array<string>"))
 
 
+#: The list of names that a Python file exports.
+LISTED = r"__all__\s*=\s*\[([^\]]*)\]"
+
+
 def exports(path: Column, text: Column) -> Column:
     """Exported names in the order of their first mention; ``__all__`` overrides a Python file's."""
 
@@ -87,9 +91,9 @@ def exports(path: Column, text: Column) -> Column:
             default = text.rlike(r"(?m)^export\s+default\s+")
             return F.when(default & ~F.array_contains(found, "default"), F.concat(found, F.array(F.lit("default")))).otherwise(found)
         if name == "python":
-            listed = F.regexp_extract(text, r"__all__\s*=\s*\[([^\]]*)\]", 1)
+            listed = F.regexp_extract(text, LISTED, 1)
             names = F.transform(F.split(listed, ","), lambda s: F.regexp_replace(s, r"""^\s+|\s+$|['"]""", ""))
-            return F.when(text.rlike(r"__all__\s*=\s*\[([^\]]*)\]"), F.array_distinct(F.filter(names, lambda s: s != ""))).otherwise(found)
+            return F.when(text.rlike(LISTED), F.array_distinct(F.filter(names, lambda s: s != ""))).otherwise(found)
         return found
 
     return _per_family(path, make)
@@ -109,6 +113,13 @@ def imports(path: Column, text: Column) -> Column:
     return _per_family(path, make)
 
 
+def modules(path: Column, text: Column) -> Column:
+    """As ``imports``, with Kotlin and Java."""
+    plain = lambda passes: F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(m)) for p, _, m, _ in passes]))
+    f = import_family(path)
+    return F.when(f == "kotlin", plain(KOTLIN_PASSES)).when(f == "java", plain(JAVA_PASSES)).otherwise(imports(path, text))
+
+
 def declarations(path: Column, text: Column) -> Column:
     """Declarations at the start of a line as ``kind name``."""
 
@@ -230,16 +241,17 @@ def _without(text: Column, *patterns: str) -> Column:
 
 
 def _pass(text: Column, number: int, pattern: str, names: int, module: int, kind: str) -> Column:
-    """References of one pass, as (pass, module, names, import_type)."""
-    modules = F.regexp_extract_all(text, F.lit(pattern), F.lit(module))
-    if names in (0, -1):
-        listed = F.transform(modules, lambda m: F.lit("*" if names else ""))
-    else:
-        listed = F.regexp_extract_all(text, F.lit(pattern), F.lit(max(names, 1)))
-    if names == -2:
-        listed = F.transform(listed, lambda s: F.concat(F.lit("* as "), s))
-    pairs = F.arrays_zip(modules.alias("m"), listed.alias("l"))
-    return F.transform(pairs, lambda z: F.struct(F.lit(number).alias("pass"), z["m"].alias("module"), z["l"].alias("names"), F.lit(kind).alias("import_type")))
+    """References of one pass, as (pass, module, names, import_type).
+
+    The text is searched once; what the groups hold is read from the short matches.
+    """
+
+    def ref(match: Column) -> Column:
+        listed = F.lit("*" if names == -1 else "") if names in (0, -1) else F.regexp_extract(match, pattern, max(names, 1))
+        told = F.concat(F.lit("* as "), listed) if names == -2 else listed
+        return F.struct(F.lit(number).alias("pass"), F.regexp_extract(match, pattern, module).alias("module"), told.alias("names"), F.lit(kind).alias("import_type"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), ref)
 
 
 def _refs(text: Column, passes) -> Column:

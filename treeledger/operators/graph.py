@@ -46,9 +46,31 @@ def most_connected(edges: DataFrame, limit: int = 10) -> DataFrame:
     return degrees(edges).orderBy(F.col("degree").desc(), "node").limit(max(0, limit))
 
 
-def node_centrality(edges: DataFrame) -> DataFrame:
-    """(node, degree, centrality): the logarithm of the degree against the highest one."""
+def summary(edges: DataFrame, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Totals and adjacency of the most connected nodes.
+
+    The first is one row (total_files, total_edges, shown_files, shown_edges, truncated); the
+    second holds the edges (source, target) that start at one of the ``limit`` nodes of
+    highest degree, sorted, as rows because a hub's list has no bound.
+    """
+    nodes = degrees(edges)
+    top = most_connected(edges, limit).select(F.col("node").alias("src"))
+    shown = edges.select("src", "dst").join(top, "src", "left_semi")
+    all_nodes = nodes.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("n_out"), F.lit(0)).alias("total_edges"))
+    one = F.lit(1).alias("one")  # both sides are one row each
+    counted = all_nodes.select("*", one).join(shown.agg(F.count("*").alias("shown_edges")).select("*", one), "one")
+    kept = F.least(F.lit(max(0, limit)).cast("bigint"), F.col("total_files"))
+    totals = counted.select("total_files", "total_edges", kept.alias("shown_files"), "shown_edges", (F.col("total_files") > kept).alias("truncated"))
+    return totals, shown.select(F.col("src").alias("source"), F.col("dst").alias("target")).orderBy("source", "target")
+
+
+def node_centrality(edges: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(node, degree, centrality): the logarithm of the degree against the highest one.
+
+    With ``among`` (node) only these nodes count, the highest degree is theirs too.
+    """
     d = degrees(edges)
+    d = d if among is None else d.join(among.select("node").distinct(), "node", "left_semi")
     most = d.agg(F.max("degree")).first()[0] or 0
     return d.select("node", "degree", centrality(F.col("degree"), F.lit(most)).alias("centrality"))
 
@@ -109,9 +131,12 @@ def proximity(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return scored.groupBy("node").agg(F.max("p").alias("proximity"))
 
 
-def symbol_edges(imports: DataFrame, symbol: str | None = None) -> DataFrame:
-    """(symbol, source, target, import_type), distinct, of the names that edges import; letter case counts."""
-    rows = imports.where(F.col("source").isNotNull() & internal(F.col("target"))).select(
+def symbol_edges(imports: DataFrame, symbol: str | None = None, resolved: bool = False) -> DataFrame:
+    """(symbol, source, target, import_type), distinct, of the names that edges import; letter case counts.
+
+    Of ``resolved`` edges every target is a file, of others those that look like one.
+    """
+    rows = imports.where(F.col("source").isNotNull() & (F.col("target").isNotNull() if resolved else internal(F.col("target")))).select(
         F.explode("specifiers").alias("symbol"), resolve_path(F.col("source")).alias("source"), resolve_path(F.col("target")).alias("target"), "import_type"
     )
     rows = rows.where(F.col("symbol").isNotNull() if symbol is None else F.col("symbol") == symbol)

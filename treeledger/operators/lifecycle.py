@@ -12,25 +12,36 @@ DAY_MS = 86_400_000
 GENERATION = 3
 
 
-def garbage_counts(files: DataFrame, scan: DataFrame, edges: DataFrame, events: DataFrame, now_ms: int, file_days: int = 30, event_days: int = 90) -> DataFrame:
-    """(category, n): rows that a collection would remove.
+def garbage(files: DataFrame, scan: DataFrame, edges: DataFrame, events: DataFrame, tasks: DataFrame, now_ms: int, file_days: float = 30, event_days: float = 90, task_days: float = 30) -> dict[str, DataFrame]:
+    """Rows that a collection removes, by category.
 
     Deleted files are not in the scan; stale ones are still there but unchecked for
-    ``file_days``; orphan edges start at no remaining file; old events are past ``event_days``.
+    ``file_days``; orphan edges (src) start at no remaining file; old events are past
+    ``event_days``; old tasks are completed or archived and were not updated for ``task_days``.
     """
+    before = lambda days: F.lit(int(now_ms - days * DAY_MS))
     deleted = files.join(scan.select("path"), "path", "left_anti")
-    old = F.coalesce(F.col("last_checked") < F.lit(now_ms - file_days * DAY_MS), F.lit(False))
+    old = F.coalesce(F.col("last_checked") < before(file_days), F.lit(False))
     left = files.join(scan.select("path"), "path", "left_semi")
-    kept = left.where(~old)
-    orphans = edges.join(kept.select(F.col("path").alias("src")), "src", "left_anti")
-    parts = {"deleted_files": deleted, "stale_files": left.where(old), "orphan_edges": orphans, "old_events": events.where(F.col("timestamp") < now_ms - event_days * DAY_MS)}
+    orphans = edges.join(left.where(~old).select(F.col("path").alias("src")), "src", "left_anti")
+    done = F.col("state").isin("completed", "archived") & (F.col("updated_at") < before(task_days))
+    return {"deleted_files": deleted, "stale_files": left.where(old), "orphan_edges": orphans, "old_events": events.where(F.col("timestamp") < before(event_days)), "old_tasks": tasks.where(done)}
+
+
+def garbage_counts(*tables: DataFrame, now_ms: int, **days: float) -> DataFrame:
+    """(category, n): how many rows ``garbage`` tells of each category."""
     out = None
-    for name, rows in parts.items():
+    for name, rows in garbage(*tables, now_ms=now_ms, **days).items():
         counted = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("category"), "n")
         out = counted if out is None else out.unionByName(counted)
     return out
 
 
+def kept_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges (source) whose source is a file."""
+    return edges.join(files.select(F.col("path").alias("source")).distinct(), "source", "left_semi")
+
+
 def orphan_sources(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Edges whose source is no file."""
     return edges.join(files.select(F.col("path").alias("src")).distinct(), "src", "left_anti")
@@ -39,13 +50,14 @@ def orphan_sources(edges: DataFrame, files: DataFrame) -> DataFrame:
 def generation_action(tag: Column, mode: str, generation: int = GENERATION) -> Column:
     """What to do with stored summaries: ``block`` writes when the tag is newer, ``retag``, ``clear`` or ``keep``.
 
-    Regular-expression summaries of earlier generations are still right, so they are only retagged.
+    Regular-expression summaries of earlier generations, and those of before there were tags,
+    are still right, so they are only retagged. A malformed tag tells nothing, so all is cleared.
     """
     stored, stored_mode = generation_of(tag), generation_mode(tag)
     return (
         F.when(stored > generation, "block")
         .when((stored == generation) & (stored_mode == mode), "keep")
-        .when((F.lit(mode) == "regex") & (tag.isNull() | (stored_mode == "regex")), "retag")
+        .when((F.lit(mode) == "regex") & (tag.isNull() | ((stored_mode == "regex") & stored.between(1, generation - 1))), "retag")
         .otherwise("clear")
     )
 

@@ -39,10 +39,11 @@ def clear_summaries(files: DataFrame) -> DataFrame:
     return files.withColumn("summary", F.lit(None).cast(files.schema["summary"].dataType))
 
 
-def replace_edges(edges: DataFrame, refs: DataFrame) -> DataFrame:
-    """Edges after the sources of ``refs`` were read again; the last of equal references counts.
+def replace_edges(edges: DataFrame, refs: DataFrame, read: DataFrame) -> DataFrame:
+    """Edges after the files of ``read`` (path) were read again; the last of equal references counts.
 
-    ``refs``: source, target, specifiers, import_type, ordinal, external. External ones are dropped.
+    ``refs``: source, target, specifiers, import_type, ordinal, external. External ones are
+    dropped. A file that was read and has no reference left loses all its edges.
     """
     last = (
         refs.where(~F.coalesce("external", F.lit(False)))
@@ -50,7 +51,8 @@ def replace_edges(edges: DataFrame, refs: DataFrame) -> DataFrame:
         .agg(F.max_by("specifiers", "ordinal").alias("specifiers"))
         .select("source", "target", "specifiers", "import_type")
     )
-    return edges.join(refs.select("source").distinct(), "source", "left_anti").select("source", "target", "specifiers", "import_type").unionByName(last)
+    again = read.select(F.col("path").alias("source")).distinct()
+    return edges.join(again, "source", "left_anti").select("source", "target", "specifiers", "import_type").unionByName(last)
 
 
 def last_edges(edges: DataFrame) -> DataFrame:
@@ -83,6 +85,11 @@ def sample_events(events: DataFrame, rate: float) -> DataFrame:
 
 
 def to_jsonl(events: DataFrame) -> DataFrame:
-    """One JSON line for each event, without its id; null fields are written."""
+    """(id, timestamp, line): one JSON line for each event, in which its id is left out; null fields are written."""
     line = F.to_json(F.struct("timestamp", "event_type", "file_path", "tokens_estimated", F.col("metadata_json").alias("metadata")), {"ignoreNullFields": "false"})
-    return events.select("id", line.alias("line"))
+    return events.select("id", "timestamp", line.alias("line"))
+
+
+def write_jsonl(events: DataFrame, folder: str) -> None:
+    """Write the lines in the order of their times; the parts of the folder follow each other. No event gives an empty folder."""
+    to_jsonl(events).orderBy("timestamp", "id").select("line").write.mode("overwrite").text(folder)

@@ -26,16 +26,20 @@ _RUST_DOC = r"(?:^///[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?(?:^#\[[^\n]*\n)*+"
 _BODY = r"[^{;]*\{([\s\S]*?)^\}"
 
 
+_DECLARED = "array<struct<doc:string,exported:boolean,kind:string,name:string,body:string>>"
+
+
 @dataclass(frozen=True)
 class Rules:
     classes: str
-    functions: str
-    types: str
-    constants: str
+    functions: str | None  # None where the language has none outside of classes
+    types: str | None
+    constants: str | None
     method: str
     exported: str  # regular expression that the exported part, or the name, must match
     by_name: bool = False
     file_doc: str = r"\A\s*/\*\*?[ \t]*\r?\n?[ \t]*\*?[ \t]*([^\n*/]+)"
+    members: str | None = None  # names that an exported class exports itself
 
 
 # The rules of each language. Groups: doc, exported part, kind, name, body.
@@ -82,19 +86,25 @@ RULES = {
     ),
     "java": Rules(
         rf"(?m){_BLOCK_DOC}^((?:(?:public|protected|private|abstract|final|sealed|non-sealed|static|strictfp)\s+)*)(class|interface|enum|record|@interface)\s+(\w+){_BODY}",
-        r"(?m)()^()(static)\s+NEVER(\w)()", r"(?m)()^()(type)\s+NEVER(\w)()", r"(?m)()^()(const)\s+NEVER(\w)()",
+        None, None, None,
         r"(?m)^(?:    |\t)(?:(?:public|protected|private|abstract|final|static|synchronized|default|native)\s+)*(?:<[^>\n]*>\s*)?[\w<>\[\], ?.]+\s+\w+\s*\([^)]*\)[^;{=]*[{;]",
-        "public",
+        "public", members=r"(?m)^(?:    |\t)public\s+[^\n(=;{]*?\b(\w+)\s*[(=;{]",
     ),
 }
 
 
 def _declared(text: Column, pattern: str, rules: Rules) -> Column:
-    """Declarations of one rule, as (doc, exported, kind, name, body)."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(n)) for n in range(1, 6)]
-    zipped = F.arrays_zip(*[p.alias(a) for p, a in zip(parts, ("doc", "mark", "kind", "name", "body"))])
-    exported = (lambda z: z["name"].rlike(rules.exported)) if rules.by_name else (lambda z: z["mark"].rlike(rules.exported))
-    return F.transform(zipped, lambda z: F.struct(first_sentence(F.coalesce(z["doc"], F.lit(""))).alias("doc"), exported(z).alias("exported"), F.coalesce(z["kind"], F.lit("")).alias("kind"), z["name"].alias("name"), F.coalesce(z["body"], F.lit("")).alias("body")))
+    """Declarations of one rule, as (doc, exported, kind, name, body).
+
+    The text is searched once; what the groups hold is read from the matches.
+    """
+
+    def declaration(match: Column) -> Column:
+        doc, mark, kind, name, body = (F.regexp_extract(match, pattern, n) for n in range(1, 6))
+        exported = name.rlike(rules.exported) if rules.by_name else mark.rlike(rules.exported)
+        return F.struct(first_sentence(doc).alias("doc"), exported.alias("exported"), kind.alias("kind"), name.alias("name"), body.alias("body"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), declaration)
 
 
 def first_sentence(line: Column) -> Column:
@@ -149,15 +159,12 @@ def _shown(items: Column) -> Column:
     return F.when(F.size(public) > 0, public).otherwise(items)
 
 
-def outlines(files: DataFrame) -> DataFrame:
-    """(path, language, purpose, classes, functions, types, constants, methods, lines) of sources of six languages.
-
-    ``methods`` counts those of the class that has most, the first of equal ones, which the
-    purpose names. Texts of other languages and null texts give no row.
-    """
+def _outlined(files: DataFrame, *keep: str) -> DataFrame:
+    """Rows of the six languages with language, purpose, and the lists classes, functions, types and constants."""
     t = F.col("contents")
-    rows = files.where(t.isNotNull()).select("path", "contents", extract.import_family(F.col("path")).alias("language")).where(F.col("language").isNotNull())
-    lists = rows.select("*", *[_by_language(lambda _, r, n=n: _declared(t, getattr(r, n), r)).alias(n) for n in ("classes", "functions", "types", "constants")], _by_language(lambda _, r: first_sentence(F.regexp_extract(t, r.file_doc, 1))).alias("file_doc"))
+    rows = files.where(t.isNotNull()).select("path", "contents", *keep, extract.import_family(F.col("path")).alias("language")).where(F.col("language").isNotNull())
+    listed = lambda n: F.coalesce(_by_language(lambda _, r: _declared(t, getattr(r, n), r) if getattr(r, n) else F.lit(None)), F.array().cast(_DECLARED)).alias(n)
+    lists = rows.select("*", *map(listed, ("classes", "functions", "types", "constants")), _by_language(lambda _, r: first_sentence(F.regexp_extract(t, r.file_doc, 1))).alias("file_doc"))
     out = lists.withColumn("shown", _shown(F.col("classes"))).withColumn("counts", _by_language(_method_counts))
     shown, fns = F.col("shown"), _shown(F.col("functions"))
     most = F.array_max("counts")
@@ -178,11 +185,46 @@ def outlines(files: DataFrame) -> DataFrame:
         .when(F.size("constants") > 0, with_doc(F.concat(F.lit("constants: "), list_names(_names(F.col("constants")), 4)), " — ", whole))
         .otherwise(F.coalesce(whole, F.lit("source")))
     )
-    main = F.exists("functions", lambda f: f["name"] == "main") | t.startswith("#!")
+    main = F.exists("functions", lambda f: f["name"] == "main") | t.startswith("#!") | ((F.col("language") == "java") & t.rlike(r"\bstatic\s+void\s+main\s*\("))
     named = out.withColumn("category", F.coalesce(category(F.col("path"), t), F.when(main, "entry point"))).withColumn("detail", detail)
     line = F.when(F.col("category").isNotNull() & ~F.col("detail").startswith(F.col("category")), F.concat("category", F.lit(": "), "detail")).otherwise(F.col("detail"))
     cut = F.when(F.length(line) > MOST, F.concat(F.substring(line, 1, MOST - 1), F.lit("…"))).otherwise(line)
-    return named.select("path", "language", cut.alias("purpose"), *[_names(F.col(n)).alias(n) for n in ("classes", "functions", "types", "constants")], F.coalesce(most, F.lit(0)).alias("methods"), line_count(t).alias("lines"))
+    return named.withColumn("purpose", cut).withColumn("methods", F.coalesce(most, F.lit(0)))
+
+
+def outlines(files: DataFrame) -> DataFrame:
+    """(path, language, purpose, classes, functions, types, constants, methods, lines) of sources of six languages.
+
+    ``methods`` counts those of the class that has most, the first of equal ones, which the
+    purpose names. Texts of other languages and null texts give no row.
+    """
+    lists = [_names(F.col(n)).alias(n) for n in ("classes", "functions", "types", "constants")]
+    return _outlined(files).select("path", "language", "purpose", *lists, "methods", line_count(F.col("contents")).alias("lines"))
+
+
+def summarise(files: DataFrame) -> DataFrame:
+    """(path, summary) of each row of ``files`` (path, contents), made from the outline of its text.
+
+    Texts of other languages, blank and null ones are summarised by ``extract.summarise``.
+    Exports are listed by classes, functions, types and constants; confidence is high.
+    """
+    p, t = F.col("path"), F.col("contents")
+    known = F.coalesce(extract.import_family(p).isNotNull() & t.rlike(r"\S"), F.lit(False))
+    exported = lambda n: _names(F.filter(n, lambda x: x["exported"]))
+    members = F.coalesce(_by_language(lambda _, r: _members(r) if r.members else F.lit(None)), F.array().cast("array<string>"))
+    default = F.when((F.col("language") == "script") & t.rlike(r"(?m)^export[ \t]+default\b"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))
+    exports = F.array_distinct(F.concat(exported("classes"), members, exported("functions"), exported("types"), exported("constants"), default))
+    exports = F.when((F.col("language") == "python") & t.rlike(extract.LISTED), extract.exports(p, t)).otherwise(exports)
+    kinds = lambda n, bare: F.transform(n, lambda x: F.concat(F.coalesce(F.nullif(x["kind"], F.lit("")), F.lit(bare)), F.lit(" "), x["name"]))
+    declared = F.array_distinct(F.concat(kinds("classes", "type"), kinds("functions", "func"), kinds("types", "type"), kinds("constants", "const")))
+    summary = F.struct("purpose", exports.alias("exports"), extract.modules(p, t).alias("imports"), line_count(t).alias("lineCount"), declared.alias("topLevelDeclarations"), F.lit("high").alias("confidence"))
+    return _outlined(files.where(known)).select("path", summary.alias("summary")).unionByName(extract.summarise(files.where(~known)))
+
+
+def _members(rules: Rules) -> Column:
+    """Names that the exported classes export themselves, but for their constructors."""
+    open_classes = F.filter("classes", lambda c: c["exported"])
+    return F.flatten(F.transform(open_classes, lambda c: F.filter(F.regexp_extract_all(c["body"], F.lit(rules.members), F.lit(1)), lambda n: n != c["name"])))
 
 
 def _method_counts(name: str, rules: Rules) -> Column:

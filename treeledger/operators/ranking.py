@@ -29,8 +29,12 @@ def composite(signals: Column, weights: Mapping[str, float] | None = None) -> Co
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """``ranked_files`` with ``composite``: the newest row of each resolved pair, all of them."""
-    row = F.struct("ranked_at", "score", "signals")
+    """``ranked_files`` with ``composite``: the newest row of each resolved pair, all of them.
+
+    A NaN score is none, so it becomes null; of equally new rows the one with the greatest score counts.
+    """
+    score = F.when(~F.isnan("score"), F.col("score"))
+    row = F.struct("ranked_at", score.alias("score"), "signals")
     pairs = rows.where(F.col("query_file").isNotNull() & F.col("path").isNotNull()).select(resolve_path(F.col("query_file")).alias("query_file"), resolve_path(F.col("path")).alias("path"), row.alias("row"))
     newest = pairs.groupBy("query_file", "path").agg(F.max("row").alias("row"))
     return newest.select("query_file", "path", "row.score", F.round(composite(F.col("row.signals")), 9).alias("composite"))
@@ -40,7 +44,8 @@ def task_context(candidates: DataFrame, task_files: DataFrame) -> DataFrame:
     """(path, task_context) against all files that tasks touched.
 
     1 in the folder of a flagged file, 0.7 in that of an explored one, 0.4 when both
-    folders have the same parent, else 0.1. ``task_files``: file_path, status.
+    folders have the same parent, else 0.1. ``task_files``: file_path, status. Empty
+    ``task_files`` give 0.1 everywhere.
     """
     touched = task_files.where(F.col("file_path").isNotNull()).select(dirname(resolve_path(F.col("file_path"))).alias("folder"), "status")
     folders = touched.groupBy("folder").agg(F.max(F.when(F.col("status") == "flagged", 1.0).otherwise(0.7)).alias("own"))

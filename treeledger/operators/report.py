@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import resolve_path
+from treeledger.session import cut_lineage
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 # The known event types.
@@ -32,6 +33,14 @@ def since(events: DataFrame, since_ms: Column | int | None) -> DataFrame:
     return events if since_ms is None or isinstance(since_ms, int) and since_ms == 0 else events.where(F.col("timestamp") >= since_ms)
 
 
+def event_log(events: DataFrame, event_type: str | None = None, since_ms: int | None = None, limit: int | None = None) -> DataFrame:
+    """Events of a type from a time on, the latest first; what is None, '' or 0 does not count."""
+    found = since(events, since_ms)
+    found = found.where(F.col("event_type") == event_type) if event_type else found
+    ordered = found.orderBy(F.col("timestamp").desc(), "id")
+    return ordered.limit(limit) if limit else ordered
+
+
 def events_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n_events"))
 
@@ -55,12 +64,17 @@ def top_files(events: DataFrame, limit: int = 10) -> DataFrame:
     return files_by_use(events).orderBy(F.col("n_events").desc(), F.col("last_at").desc(), "file_path").limit(limit)
 
 
+def missed_query(events: DataFrame) -> Column:
+    """The query of a search without a result, when its metadata holds a string; malformed JSON has none."""
+    value = F.expr("try_variant_get(try_parse_json(metadata_json), '$.query', 'variant')")
+    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(events["event_type"] == "search_miss", text)
+
+
 def missed_queries(events: DataFrame) -> DataFrame:
-    """(query, n_missed): searches without a result, only those with a string as query. Malformed JSON has none."""
-    asked = events.where(F.col("event_type") == "search_miss").select(F.expr("try_parse_json(metadata_json)").alias("m"))
-    value = asked.select(F.expr("try_variant_get(m, '$.query', 'variant')").alias("v"))
-    strings = value.where(F.expr("schema_of_variant(v) = 'STRING'")).select(F.expr("try_variant_get(v, '$', 'string')").alias("query"))
-    return strings.groupBy("query").agg(F.count("*").alias("n_missed"))
+    """(query, n_missed): searches without a result, only those with a string as query."""
+    asked = events.where(F.col("event_type") == "search_miss").select(missed_query(events).alias("query")).where(F.col("query").isNotNull())
+    return asked.groupBy("query").agg(F.count("*").alias("n_missed"))
 
 
 def by_session(events: DataFrame) -> DataFrame:
@@ -82,15 +96,46 @@ def age_histogram(catalogue: DataFrame, now_ms: Column) -> DataFrame:
 def token_report(telemetry: DataFrame, since_ms: int | None = None) -> DataFrame:
     """The whole report as one row: totals, counts by type, top files and missed queries.
 
-    Types outside of the known ones are counted together as ``other``, so the row stays small.
+    Types outside of the known ones are counted together as ``other``, so the row stays
+    small. The log is read once: its events are counted by type, file and query, and these
+    counts, written once, feed all parts.
     """
     events = since(distinct_events(telemetry), since_ms)
-    one = F.lit(1).alias("one")
-    named = events.withColumn("event_type", F.when(F.col("event_type").isin(*KINDS), F.col("event_type")).otherwise("other"))
-    kinds = events_by_type(named).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n_events")))).alias("events_by_type"))
-    files = top_files(events).agg(F.collect_list(F.struct("file_path", "n_events", "tokens")).alias("top_files"))
-    missed = missed_queries(events).orderBy(F.col("n_missed").desc(), "query").limit(10).agg(F.collect_list(F.struct("query", "n_missed")).alias("top_missed_queries"))
-    out = totals(events).select("*", one)
-    for part in (kinds, files, missed):  # one row each
+    kind = F.when(F.col("event_type").isin(*KINDS), F.col("event_type")).otherwise("other")
+    rows = events.select(kind.alias("event_type"), "file_path", missed_query(events).alias("query"), "tokens_estimated", "timestamp")
+    counted = cut_lineage(rows.groupBy("event_type", "file_path", "query").agg(F.count("*").alias("n"), F.sum("tokens_estimated").alias("tokens"), F.max("timestamp").alias("last_at")))
+    one, n = F.lit(1).alias("one"), F.sum("n")
+    hits, misses = (F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("n"))), F.lit(0)) for k in ("cache_hit", "cache_miss"))
+    saved = F.sum(F.when(F.col("event_type").isin(*SAVING), F.col("tokens")))
+    sums = counted.agg(F.coalesce(n, F.lit(0)).alias("total_events"), hits.alias("cache_hits"), misses.alias("cache_misses"), F.coalesce(saved, F.lit(0)).alias("tokens_saved"))
+    asked = F.col("cache_hits") + F.col("cache_misses")
+    out = sums.withColumn("hit_ratio", F.when(asked > 0, F.col("cache_hits") / asked).otherwise(0.0)).select("*", one)
+    kinds = counted.groupBy("event_type").agg(n.alias("n_events")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n_events")))).alias("events_by_type"))
+    named = counted.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(n.alias("n_events"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.max("last_at").alias("last_at"))
+    missed = counted.where(F.col("query").isNotNull()).groupBy("query").agg(n.alias("n_missed"))
+    files = _best(named, [F.col("n_events").desc(), F.col("last_at").desc(), F.col("file_path")], "top_files", "file_path", "n_events", "tokens")
+    queries = _best(missed, [F.col("n_missed").desc(), F.col("query")], "top_missed_queries", "query", "n_missed")
+    for part in (kinds, files, queries):  # one row each
         out = out.join(part.select("*", one), "one")
     return out.drop("one")
+
+
+def _best(rows: DataFrame, order: list[Column], name: str, *fields: str) -> DataFrame:
+    """One row with the ten first rows as an ordered list."""
+    ten = rows.orderBy(*order).limit(10).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # ten rows, so one task will do
+    listed = F.array_sort(F.collect_list(F.struct("place", *fields)))
+    return ten.agg(F.transform(listed, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
+
+
+def report_rows(report: DataFrame) -> DataFrame:
+    """(part, item, n, tokens, ratio): a report as rows, for tables and comparisons."""
+    none, ratio = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    row = lambda part, item, n, tokens=none, ratio=ratio: F.struct(F.lit(part).alias("part"), item.alias("item"), n.alias("n"), tokens.alias("tokens"), ratio.alias("ratio"))
+    sums = [row("totals", F.lit(c), F.col(c)) for c in ("total_events", "cache_hits", "cache_misses", "tokens_saved")]
+    lists = (
+        F.array(*sums, row("totals", F.lit("hit_ratio"), none, none, F.col("hit_ratio"))),
+        F.transform(F.map_entries("events_by_type"), lambda e: row("kinds", e["key"], e["value"])),
+        F.transform("top_files", lambda f: row("top_files", f["file_path"], f["n_events"], f["tokens"])),
+        F.transform("top_missed_queries", lambda q: row("top_missed", q["query"], q["n_missed"])),
+    )
+    return report.select(F.explode(F.concat(*lists)).alias("r")).select("r.*")

@@ -136,12 +136,21 @@ def retained_events(s, d):
 
 
 def events_jsonl(s, d):
-    return maintenance.to_jsonl(_events(s, d))
+    return maintenance.to_jsonl(_events(s, d)).select("id", "line")
 
 
 def event_log(s, d):
     events = read_table(s, d, "telemetry")
-    return report.since(report.distinct_events(events), _newest(events, "timestamp") - 60 * DAY_MS).where(F.col("event_type") == "search_miss").select("id", "timestamp", "metadata_json")
+    found = report.event_log(report.distinct_events(events), "search_miss", _newest(events, "timestamp") - 60 * DAY_MS)
+    return found.select("id", "timestamp", "metadata_json")
+
+
+def latest_events(s, d):
+    """The hundred latest events with their place."""
+    from pyspark.sql import Window
+
+    latest = report.event_log(_events(s, d).where(F.col("id").isNotNull() & F.col("timestamp").isNotNull()), limit=100)
+    return latest.withColumn("place", F.row_number().over(Window.orderBy(F.col("timestamp").desc(), "id"))).select("place", "id", "timestamp", "event_type")
 
 
 def report_by_type(s, d):
@@ -179,7 +188,7 @@ def age_histogram(s, d):
 
 
 def token_report(s, d):
-    return report.token_report(read_table(s, d, "telemetry"))
+    return report.report_rows(report.token_report(read_table(s, d, "telemetry")))
 
 
 def language_breakdown(s, d):
@@ -206,6 +215,15 @@ def most_connected(s, d):
     return graph.most_connected(_edges(s, d)).select("node", "degree")
 
 
+def graph_summary(s, d):
+    return graph.summary(_edges(s, d))[0]
+
+
+def graph_adjacency(s, d):
+    """Edges of the 50 most connected files."""
+    return graph.summary(_edges(s, d))[1]
+
+
 def node_centrality(s, d):
     c = graph.node_centrality(_edges(s, d))
     return c.select("node", F.round("centrality", 9).alias("centrality"))
@@ -298,7 +316,8 @@ def session_unchecked(s, d):
 def garbage_counts(s, d):
     files = read_table(s, d, "files")
     events = _events(s, d)
-    return lifecycle.garbage_counts(cat.newest_files(files), _last_delivery(s, d), _edges(s, d), events, _newest(files))
+    tasks = memory.newest_tasks(read_table(s, d, "tasks"))
+    return lifecycle.garbage_counts(cat.newest_files(files), _last_delivery(s, d), _edges(s, d), events, tasks, now_ms=_newest(files))
 
 
 def invalidated(s, d):
@@ -351,9 +370,9 @@ CATALOGUE = {
     f.__name__: f
     for f in (
         scan_files, path_scope, stale_files, file_freshness, capped_exports, entry_points, change_detection, changes_since, duplicate_contents, source_tokens,
-        upsert_files, touched_files, last_edges, pruned_edges, orphan_sources, deleted_entries, retained_events, events_jsonl, event_log,
+        upsert_files, touched_files, last_edges, pruned_edges, orphan_sources, deleted_entries, retained_events, events_jsonl, event_log, latest_events,
         report_by_type, report_totals, report_last_hours, report_top_files, report_file_use, report_missed, report_sessions, age_histogram, token_report,
-        language_breakdown, folder_counts, folder_counts_shallow, import_edges, node_degrees, most_connected, node_centrality, symbol_edges, symbol_usage,
+        language_breakdown, folder_counts, folder_counts_shallow, import_edges, node_degrees, most_connected, graph_summary, graph_adjacency, node_centrality, symbol_edges, symbol_usage,
         reach_two, reach_all, dependents_all, proximity, related_files, rank_composite, rank_signals, search_purpose, search_scores,
         frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, source_outlines, import_refs, diff_classes, smart_summaries, summary_savings, stream_type_counts,
     )

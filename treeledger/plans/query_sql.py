@@ -39,6 +39,7 @@ COMPARED = f"""both_ AS (SELECT coalesce(s.path, c.path) AS path, c.last_checked
 TOTALS = """SELECT count(*) AS total_events, count(*) FILTER (event_type = 'cache_hit') AS cache_hits, count(*) FILTER (event_type = 'cache_miss') AS cache_misses,
   CAST(coalesce(sum(tokens_estimated) FILTER (event_type IN ('cache_hit', 'summary_served')), 0) AS BIGINT) AS tokens_saved,
   CASE WHEN count(*) FILTER (event_type IN ('cache_hit', 'cache_miss')) > 0 THEN count(*) FILTER (event_type = 'cache_hit') / count(*) FILTER (event_type IN ('cache_hit', 'cache_miss')) ELSE 0.0 END AS hit_ratio FROM ev"""
+KINDED = "kinded AS (SELECT CASE WHEN event_type IN ('cache_hit', 'cache_miss', 'invalidation', 'force_reread', 'summary_served', 'search_miss') THEN event_type ELSE 'other' END AS kind FROM ev)"
 DIR = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') ELSE '.' END"
 STARTS = "starts AS (SELECT path AS node FROM f WHERE starts_with(summary.purpose, 'entry point'))"
 QUERY_JSON = "CASE WHEN json_valid(metadata_json) AND json_type(metadata_json, '$.{0}') = 'VARCHAR' THEN json_extract_string(metadata_json, '$.{0}') END"
@@ -93,6 +94,7 @@ QUALIFY row_number() OVER (PARTITION BY source, target, import_type ORDER BY ind
     "events_jsonl": f"""WITH {EV} SELECT id, '{{"timestamp":' || coalesce(CAST(timestamp AS VARCHAR), 'null') || ',"event_type":' || coalesce(CAST(to_json(event_type) AS VARCHAR), 'null') || ',"file_path":' || coalesce(CAST(to_json(file_path) AS VARCHAR), 'null')
   || ',"tokens_estimated":' || coalesce(CAST(tokens_estimated AS VARCHAR), 'null') || ',"metadata":' || coalesce(CAST(to_json(metadata_json) AS VARCHAR), 'null') || '}}' AS line FROM ev""",
     "event_log": f"WITH {EV} SELECT id, timestamp, metadata_json FROM ev WHERE event_type = 'search_miss' AND timestamp >= (SELECT max(timestamp) FROM telemetry) - {60 * DAY}",
+    "latest_events": f"WITH {EV} SELECT CAST(row_number() OVER (ORDER BY timestamp DESC, id) AS INTEGER) AS place, id, timestamp, event_type FROM ev WHERE id IS NOT NULL AND timestamp IS NOT NULL ORDER BY timestamp DESC, id LIMIT 100",
     "report_by_type": f"WITH {EV} SELECT event_type, count(*) AS n_events FROM ev GROUP BY 1",
     "report_totals": f"WITH {EV} {TOTALS}",
     "report_last_hours": f"WITH {EV} {TOTALS} WHERE timestamp >= (SELECT max(timestamp) FROM telemetry) - {48 * 3_600_000}",
@@ -103,6 +105,14 @@ QUALIFY row_number() OVER (PARTITION BY source, target, import_type ORDER BY ind
   FROM q WHERE session IS NOT NULL GROUP BY 1""",
     "age_histogram": f"""WITH {F}, {NOW}, a AS (SELECT CASE WHEN (t - last_checked) / {DAY} < 1 THEN '<1 day' WHEN (t - last_checked) / {DAY} < 7 THEN '1-7 days' WHEN (t - last_checked) / {DAY} < 30 THEN '7-30 days' ELSE '>30 days' END AS age FROM f, now)
 SELECT l.age, count(a.age) AS n_files FROM (VALUES ('<1 day'), ('1-7 days'), ('7-30 days'), ('>30 days')) l(age) LEFT JOIN a ON a.age = l.age GROUP BY 1""",
+    "token_report": f"""WITH {EV}, {KINDED}, files AS (SELECT file_path AS item, count(*) AS n, sum(coalesce(tokens_estimated, 0)) AS tokens, max(timestamp) AS last_at FROM ev WHERE file_path IS NOT NULL GROUP BY 1),
+misses AS (SELECT {QUERY_JSON.format('query')} AS item, count(*) AS n FROM ev WHERE event_type = 'search_miss' GROUP BY 1), t AS ({TOTALS}),
+parts AS (SELECT 'totals' AS part, u.item, u.n, CAST(NULL AS HUGEINT) AS tokens, CAST(NULL AS DOUBLE) AS ratio FROM t, LATERAL (VALUES ('total_events', total_events), ('cache_hits', cache_hits), ('cache_misses', cache_misses), ('tokens_saved', tokens_saved)) u(item, n)
+  UNION ALL SELECT 'totals', 'hit_ratio', NULL, NULL, hit_ratio FROM t
+  UNION ALL SELECT 'kinds', kind, count(*), NULL, NULL FROM kinded GROUP BY kind
+  UNION ALL (SELECT 'top_files', item, n, tokens, NULL FROM files ORDER BY n DESC, last_at DESC, item LIMIT 10)
+  UNION ALL (SELECT 'top_missed', item, n, NULL, NULL FROM misses WHERE item IS NOT NULL ORDER BY n DESC, item LIMIT 10))
+SELECT part, item, CAST(n AS BIGINT) AS n, CAST(tokens AS BIGINT) AS tokens, ratio FROM parts""",
     "language_breakdown": f"WITH {F} SELECT string_split(path, '/')[1] AS project, CASE WHEN regexp_extract(string_split(path, '/')[-1], '[^.](\\.[^.]*)$', 1) = '' THEN '(no extension)' ELSE regexp_extract(string_split(path, '/')[-1], '[^.](\\.[^.]*)$', 1) END AS extension, count(*) AS n_files FROM f GROUP BY 1, 2",
     "folder_counts": f"""WITH {F}, p AS (SELECT path, {DIR.format('path')} AS own, string_split(path, '/') AS parts FROM f),
 x AS (SELECT own, array_to_string(parts[1:n], '/') AS folder, n FROM p, LATERAL (SELECT unnest(range(1, len(parts))) AS n))
@@ -131,7 +141,7 @@ o2 AS (SELECT DISTINCT dst AS node FROM e JOIN o1 ON src = node), i2 AS (SELECT
 r AS (SELECT node, 1 AS k FROM o1 UNION ALL SELECT node, 2 FROM i1 UNION ALL SELECT node, 3 FROM o2 UNION ALL SELECT node, 3 FROM i2
   UNION ALL SELECT path, 4 FROM f, hub WHERE {DIR.format('path')} = {DIR.format('hub.node')})
 SELECT node AS path, ['imports', 'imported-by', 'transitive-dependency', 'same-directory'][min(k)] AS relationship FROM r WHERE node <> (SELECT node FROM hub) GROUP BY node""",
-    "rank_composite": f"""WITH r AS (SELECT {resolve_sql('query_file')} AS query_file, {resolve_sql('path')} AS path, score, signals, ranked_at FROM ranked_files WHERE query_file IS NOT NULL AND path IS NOT NULL),
+    "rank_composite": f"""WITH r AS (SELECT {resolve_sql('query_file')} AS query_file, {resolve_sql('path')} AS path, CASE WHEN NOT isnan(score) THEN score END AS score, signals, ranked_at FROM ranked_files WHERE query_file IS NOT NULL AND path IS NOT NULL),
 one AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_file, path ORDER BY ranked_at DESC NULLS LAST, score DESC NULLS LAST) = 1)
 SELECT query_file, path, score, round({' + '.join(f'coalesce(signals.{n}, 0.0) * CAST({w} AS DOUBLE)' for n, w in WEIGHTS.items())}, 9) AS composite FROM one""",
     "rank_signals": f"""WITH {F}, {NOW}, t AS (SELECT {DIR.format('p')} AS folder, max(CASE WHEN status = 'flagged' THEN 1.0 ELSE 0.7 END) AS own FROM (SELECT {resolve_sql('file_path')} AS p, status FROM task_files WHERE file_path IS NOT NULL) GROUP BY 1),
@@ -146,11 +156,15 @@ FROM c CROSS JOIN now LEFT JOIN t USING (folder) LEFT JOIN up USING (parent)""",
 FROM tk LEFT JOIN tf ON tf.task_id = tk.id GROUP BY 1, 2""",
     "sessions": f"WITH {TK} SELECT session_id, count(*) AS n_tasks, min(created_at) AS started_at, max(updated_at) AS ended_at FROM tk WHERE session_id IS NOT NULL GROUP BY 1",
     "session_unchecked": f"WITH {TK}, {F}, s AS (SELECT session_id, min(created_at) AS started_at FROM tk WHERE session_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT path, last_checked FROM f, s WHERE last_checked < started_at",
-    "garbage_counts": f"""WITH {F}, {NOW}, {LAST}, {E}, {EV}, lft AS (SELECT * FROM f WHERE path IN (SELECT path FROM lastd)), kept AS (SELECT lft.* FROM lft, now WHERE NOT coalesce(last_checked < t - {30 * DAY}, false))
+    "garbage_counts": f"""WITH {F}, {NOW}, {LAST}, {E}, {EV}, {TK}, lft AS (SELECT * FROM f WHERE path IN (SELECT path FROM lastd)), kept AS (SELECT lft.* FROM lft, now WHERE NOT coalesce(last_checked < t - {30 * DAY}, false))
 SELECT 'deleted_files' AS category, count(*) AS n FROM f WHERE path NOT IN (SELECT path FROM lastd)
 UNION ALL SELECT 'stale_files', count(*) FROM lft, now WHERE last_checked < t - {30 * DAY}
 UNION ALL SELECT 'orphan_edges', count(*) FROM e WHERE src NOT IN (SELECT path FROM kept)
-UNION ALL SELECT 'old_events', count(*) FROM ev, now WHERE timestamp < t - {90 * DAY}""",
+UNION ALL SELECT 'old_events', count(*) FROM ev, now WHERE timestamp < t - {90 * DAY}
+UNION ALL SELECT 'old_tasks', count(*) FROM tk, now WHERE state IN ('completed', 'archived') AND updated_at < t - {30 * DAY}""",
+    "graph_summary": f"""WITH {E}, {DEG}, top AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 50)
+SELECT (SELECT count(*) FROM deg) AS total_files, (SELECT count(*) FROM e) AS total_edges, (SELECT count(*) FROM top) AS shown_files, (SELECT count(*) FROM e JOIN top ON src = node) AS shown_edges, (SELECT count(*) FROM deg) > 50 AS truncated""",
+    "graph_adjacency": f"WITH {E}, {DEG}, top AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 50) SELECT src AS source, dst AS target FROM e JOIN top ON src = node",
     "regex_summaries": f'WITH {SUMMARIES} SELECT path, purpose, exports, imports, "lineCount", confidence, declarations FROM sums',
     "summary_savings": f"""WITH {SUMMARIES}, j AS (SELECT string_split(path, '/')[1] AS project, contents, CAST(to_json(struct_pack(purpose := purpose, exports := exports, imports := imports, "lineCount" := "lineCount", "topLevelDeclarations" := declarations, confidence := confidence)) AS VARCHAR) AS s FROM sums)
 SELECT project, count(*) AS n_files, CAST(sum(greatest(0, CAST(ceil(length(contents) / 4) AS BIGINT) - CAST(ceil(length(s) / 4) AS BIGINT))) AS BIGINT) AS tokens_saved FROM j GROUP BY 1""",

@@ -25,6 +25,7 @@ def build_session(app: str = "treeledger", master: str | None = None, **conf: st
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites of every column cost as much as building it
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
@@ -36,17 +37,28 @@ def build_session(app: str = "treeledger", master: str | None = None, **conf: st
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is
-    unset, as in local tests, a temporary folder is made.
+    The folder is the one the session names in ``spark.checkpoint.dir``, see ``shared_folder``.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors see, named by ``spark.checkpoint.dir``.
+
+    Only a session that runs on one machine may leave it unset and gets a temporary folder;
+    on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 

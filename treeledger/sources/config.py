@@ -14,11 +14,25 @@ FILE_NAME = ".treeledger.json"
 class Settings:
     ignore: tuple[str, ...] = ()
     max_files: float | None = None
-    summarizer: str = "regex"
+    summarizer: str = "ast"
     ages: dict[str, float] = field(default_factory=lambda: {"cacheMaxAgeDays": 30, "taskMaxAgeDays": 30, "telemetryMaxAgeDays": 90})
     groups: dict[str, bool] = field(default_factory=lambda: {"summaries": True, "tasks": False, "telemetry": False})
 
 
+#: Operations of each group; those of no group are always there.
+GROUPS = {
+    "summaries": ("get_file_summary", "batch_file_summaries", "force_reread", "search_by_purpose", "invalidate"),
+    "tasks": ("create_task", "get_task_context", "mark_explored"),
+    "telemetry": ("get_token_report",),
+}
+ALWAYS = ("get_project_map", "get_related_files", "get_dependency_graph", "get_changed_files")
+
+
+def operations(settings: Settings) -> tuple[str, ...]:
+    """Names of the operations that the settings offer."""
+    return ALWAYS + tuple(name for group, names in GROUPS.items() if settings.groups[group] for name in names)
+
+
 def _positive(value: object) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool) and value >= 1
 

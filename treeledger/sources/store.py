@@ -1,6 +1,7 @@
-"""Versioned tables: every commit writes a new folder and then moves a pointer to it.
+"""Versioned tables: every commit writes a new folder and then an empty file named after it.
 
-Readers see a whole version or the one before. One writer at a time is assumed. Files are
+The greatest such number is the current version, so a commit becomes visible by one atomic
+creation and a crash in between leaves the version before. Readers see a whole version or the one before. One writer at a time is assumed. Files are
 reached through Hadoop's file system, so any storage that Spark can reach will do.
 """
 
@@ -17,11 +18,10 @@ class TableStore:
 
     def version(self, table: str) -> int:
         """Number of the current version; 0 when there is none."""
-        pointer = self._fs_path(f"{self.folder}/{table}/current")
-        if not self._fs.exists(pointer):
+        marks = self._fs_path(f"{self.folder}/{table}/versions")
+        if not self._fs.exists(marks):
             return 0
-        rows = self.spark.read.text(f"{self.folder}/{table}/current").first()
-        return int(rows[0]) if rows else 0
+        return max((int(f.getPath().getName()) for f in self._fs.listStatus(marks)), default=0)
 
     def exists(self, table: str) -> bool:
         return self.version(table) > 0
@@ -50,9 +50,5 @@ class TableStore:
         return self._fs.getContentSummary(path).getLength() if self._fs.exists(path) else 0
 
     def _point(self, table: str, version: int) -> None:
-        target, fresh = self._fs_path(f"{self.folder}/{table}/current"), self._fs_path(f"{self.folder}/{table}/next")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        self._fs.delete(target, False)
-        self._fs.rename(fresh, target)
+        """Make a version the current one; an error when it already is."""
+        self._fs.create(self._fs_path(f"{self.folder}/{table}/versions/{version}"), False).close()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from treeledger.session import shared_folder
 from treeledger.sources.store import TableStore
 
 
@@ -47,10 +48,13 @@ def maintain_counts(events: DataFrame, store: TableStore, table: str, checkpoint
 
 
 def stream_type_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the telemetry log by type, counted by a stream over its files."""
+    """Rows of the telemetry log by type, counted by a stream over its files.
+
+    State and table lie in the shared folder under a name made from application and path, so
+    a query that is run again goes on from its checkpoint.
+    """
     path = os.path.join(folder, "telemetry.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(path)) % 10**8}"
+    base = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
     store = TableStore(spark, f"{base}/tables")
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if not os.path.isfile(path) else f"{folder}/telemetry.parque[t]")
     query = maintain_counts(events, store, "type_counts", f"{base}/offsets")
