@@ -1,9 +1,14 @@
 """A table-driven chart recogniser for grammars written as text.
 
 A grammar is a set of rules over token kinds. Loading it computes the first sets of all
-expressions; at run time a choice looks its alternatives up by the kind of the next token,
-and what a rule matched at a position is entered in a chart, so that no rule is tried
-twice at one place. Alternatives are ordered: the first that matches counts.
+expressions and writes each rule as a function over integer arrays, compiled once: a choice
+looks its alternatives up in a table by the kind of the next token, and what a rule matched
+at a position is entered in a chart, so that no rule is tried twice at one place.
+Alternatives are ordered: the first that matches counts.
+
+Texts nested deeper than the interpreter's stack are read from their end: rules are tried
+every few hundred tokens, the last ones first, and leave in the chart what the rules before
+them ask for, so no call goes deeper than one such stretch.
 
 Notation, one rule per ``name = expression ;``:
   'x' a literal token, UPPER a token class, lower a rule, ( ) grouping, | choice,
@@ -17,21 +22,26 @@ from __future__ import annotations
 import re
 import sys
 
+#: Frames that a parse may use, and tokens of a stretch when more are needed.
+FRAMES, STRETCH = 20_000, 256
+#: Parts of a rule that is written out wherever it is used.
+SHORT = 4
 _PIECE = re.compile(r"\s+|\#[^\n]*|(?P<lit>'[^']+')|(?P<name>[A-Za-z_]\w*)|(?P<op>:=|\*\*|[=|;()?*+&!%])")
 
 
 class Tokens(list):
-    """Token kinds of one text, ended by the kind of EOF; with line-break flags and the chart."""
+    """Token kinds of one text, ended by the kind of EOF; with line-break flags and offsets."""
 
-    __slots__ = ("breaks", "chart", "far", "starts")
+    __slots__ = ("breaks", "starts")
 
     def __init__(self, kinds, breaks, starts):
         super().__init__(kinds)
-        self.breaks, self.starts, self.chart, self.far = breaks, starts, {}, 0
+        self.breaks, self.starts = breaks, starts
 
 
 class Grammar:
-    def __init__(self, text: str, start: str, uncharted: tuple[str, ...] = ()):
+    def __init__(self, text: str, start: str, charted: tuple[str, ...] = ()):
+        """``charted``: rules that choices ask for again at one place; others enter the chart only as far as every recursion needs one that does."""
         text = re.sub(r"\{\{|\}\}", "", text)
         self.kinds: dict[str, int] = {"EOF": 0}
         self.classes: dict[str, list[str]] = {}
@@ -66,9 +76,12 @@ class Grammar:
                 f, nul = self._first(e), self._nullable(e)
                 if f != self.first[n] or nul != self.empty[n]:
                     self.first[n], self.empty[n], moved = f, nul, True
-        self.start, self.uncharted = start, set(uncharted)
-        self._fast = self._build(False)
-        self._slow = None
+        self.start = start
+        self.charted = set(charted)
+        while cycle := self._recursive(self.charted):
+            self.charted.add(max(sorted(cycle), key=lambda n: sum(n in self._refs(e) for m, e in self.rules.items() if m in cycle)))
+        self._fast = _Code(self, False, False)
+        self._others: dict[tuple[bool, bool], _Code] = {}
 
     # reading the text
 
@@ -175,153 +188,258 @@ class Grammar:
                 break
         return out
 
-    # tables to functions
-
-    def _build(self, tracked):
-        bodies: list = [None] * len(self.names)
-        number = {n: i for i, n in enumerate(self.names)}
-        total = len(self.names)
-        refs = {}
-
-        def reference(name):
-            if name in refs:
-                return refs[name]
-            i, first, nullable = number[name], self.first[name], self.empty[name]
-            if name in self.uncharted:
-
-                def f(st, p):
-                    return bodies[i](st, p) if nullable or st[p] in first else -1
+    def _refs(self, e) -> set[str]:
+        return {e[1]} if e[0] == "ref" else set().union(*(self._refs(x) for x in e[1:] if isinstance(x, tuple))) if e[0] not in ("lit", "cls", "brk") else set()
 
-            else:
-
-                def f(st, p):
-                    if not nullable and st[p] not in first:
-                        return -1
-                    key = p * total + i
-                    r = st.chart.get(key)
-                    if r is None:
-                        r = st.chart[key] = bodies[i](st, p)
-                    return r
-
-            refs[name] = f
-            return f
-
-        def make(e):
-            t = e[0]
-            if t == "lit" or t == "cls" and e[1] not in self.sets:
-                k = self.kinds[e[1]]
-                if tracked:
-
-                    def f(st, p):
-                        if st[p] == k:
-                            st.far = max(st.far, p + 1)
-                            return p + 1
-                        return -1
-
-                else:
-
-                    def f(st, p):
-                        return p + 1 if st[p] == k else -1
-
-                return f
-            if t == "cls":
-                s = self.sets[e[1]]
-                if tracked:
-
-                    def f(st, p):
-                        if st[p] in s:
-                            st.far = max(st.far, p + 1)
-                            return p + 1
-                        return -1
-
-                else:
-
-                    def f(st, p):
-                        return p + 1 if st[p] in s else -1
-
-                return f
-            if t == "ref":
-                return reference(e[1])
-            if t == "brk":
-                want = e[1]
-                return lambda st, p: p if st.breaks[p] == want else -1
-            if t == "seq":
-                parts = tuple(map(make, e[1:]))
-                if len(parts) == 2:
-                    a, b = parts
-
-                    def f(st, p):
-                        p = a(st, p)
-                        return b(st, p) if p >= 0 else -1
-
-                    return f
-
-                def f(st, p):
-                    for g in parts:
-                        p = g(st, p)
-                        if p < 0:
-                            return -1
-                    return p
-
-                return f
-            if t == "alt":
-                made = [(make(x), self._first(x), self._nullable(x)) for x in e[1:]]
-                always = tuple(g for g, _, n in made if n)
-                table = {k: tuple(g for g, s, n in made if n or k in s) for k in frozenset().union(*(s for _, s, _ in made))}
-
-                def f(st, p):
-                    for g in table.get(st[p], always):
-                        r = g(st, p)
-                        if r >= 0:
-                            return r
-                    return -1
-
-                return f
-            inner = make(e[1])
-            if t == "and":
-                return lambda st, p: p if inner(st, p) >= 0 else -1
-            if t == "not":
-                return lambda st, p: -1 if inner(st, p) >= 0 else p
-            first, nullable = self._first(e[1]), self._nullable(e[1])
-            if t == "opt":
-
-                def f(st, p):
-                    if st[p] in first or nullable:
-                        r = inner(st, p)
-                        return r if r >= 0 else p
-                    return p
-
-                return f
-            forget = t == "loop"
-
-            def f(st, p):
-                while st[p] in first or nullable:
-                    r = inner(st, p)
-                    if r <= p:
-                        return p
-                    p = r
-                    if forget:
-                        st.chart.clear()
-                return p
-
-            return f
-
-        for n, e in self.rules.items():
-            bodies[number[n]] = make(e)
-        return reference(self.start)
+    def _recursive(self, cut: set[str] = frozenset()) -> set[str]:
+        """Rules that reach themselves, but not through the rules of ``cut``."""
+        below = {n: self._refs(e) - cut for n, e in self.rules.items() if n not in cut}
+        moved = True
+        while moved:
+            moved = False
+            for n, found in below.items():
+                more = found.union(*(below[m] for m in found))
+                if len(more) > len(found):
+                    below[n], moved = more, True
+        return {n for n, found in below.items() if n in found}
 
     def error_at(self, tokens: Tokens) -> int | None:
         """None when the tokens form the start rule, else the index of the first token that no parse gets over."""
-        if sys.getrecursionlimit() < 400_000:
-            sys.setrecursionlimit(400_000)
-        if self._fast(tokens, 0) == len(tokens):
+        if sys.getrecursionlimit() < FRAMES:
+            sys.setrecursionlimit(FRAMES)
+        deep = False
+        try:
+            end, _ = self._fast.run(tokens)
+        except RecursionError:
+            deep = True
+            end, _ = self._code(False, True).run(tokens)
+        if end == len(tokens):
             return None
-        if self._slow is None:
-            self._slow = self._build(True)
-        tokens.chart.clear()
-        tokens.far = 0
-        self._slow(tokens, 0)
-        return min(tokens.far, len(tokens) - 1)
+        try:
+            _, far = self._code(True, deep).run(tokens)
+        except RecursionError:
+            _, far = self._code(True, True).run(tokens)
+        return min(far, len(tokens) - 1)
+
+    def _code(self, tracked: bool, deep: bool) -> _Code:
+        if (tracked, deep) not in self._others:
+            self._others[tracked, deep] = _Code(self, tracked, deep)
+        return self._others[tracked, deep]
+
+
+class _Code:
+    """The functions of a grammar's rules.
+
+    ``tracked`` ones note the furthest token reached; ``deep`` ones keep the whole chart and
+    enter every rule that reaches itself.
+    """
+
+    def __init__(self, grammar: Grammar, tracked: bool, deep: bool):
+        self.g, self.tracked, self.deep = grammar, tracked, deep
+        self.charted = grammar._recursive() if deep else grammar.charted
+        self.lines: list[str] = []
+        self.names: dict = {"chart": {}, "far": [0]}
+        self.sets: dict[frozenset, str] = {}
+        self.count = 0
+        self.tables: list[tuple[str, dict[int, str]]] = []
+        self.pending: list[tuple[str, tuple]] = []
+        uses = [r for e in grammar.rules.values() for r in self._mentions(e)]
+        #: Rules that are written where they are used: those of one place, and short ones.
+        self.inline = {n for n, e in grammar.rules.items() if n not in self.charted and n != grammar.start and (uses.count(n) == 1 or self._size(e) <= SHORT)}
+        self.number = {n: i for i, n in enumerate(grammar.rules)}
+        for name, e in grammar.rules.items():
+            if name not in self.inline:
+                self._rule(name, e)
+        while self.pending:
+            name, e = self.pending.pop()
+            self._add(0, f"def {name}(p):")
+            self._emit(e, "p", "q", 1)
+            self._add(1, "return q")
+        exec(compile("\n".join(self.lines), "<grammar>", "exec"), self.names)
+        for table, functions in self.tables:
+            self.names[table].update({k: self.names[f] for k, f in functions.items()})
+
+    def run(self, tokens: Tokens) -> tuple[int, int]:
+        """End of the start rule, -1 without one, and the furthest token reached."""
+        self.names["k"], self.names["brk"] = list(tokens), tokens.breaks
+        chart, far = self.names["chart"], self.names["far"]
+        chart.clear()
+        far[0] = 0
+        if self.deep:
+            rules = [(self.g.first[n], self.g.empty[n], self.names[f"r{self.number[n]}"]) for n in self.charted]
+            for place in range(len(tokens) // STRETCH * STRETCH, 0, -STRETCH):
+                for p in range(place, min(place + 16, len(tokens))):
+                    for first, empty, rule in rules:
+                        if empty or tokens[p] in first:
+                            rule(p)
+        try:
+            return self.names[f"r{self.number[self.g.start]}"](0), far[0]
+        finally:
+            chart.clear()
+
+    # writing
+
+    def _add(self, depth: int, line: str) -> None:
+        self.lines.append(" " * depth + line)
+
+    def _fresh(self, stem: str) -> str:
+        self.count += 1
+        return f"{stem}{self.count}"
+
+    def _mentions(self, e):
+        if e[0] == "ref":
+            yield e[1]
+        elif e[0] not in ("lit", "cls", "brk"):
+            for x in e[1:]:
+                yield from self._mentions(x)
+
+    def _size(self, e) -> int:
+        return 1 if e[0] in ("lit", "cls", "brk", "ref") else sum(map(self._size, e[1:]))
+
+    def _token(self, e) -> frozenset | None:
+        """The kinds of which the expression is exactly one token; None for anything else."""
+        if e[0] in ("lit", "cls"):
+            return self.g._first(e)
+        if e[0] == "alt":
+            parts = [self._token(x) for x in e[1:]]
+            return None if None in parts else frozenset().union(*parts)
+        if e[0] == "ref" and e[1] not in self.charted:
+            return self._token(self.g.rules[e[1]]) if e[1] in getattr(self, "inline", ()) else None
+        return None
+
+    def _test(self, kinds: frozenset, at: str) -> str:
+        if len(kinds) == 1:
+            return f"k[{at}] == {next(iter(kinds))}"
+        if kinds not in self.sets:
+            self.sets[kinds] = f"s{len(self.sets)}"
+            self.names[self.sets[kinds]] = kinds
+        return f"k[{at}] in {self.sets[kinds]}"
+
+    def _guard(self, e, at: str) -> str | None:
+        """Test of the next token before ``e`` is tried; None when it may match nothing."""
+        return None if self.g._nullable(e) else self._test(self.g._first(e), at)
+
+    def _rule(self, name: str, e) -> None:
+        number = self.number[name]
+        self._add(0, f"def r{number}(p):")
+        if name in self.charted:
+            self._add(1, f"key = p * {len(self.number)} + {number}")
+            self._add(1, "q = chart.get(key)")
+            self._add(1, "if q is None:")
+            self._emit(e, "p", "q", 2)
+            self._add(2, "chart[key] = q")
+        else:
+            self._emit(e, "p", "q", 1)
+        self._add(1, "return q")
+
+    def _reached(self, depth: int, place: str) -> None:
+        if self.tracked:
+            self._add(depth, f"if {place} > far[0]: far[0] = {place}")
+
+    def _emit(self, e, src: str, dst: str, d: int) -> None:
+        """Lines that set ``dst`` to the place behind ``e`` at ``src``, or to -1."""
+        kind, kinds = e[0], self._token(e)
+        if kinds is not None:
+            self._add(d, f"{dst} = {src} + 1 if {self._test(kinds, src)} else -1")
+            self._reached(d, dst)
+        elif kind == "ref":
+            if e[1] in self.inline:
+                self._emit(self.g.rules[e[1]], src, dst, d)
+                return
+            guard = self._guard(e, src)
+            call = f"r{self.number[e[1]]}({src})"
+            self._add(d, f"{dst} = {call} if {guard} else -1" if guard else f"{dst} = {call}")
+        elif kind == "brk":
+            self._add(d, f"{dst} = {src} if {'' if e[1] else 'not '}brk[{src}] else -1")
+        elif kind == "seq":
+            if len(e) == 1:
+                self._add(d, f"{dst} = {src}")
+                return
+            to = dst if dst != src else self._fresh("v")
+            self._emit(e[1], src, to, d)
+            depth = d
+            for x in e[2:]:
+                if x[0] not in ("opt", "star", "loop") or depth == d:
+                    self._add(depth, f"if {to} >= 0:")
+                    depth += 1
+                self._emit(x, to, to, depth)
+            if to != dst:
+                self._add(d, f"{dst} = {to}")
+        elif kind == "alt":
+            self._alternatives(e[1:], src, dst, d)
+        elif kind == "first":  # the table has looked at the next token already
+            self._emit(e[1], src, dst, d)
+            for x in e[2:]:
+                self._add(d, f"if {dst} < 0:")
+                d += 1
+                self._emit(x, src, dst, d)
+        elif kind in ("and", "not"):
+            kinds, to = self._token(e[1]), self._fresh("v")
+            if kinds is not None and not self.tracked:
+                test = self._test(kinds, src)
+                self._add(d, f"{dst} = {src} if {test} else -1" if kind == "and" else f"{dst} = -1 if {test} else {src}")
+                return
+            self._emit(e[1], src, to, d)
+            self._add(d, f"{dst} = {src} if {to} {'>=' if kind == 'and' else '<'} 0 else -1")
+        elif kind == "opt":
+            kinds, guard = self._token(e[1]), self._guard(e[1], src)
+            if kinds is not None:
+                self._add(d, f"{dst} = {src} + 1 if {self._test(kinds, src)} else {src}")
+                self._reached(d, dst)
+                return
+            if dst != src:
+                self._add(d, f"{dst} = {src}")
+            to = self._fresh("v")
+            if guard:
+                self._add(d, f"if {guard}:")
+                d += 1
+            self._emit(e[1], src, to, d)
+            self._add(d, f"if {to} >= 0: {dst} = {to}")
+        else:
+            guard, to = self._guard(e[1], dst), self._fresh("v")
+            if dst != src:
+                self._add(d, f"{dst} = {src}")
+            self._add(d, f"while {guard or 'True'}:")
+            self._emit(e[1], dst, to, d + 1)
+            self._add(d + 1, f"if {to} <= {dst}: break")
+            self._add(d + 1, f"{dst} = {to}")
+            if kind == "loop" and not self.deep:
+                self._add(d + 1, "chart.clear()")
+
+    def _alternatives(self, parts, src: str, dst: str, d: int) -> None:
+        firsts = [(x, self.g._first(x), self.g._nullable(x)) for x in parts]
+        to = dst if dst != src else self._fresh("v")
+        if len(parts) <= 3:
+            self._add(d, f"{to} = -1")
+            for n, (x, first, empty) in enumerate(firsts):
+                tests = ([f"{to} < 0"] if n else []) + ([] if empty else [self._test(first, src)])
+                if tests:
+                    self._add(d, f"if {' and '.join(tests)}:")
+                self._emit(x, src, to, d + bool(tests))
+        else:
+            table, functions, made = self._fresh("t"), {}, {}
+            for kind in frozenset().union(*(first for _, first, _ in firsts)):
+                fits = tuple(n for n, (_, first, empty) in enumerate(firsts) if empty or kind in first)
+                if fits not in made:
+                    made[fits] = self._choice([parts[n] for n in fits])
+                functions[kind] = made[fits]
+            self.tables.append((table, functions))
+            self.names[table] = {}
+            always = [x for x, _, empty in firsts if empty]
+            f = self._fresh("v")
+            self._add(d, f"{f} = {table}.get(k[{src}])")
+            self._add(d, f"{to} = {f}({src}) if {f} else {self._choice(always) + f'({src})' if always else -1}")
+        if to != dst:
+            self._add(d, f"{dst} = {to}")
+
+    def _choice(self, parts) -> str:
+        """Name of a function that tries the parts in order."""
+        only = parts[0]
+        if len(parts) == 1 and only[0] == "ref" and only[1] not in self.inline:
+            return f"r{self.number[only[1]]}"
+        name = self._fresh("a")
+        self.pending.append((name, only if len(parts) == 1 else ("first", *parts)))
+        return name
 
 
 def dialect(text: str, keep: bool) -> str:

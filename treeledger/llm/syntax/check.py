@@ -20,10 +20,17 @@ _LEXERS = {
 @cache
 def grammar_of(language: str) -> Grammar:
     if language == "json":
-        return Grammar(g.JSON, "text", ("text", "value", "object", "member", "array"))
+        return Grammar(g.JSON, "text")
     if language in ("typescript", "javascript"):
-        return Grammar(dialect(g.SCRIPT, language == "typescript"), "program", ("program",))
-    return Grammar({"python": g.PYTHON, "java": g.JAVA, "go": g.GO, "rust": g.RUST, "kotlin": g.KOTLIN}[language], "file", ("file",))
+        return Grammar(dialect(g.SCRIPT, language == "typescript"), "program", ("assign", "call", "propname", *(("type",) if language == "typescript" else ())))
+    text, charted = {
+        "python": (g.PYTHON, ("expr", "atom", "named", "place", "single")),
+        "java": (g.JAVA, ("expr", "type", "postfixed", "annotations")),
+        "go": (g.GO, ("expr", "expr_h", "type")),
+        "rust": (g.RUST, ("expr", "type", "path", "pathexpr", "rangeend", "blocklike")),
+        "kotlin": (g.KOTLIN, ("expr", "postfix", "nullable", "body", "accessor")),
+    }[language]
+    return Grammar(text, "file", charted)
 
 
 def first_error(language: str, text: str) -> int | None:
