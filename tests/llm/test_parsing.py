@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 
 from treeledger.llm.parsing import parse_files
+from treeledger.llm.syntax import check
 from treeledger.llm.syntax.check import first_error
 
 VALID = {
@@ -101,3 +102,63 @@ def test_rows(spark):
     got = rows(parse_files(df).select("path", "project", "language", "valid", "error_line"))
     assert got == sorted([("p/a.PY", "p", "python", True, None), ("p/b.js", "p", "javascript", None, None), ("p/c.txt", "p", None, None, None), ("p/d.json", "p", "json", True, None), ("p/e.go", "p", "go", False, 1)], key=repr)
     assert rows(parse_files(df.limit(0))) == []
+
+
+# (language, text, whether it is valid): the published grammars decide.
+GRAMMAR_CASES = [
+    ("python", "type X = int\n", True), ("python", "type X[T] = list[T]\n", True), ("python", "type = 5\ntype(x)\n", True), ("python", "with a as 1:\n  pass\n", False),
+    ("kotlin", "class A { companion object { } init { } }", True), ("kotlin", "class A { val x = 1; init { } fun f() { } }", True), ("kotlin", "fun f() {} fun g() {}", True), ("kotlin", "fun f() { val x = 1 val y = 2 }", False),
+    ("java", "class A { void f() { 1 = x; } }", False), ("java", "class A { void f() { f() = x; } }", False), ("java", "class A { void f() { a.b[1] = (c) = x; } }", True),
+    ("rust", "fn f() { a < b < c; }", False), ("rust", "fn f() { a == b == c; }", False), ("rust", "fn f() { (a < b) == c && d < e; if a >> 1 > b { } }", True), ("rust", "fn f() { if a < b < c { } }", False),
+    ("javascript", "a ?? b || c", False), ("javascript", "a && b ?? c", False), ("javascript", "(a ?? b) || c && d; a ?? b ?? c", True), ("javascript", "-1 ** 2", False), ("javascript", "(-1) ** 2 ** -x", True),
+    ("javascript", "return 1", False), ("javascript", "if (x) { return 1 }", False), ("javascript", "function f() { if (x) { return 1 } }", True), ("javascript", "x = () => { return 1 }; class A { m() { return 1 } }", True),
+    ("javascript", "1 = x", False), ("javascript", "f() = x", False), ("javascript", "[1] = x", False), ("javascript", "({a: 1} = x)", False), ("javascript", "({a=1})", False), ("javascript", "f({a=1})", False), ("javascript", "1++", False), ("javascript", "++f()", False),
+    ("javascript", "[a=1, {b=2}, ...c] = d; ({a, b: c.d, ...e} = x); for ({a=1} of x) ; for (a.b of x) ; ({a=1}) => a; this.x = (y) = z; ++a.b; (c)--", True), ("javascript", "for (f() of x) ;", False),
+    ("javascript", "if (x) function* f() {}", False), ("javascript", "if (x) class A {}", False), ("javascript", "while (x) const y = 1", False), ("javascript", "if (x) let y = 1", False), ("javascript", "if (x) var y = 1; else z", True), ("javascript", "a?.`x`", False),
+    ("typescript", "(a as B) = 1; a! = 2; a![0]++; (<B>a).c = 3", True), ("typescript", "return 1", False),
+]
+
+
+@pytest.mark.parametrize(("language", "text", "good"), GRAMMAR_CASES)
+def test_published_grammars(language, text, good):
+    assert (first_error(language, text) is None) == good
+
+
+DEEP = {
+    "python": "x = " + "(" * 30000 + "1" + ")" * 30000 + "\n", "javascript": "x = " + "f([" * 30000 + "])" * 30000, "typescript": "x = " + "!" * 40000 + "y", "json": "[" * 100000 + "]" * 100000,
+    "java": "class A { int f = " + "(" * 20000 + "1" + ")" * 20000 + "; }", "go": "package a\nvar x = " + "(" * 20000 + "1" + ")" * 20000, "kotlin": "val x = " + "(" * 20000 + "1" + ")" * 20000, "rust": "fn f() { " + "{" * 20000 + "}" * 20000 + " }",
+}
+
+
+@pytest.mark.parametrize("language", DEEP)
+def test_deep_nesting(language):
+    text = DEEP[language]
+    assert first_error(language, text) is None
+    middle = len(text) // 2
+    assert first_error(language, text[:middle] + " ; ] " + text[middle:]) is not None and first_error(language, text[: len(text) - 1 - len(text) // 9]) is not None
+
+
+MORE = {
+    "javascript": ["a = b / c; d = /x'/.test(`a ${b['c']} /`); // `\n`${ {a: {}} }`", "return /a/ /* */ / 2"],
+    "python": ["# f'\nf'a{b}c'  # '\n", "if x:\n    y = '''\n  # no\n'''\n\n  # c\nz\n", 'x = f"{a}" f"{{}} {b!r} {c:>3}"\n'],
+    "java": ["class A { // }\n"], "go": ["package a // }\n/* x\n */ func f() { return /* */ }"],
+}
+
+
+@pytest.mark.parametrize("language", check._QUICK)
+def test_quick_tokens_are_the_careful_ones(language):
+    random.seed(3)
+    texts, grammar = VALID[language] + INVALID[language] + MORE.get(language, []), check.grammar_of(language)
+    for _ in range(3000):
+        base = random.choice(texts)
+        a, b = sorted((random.randrange(len(base) + 1), random.randrange(len(base) + 1)))
+        text = random.choice([base, base[:a], base[a:], base[:a] + base[b:], base[:a] + random.choice("(){}[]:,=./*'\"`#\\ \n\r\t$0a_é") + base[a:], base + "\n" + random.choice(texts)])
+        quick = check._QUICK[language](text, grammar, 0)
+        if quick is not None and grammar.accepts(quick):  # others are left to the careful ones
+            careful = check._LEXERS[language](text, grammar, 0)
+            assert list(quick) == list(careful) and (language not in ("javascript", "typescript") or quick.breaks == careful.breaks), text
+
+
+def test_copies_are_parsed_once(spark):
+    df = spark.range(200).selectExpr("concat('p/f', id, '.py') AS path", "if(id % 2 = 0, 'x = (', 'x = 1') AS contents", "1L AS mtime")
+    assert parse_files(df).where("not valid").count() == 100

@@ -14,6 +14,7 @@ Notation, one rule per ``name = expression ;``:
   'x' a literal token, UPPER a token class, lower a rule, ( ) grouping, | choice,
   ? * + repetition, ** repetition after which the chart may be emptied, & ! look-ahead,
   e % 'x' a list of e separated by 'x', NL / NONL line break or none before the token,
+  ^UPPER a token of the class stands before,
   UPPER := tokens ;  defines a class, {{ }} holds text for one dialect only.
 """
 
@@ -26,7 +27,7 @@ import sys
 FRAMES, STRETCH = 20_000, 256
 #: Parts of a rule that is written out wherever it is used.
 SHORT = 4
-_PIECE = re.compile(r"\s+|\#[^\n]*|(?P<lit>'[^']+')|(?P<name>[A-Za-z_]\w*)|(?P<op>:=|\*\*|[=|;()?*+&!%])")
+_PIECE = re.compile(r"\s+|\#[^\n]*|(?P<lit>'[^']+')|(?P<name>[A-Za-z_]\w*)|(?P<op>:=|\*\*|[=|;()?*+&!%^])")
 
 
 class Tokens(list):
@@ -115,9 +116,9 @@ class Grammar:
 
     def _item(self):
         p = self._peek()
-        if p in ("&", "!"):
+        if p in ("&", "!", "^"):
             self._at += 1
-            return ("and" if p == "&" else "not", self._item())
+            return ({"&": "and", "!": "not", "^": "back"}[p], self._item())
         if p == "(":
             self._at += 1
             e = self._choice()
@@ -167,7 +168,7 @@ class Grammar:
             return all(map(self._nullable, e[1:]))
         if t == "alt":
             return any(map(self._nullable, e[1:]))
-        return t in ("opt", "star", "loop", "and", "not", "brk")
+        return t in ("opt", "star", "loop", "and", "not", "back", "brk")
 
     def _first(self, e):
         t = e[0]
@@ -177,7 +178,7 @@ class Grammar:
             return self.sets[e[1]] if e[1] in self.sets else frozenset((self.kinds[e[1]],))
         if t == "ref":
             return self.first[e[1]]
-        if t in ("and", "not", "brk"):
+        if t in ("and", "not", "back", "brk"):
             return frozenset()
         if t == "alt":
             return frozenset().union(*map(self._first, e[1:]))
@@ -203,6 +204,15 @@ class Grammar:
                     below[n], moved = more, True
         return {n for n, found in below.items() if n in found}
 
+    def accepts(self, tokens: Tokens) -> bool:
+        """Whether the tokens form the start rule; False too where a text is nested too deep for a quick answer."""
+        if sys.getrecursionlimit() < FRAMES:
+            sys.setrecursionlimit(FRAMES)
+        try:
+            return self._fast.run(tokens)[0] == len(tokens)
+        except RecursionError:
+            return False
+
     def error_at(self, tokens: Tokens) -> int | None:
         """None when the tokens form the start rule, else the index of the first token that no parse gets over."""
         if sys.getrecursionlimit() < FRAMES:
@@ -351,6 +361,8 @@ class _Code:
             self._add(d, f"{dst} = {call} if {guard} else -1" if guard else f"{dst} = {call}")
         elif kind == "brk":
             self._add(d, f"{dst} = {src} if {'' if e[1] else 'not '}brk[{src}] else -1")
+        elif kind == "back":
+            self._add(d, f"{dst} = {src} if {self._test(self._token(e[1]), src + ' - 1')} else -1")
         elif kind == "seq":
             if len(e) == 1:
                 self._add(d, f"{dst} = {src}")

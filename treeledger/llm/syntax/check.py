@@ -6,6 +6,7 @@ from functools import cache
 
 from treeledger.llm.syntax import grammars as g
 from treeledger.llm.syntax import lexers as lx
+from treeledger.llm.syntax import quick
 from treeledger.llm.syntax.chart import Grammar, dialect
 
 #: Extension, lower-cased: language.
@@ -16,6 +17,8 @@ _LEXERS = {
     "go": lx.go_tokens, "rust": lx.rust_tokens, "kotlin": lx.kotlin_tokens, "json": lx.json_tokens,
 }
 
+_QUICK = {"typescript": quick.script, "javascript": quick.script, "python": quick.python, "java": quick.java, "go": quick.go}
+
 
 @cache
 def grammar_of(language: str) -> Grammar:
@@ -43,6 +46,9 @@ def first_error(language: str, text: str) -> int | None:
     if text.startswith("#!", at) and not (language == "rust" and text.startswith("#![", at)):
         end = text.find("\n", at)
         at = len(text) if end < 0 else end
+    tokens = _QUICK[language](text, grammar, at) if language in _QUICK else None
+    if tokens and grammar.accepts(tokens):
+        return None
     tokens = _LEXERS[language](text, grammar, at)
     wrong = grammar.error_at(tokens)
     return None if wrong is None else tokens.starts[wrong]

@@ -1,5 +1,7 @@
 """Grammars of the languages, as text for ``chart.Grammar``. Fixed values from the languages' public definitions."""
 
+import re
+
 JSON = """
 text = value EOF ;
 value = object | array | STR | NUM | 'true' | 'false' | 'null' ;
@@ -8,8 +10,9 @@ member = STR ':' value ;
 array = '[' ( value % ',' )? ']' ;
 """
 
-#: ECMAScript modules; the parts in double braces are TypeScript's.
-SCRIPT = """
+#: ECMAScript modules; the parts in double braces are TypeScript's. Rules with an @ are written twice, with RETURN inside
+#: of functions and, as ``_top``, without it.
+_SCRIPT = """
 CONTEXTUAL := 'as' 'from' 'of' 'get' 'set' 'async' 'accessor' 'type' 'namespace' 'module' 'declare' 'abstract' 'readonly' 'is' 'keyof' 'infer'
   'unique' 'asserts' 'satisfies' 'override' 'out' 'require' 'global' 'target' 'meta' 'using' 'defer' 'source' ;
 STRICT := 'let' 'static' 'implements' 'interface' 'package' 'private' 'protected' 'public' ;
@@ -19,12 +22,14 @@ RESERVED := 'break' 'case' 'catch' 'class' 'const' 'continue' 'debugger' 'defaul
 NAME := ID CONTEXTUAL ;
 WORD := NAME STRICT RESERVED ;
 ASSIGN := '=' '+=' '-=' '*=' '/=' '%=' '**=' '<<=' '>>=' '>>>=' '&=' '|=' '^=' '&&=' '||=' '??=' ;
-BINARY := '+' '-' '*' '/' '%' '**' '<' '<=' '>=' '==' '!=' '===' '!==' '&' '|' '^' '&&' '||' '??' '<<' 'in' 'instanceof' ;
-PREFIX := 'delete' 'void' 'typeof' '+' '-' '~' '!' 'await' '++' '--' ;
+BINARY := '+' '-' '*' '/' '%' '<' '<=' '>=' '==' '!=' '===' '!==' '&' '|' '^' '<<' 'in' 'instanceof' ;
+PREFIX := 'delete' 'void' 'typeof' '+' '-' '~' '!' 'await' ;
+CONSTANT := 'this' 'super' 'true' 'false' 'null' ;
+PLACE := WORD PRIVATE ']' {{ '!' }} ;
 MODIFIER := 'static' 'accessor' {{ 'public' 'private' 'protected' 'readonly' 'abstract' 'override' 'declare' }} ;
 
 program = moditem** EOF ;
-moditem = importdecl | exportdecl | stmt ;
+moditem = importdecl | exportdecl | stmt_top ;
 eos = ';' | &'}' | &EOF | NL ;
 withclause = 'with' object ;
 importdecl = 'import' STR withclause? eos
@@ -47,18 +52,20 @@ exportlist = '{' ( exportspec % ',' ','? )? '}' ;
 exportspec = {{ 'type' !'as' exportname ( 'as' exportname )? | }} exportname ( 'as' exportname )? ;
 declaration = functiondecl | classdecl | vardecl eos {{ | tsdecl }} ;
 
-stmt = block | vardecl eos | ';' | ifstmt | forstmt | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'?
-  | 'continue' ( NONL NAME )? eos | 'break' ( NONL NAME )? eos | 'return' ( NONL expr )? eos | 'throw' NONL expr eos
-  | switchstmt | trystmt | 'debugger' eos | functiondecl | classdecl {{ | tsdecl }} | NAME ':' stmt | exprstmt ;
-block = '{' stmt* '}' ;
+stmt@ = functiondecl | classdecl | lexical eos | {{ tsdecl | }} body@ ;
+body@ = block@ | 'var' ( vardef % ',' ) eos | ';' | ifstmt@ | forstmt@ | 'while' '(' expr ')' body@ | 'do' body@ 'while' '(' expr ')' ';'?
+  | 'continue' ( NONL NAME )? eos | 'break' ( NONL NAME )? eos | RETURN@ 'throw' NONL expr eos
+  | switchstmt@ | trystmt@ | 'debugger' eos | NAME ':' body@ | exprstmt ;
+block@ = '{' stmt@* '}' ;
+ifstmt@ = 'if' '(' expr ')' body@ ( 'else' body@ )? ;
+forstmt@ = 'for' 'await'? '(' ( ( 'var' | 'let' | 'const' | 'await'? 'using' ) target {{ annotation? }} ( 'of' assign | 'in' expr ) ')'
+  | place ( 'of' assign | 'in' expr ) ')'
+  | ( vardecl | expr )? ';' expr? ';' expr? ')' ) body@ ;
+switchstmt@ = 'switch' '(' expr ')' '{' ( ( 'case' expr | 'default' ) ':' stmt@* )* '}' ;
+trystmt@ = 'try' block@ ( 'catch' ( '(' target {{ annotation? }} ')' )? block@ ( 'finally' block@ )? | 'finally' block@ ) ;
 exprstmt = !( '{' | 'function' | 'class' ) expr eos ;
-ifstmt = 'if' '(' expr ')' stmt ( 'else' stmt )? ;
-forstmt = 'for' 'await'? '(' ( ( 'var' | 'let' | 'const' | 'await'? 'using' ) target {{ annotation? }} ( 'of' assign | 'in' expr ) ')'
-  | lhs ( 'of' assign | 'in' expr ) ')'
-  | ( vardecl | expr )? ';' expr? ';' expr? ')' ) stmt ;
-switchstmt = 'switch' '(' expr ')' '{' ( ( 'case' expr | 'default' ) ':' stmt* )* '}' ;
-trystmt = 'try' block ( 'catch' ( '(' target {{ annotation? }} ')' )? block ( 'finally' block )? | 'finally' block ) ;
-vardecl = ( 'var' | 'let' ) ( vardef % ',' ) | 'const' ( constdef % ',' ) | 'await'? 'using' NONL ( constdef % ',' ) ;
+lexical = 'let' ( vardef % ',' ) | 'const' ( constdef % ',' ) | 'await'? 'using' NONL ( constdef % ',' ) ;
+vardecl = 'var' ( vardef % ',' ) | lexical ;
 vardef = NAME {{ '!'? annotation? }} ( '=' assign )? | pattern {{ annotation? }} '=' assign ;
 constdef = target {{ annotation? }} '=' assign {{ | NAME annotation }} ;
 target = NAME | pattern ;
@@ -82,15 +89,23 @@ memberbody = {{ indexsignature eos | }} ( 'get' | 'set' ) propname signature ( b
 propname = WORD | STR | NUM | PRIVATE | '[' assign ']' ;
 
 expr = assign % ',' ;
-assign = arrow | 'yield' ( NONL '*'? assign )? | lhs ASSIGN assign | conditional ;
+assign = arrow | 'yield' ( NONL '*'? assign )? | places '=' assign | !( ( array | object ) ASSIGN ) simple ASSIGN assign | conditional ;
+simple = enclosed | !( CONSTANT ASSIGN ) call ^PLACE ;
+enclosed = '(' ( {{ '<' type '>' simple | }} simple {{ ( NONL ( 'as' | 'satisfies' ) ( 'const' | type ) )* }} ) ')' !( '.' | '[' | '(' | '?.' | TEMPLATE | HEAD ) ;
+place = places &( 'of' | 'in' | '=' | ',' | ']' | '}' ) | simple ;
+places = '{' ( ( placeprop % ',' ( ',' '...' place )? ','? ) | '...' place )? '}' | '[' ','* ( placeelem ( ','+ placeelem )* ','* )? ']' ;
+placeprop = propname ':' place ( '=' assign )? | NAME ( '=' assign )? ;
+placeelem = '...' place | place ( '=' assign )? ;
 arrow = ( 'async' NONL )? ( NAME | signature ) NONL '=>' ( block | !'{' assign ) ;
 conditional = binary ( '?' assign ':' assign )? ;
-binary = unary ( ( BINARY | shift ) unary {{ | NONL ( 'as' | 'satisfies' ) ( 'const' | type ) }} )* ;
+binary = bitwise ( ( '??' bitwise )+ !( '||' | '&&' ) | ( ( '||' | '&&' ) bitwise )+ !'??' )? ;
+bitwise = unary ( ( BINARY | shift ) unary {{ | NONL ( 'as' | 'satisfies' ) ( 'const' | type ) }} )* ;
 shift = '>' ( '>' '>'? )? ;
-unary = PREFIX unary {{ | '<' ( 'const' | type ) '>' unary }} | PRIVATE &'in' | call ( NONL ( '++' | '--' ) )? ;
-lhs = call | array | object ;
+unary = PREFIX operand !'**' {{ | '<' ( 'const' | type ) '>' unary }} | PRIVATE &'in' | update ( '**' unary )? ;
+operand = PREFIX operand {{ | '<' ( 'const' | type ) '>' operand }} | update ;
+update = ( '++' | '--' ) simple | enclosed NONL ( '++' | '--' ) | call ( ^PLACE NONL ( '++' | '--' ) )? ;
 call = primary suffix* ;
-suffix = '.' ( WORD | PRIVATE ) | '?.' ( WORD | PRIVATE | '[' expr ']' | {{ typeargs? }} args | template ) | '[' expr ']' | args | template {{ | typeargs ( args | template ) | NONL '!' }} ;
+suffix = '.' ( WORD | PRIVATE ) | '?.' ( WORD | PRIVATE | '[' expr ']' | {{ typeargs? }} args ) | '[' expr ']' | args | template {{ | typeargs ( args | template ) | NONL '!' }} ;
 args = '(' ( arg % ',' ','? )? ')' ;
 arg = '...'? assign ;
 primary = NAME !'=>' | 'this' | 'super' | STR | NUM | REGEX | 'true' | 'false' | 'null' | template | array | object | '(' expr ')'
@@ -99,7 +114,7 @@ primary = NAME !'=>' | 'this' | 'super' | STR | NUM | REGEX | 'true' | 'false' |
 template = TEMPLATE | HEAD expr ( MIDDLE expr )* TAIL ;
 array = '[' ','* ( arg ( ','+ arg )* ','* )? ']' ;
 object = '{' ( prop % ',' ','? )? '}' ;
-prop = '...' assign | ( 'get' | 'set' ) propname signature block | ( 'async' NONL )? '*'? propname signature block | propname ':' assign | NAME ( '=' assign )? ;
+prop = '...' assign | ( 'get' | 'set' ) propname signature block | ( 'async' NONL )? '*'? propname signature block | propname ':' assign | NAME ;
 {{
 annotation = ':' type ;
 typeparams = '<' typeparam % ',' ','? '>' ;
@@ -129,6 +144,16 @@ enummember = propname ( '=' assign )? ;
 }}
 """
 
+
+def _with_return(text: str) -> str:
+    """The grammar text with its @ rules written twice."""
+    doubled = [line for rule in re.findall(r"^\w+@ = .*?;$", text, re.M | re.S) for line in (rule, rule.replace("RETURN@ ", "").replace("@", "_top"))]
+    others = re.sub(r"^\w+@ = .*?;$", "", text, flags=re.M | re.S)
+    return re.sub(r"\b(\w+)@", r"\1", (others + "\n".join(doubled)).replace("RETURN@ ", "'return' ( NONL expr )? eos | "))
+
+
+SCRIPT = _with_return(_SCRIPT)
+
 PYTHON = """
 SOFT := 'match' 'case' 'type' '_' ;
 NAME := ID SOFT ;
@@ -139,9 +164,8 @@ COMPARE := '<' '>' '==' '>=' '<=' '!=' 'in' 'is' ;
 file = stmt** EOF ;
 stmt = compound | simples ;
 simples = simple ( ';' simple )* ';'? NEWLINE ;
-simple = assignment | value | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' ( expr ( 'from' expr )? )?
-  | ( 'global' | 'nonlocal' ) ( NAME % ',' ) | 'del' ( target % ',' ) ','? | 'assert' expr ( ',' expr )? | imports
-  | 'type' NAME typeparams? '=' expr ;
+simple = 'type' NAME typeparams? '=' expr | assignment | value | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' ( expr ( 'from' expr )? )?
+  | ( 'global' | 'nonlocal' ) ( NAME % ',' ) | 'del' ( target % ',' ) ','? | 'assert' expr ( ',' expr )? | imports ;
 assignment = single ':' expr ( '=' value )? | ( targets '=' )+ value !'=' | single AUGMENT value ;
 value = yield | stars ;
 stars = star ( ',' star )* ','? ;
@@ -226,6 +250,8 @@ MODIFIER := 'public' 'protected' 'private' 'static' 'abstract' 'final' 'native'
 ASSIGN := '=' '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<=' '>>=' '>>>=' ;
 BINARY := '+' '-' '*' '/' '%' '<' '<=' '>=' '==' '!=' '&' '|' '^' '&&' '||' '<<' ;
 
+PLACE := NAME ']' ;
+
 file = ( annotation* 'package' qname ';' )? ( ';' | import )* ( moduledecl | ( ';' | typedecl )** ) EOF ;
 import = 'import' 'static'? NAME ( '.' NAME )* ( '.' '*' )? ';' ;
 qname = NAME ( '.' NAME )* ;
@@ -268,7 +294,7 @@ stmt = block | ';' | 'if' '(' expr ')' stmt ( 'else' stmt )? | 'while' '(' expr
   | 'switch' '(' expr ')' switchbody | 'try' ( resources block ( catch )* ( 'finally' block )? | block ( catch+ ( 'finally' block )? | 'finally' block ) )
   | 'synchronized' '(' expr ')' block | 'return' expr? ';' | 'throw' expr ';' | 'break' NAME? ';' | 'continue' NAME? ';'
   | 'yield' !( '=' | '.' | '++' | '--' | '[' ) expr ';' | 'assert' expr ( ':' expr )? ';' | NAME ':' stmt | statementexpr ';' ;
-statementexpr = ( '++' | '--' ) unary | postfixed ASSIGN expr | postfixed ( '++' | '--' )
+statementexpr = ( '++' | '--' ) unary | place ASSIGN expr | postfixed ( '++' | '--' )
   | ( NAME args | ( 'this' | 'super' ) args | 'new' newobject ) ( quiet* called )* | primary ( quiet* called )+ ;
 called = '.' ( typeargs? NAME args | 'new' newobject | 'super' args ) ;
 quiet = '.' ( NAME !'(' | 'this' | 'super' !'(' ) | '[' expr ']' ;
@@ -280,7 +306,8 @@ caselabel = 'case' ( ( 'default' | casepattern | conditional ) % ',' ) ( 'when'
 casepattern = ( 'final' | annotation )* type NAME &( ':' | '->' | ',' | 'when' | '&&' ) | recordpattern ;
 recordpattern = classtype '(' ( ( recordpattern | type NAME ) % ',' )? ')' NAME? ;
 
-expr = lambda | postfixed ASSIGN expr | conditional ;
+expr = lambda | place ASSIGN expr | conditional ;
+place = '(' place ')' &ASSIGN | postfixed ^PLACE ;
 lambda = ( NAME | '(' ( NAME % ',' )? ')' | '(' params ')' ) '->' ( block | expr ) ;
 conditional = binary ( '?' expr ':' ( lambda | conditional ) )? ;
 binary = unary ( ( BINARY | shift ) unary | 'instanceof' ( ( 'final' | annotation )* ( recordpattern | type NAME? ) ) )* ;
@@ -360,7 +387,9 @@ CONTEXTUAL := 'union' 'auto' 'default' 'macro_rules' 'raw' ;
 NAME := ID CONTEXTUAL ;
 PATHSEG := NAME 'self' 'Self' 'super' 'crate' ;
 ASSIGN := '=' '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<=' '>>=' ;
-BINARY := '+' '-' '*' '/' '%' '&' '|' '^' '<<' '==' '!=' '<' '<=' '>=' '&&' '||' ;
+ARITHMETIC := '+' '-' '*' '/' '%' '&' '|' '^' '<<' ;
+COMPARE := '==' '!=' '<' '<=' '>=' '>' ;
+BINARY := ARITHMETIC '==' '!=' '<' '<=' '>=' '&&' '||' ;
 LIT := NUM STR CHAR 'true' 'false' ;
 LEAF := NAME LIT LIFETIME 'as' 'async' 'await' 'break' 'const' 'continue' 'crate' 'dyn' 'else' 'enum' 'extern' 'fn' 'for' 'if' 'impl' 'in' 'let' 'loop' 'match'
   'mod' 'move' 'mut' 'pub' 'ref' 'return' 'self' 'Self' 'static' 'struct' 'super' 'trait' 'type' 'unsafe' 'use' 'where' 'while' 'abstract' 'become' 'box' 'do'
@@ -425,7 +454,9 @@ fieldpattern = attr* ( '..' | ( NAME | NUM ) ':' pattern | 'ref'? 'mut'? NAME )
 expr = assign ;
 assign = range ( ASSIGN assign )? ;
 range = ( '..' | '..=' ) ( binary )? | binary ( ( '..=' binary ) | '..' binary? )? ;
-binary = unary ( ( BINARY | '>' '>'? ) unary | 'as' type )* ;
+binary = comparison ( ( '&&' | '||' ) comparison )* ;
+comparison = arithmetic ( COMPARE arithmetic !COMPARE )? ;
+arithmetic = unary ( ( ARITHMETIC | '>' '>' ) unary | 'as' type )* ;
 unary = ( '-' | '!' | '*' | ( '&' | '&&' ) ( 'raw' ( 'const' | 'mut' ) | 'mut' )? ) unary | postfix ;
 postfix = primary suffix* ;
 suffix = '?' | '.' ( 'await' | NUM | NAME ( '::' typeargs )? ( '(' exprlist? ')' )? ) | '(' exprlist? ')' | '[' expr ']' ;
@@ -441,7 +472,9 @@ exprseg = PATHSEG ( '::' typeargs )? ;
 expr_h = assign_h ;
 assign_h = range_h ( ASSIGN assign_h )? ;
 range_h = ( '..' | '..=' ) binary_h? | binary_h ( ( '..=' binary_h ) | '..' binary_h? )? ;
-binary_h = unary_h ( ( BINARY | '>' '>'? ) unary_h | 'as' type )* ;
+binary_h = comparison_h ( ( '&&' | '||' ) comparison_h )* ;
+comparison_h = arithmetic_h ( COMPARE arithmetic_h !COMPARE )? ;
+arithmetic_h = unary_h ( ( ARITHMETIC | '>' '>' ) unary_h | 'as' type )* ;
 unary_h = ( '-' | '!' | '*' | ( '&' | '&&' ) 'mut'? ) unary_h | primary_h suffix* ;
 primary_h = LIT | closure | jump_h | blocklike | '(' exprlist? ')' | '[' ( expr ';' expr | exprlist )? ']' | pathexpr '!' delimited | pathexpr ;
 jump_h = 'return' expr_h? | 'break' LIFETIME? | 'continue' LIFETIME? ;
@@ -458,7 +491,7 @@ ASSIGN := '=' '+=' '-=' '*=' '/=' '%=' ;
 LOWBIN := '&&' '||' '?:' ;
 SAMELINE := '*' '/' '%' '+' '-' '<' '<=' '>=' '==' '!=' '===' '!==' '..' '..<' ;
 
-file = ( '@' 'file' ':' ( NAME ( '.' NAME )* | '[' tree* ']' ) args? )* ( 'package' qname semi )? ( 'import' qname ( '.' '*' )? ( 'as' NAME )? semi )* ( decl semi )** EOF ;
+file = ( '@' 'file' ':' ( NAME ( '.' NAME )* | '[' tree* ']' ) args? )* ( 'package' qname semi )? ( 'import' qname ( '.' '*' )? ( 'as' NAME )? semi )* ( decl semi? )** EOF ;
 tree = NAME | STR | '.' | ',' ;
 semi = ';'+ | NL | &EOF | &'}' ;
 qname = NAME ( '.' NAME )* ;
@@ -471,7 +504,7 @@ classdecl = ( 'class' | 'interface' ) NAME? typeparams? ( modifiers 'constructor
 supers = super % ',' ;
 super = annotation* ( type_s ( args | 'by' expr )? ) ;
 type_s = functiontype | usertype ;
-classbody = '{' ( enumentries ( ';' ( decl semi | ';' )* )? | ( decl semi | ';' )* ) '}' ;
+classbody = '{' ( enumentries ( ';' ( decl semi? | ';' )* )? | ( decl semi? | ';' )* ) '}' ;
 enumentries = enumentry ( ',' enumentry )* ','? &( '}' | ';' ) ;
 enumentry = annotation* NAME !( NAME ) args? classbody? ;
 typeparams = '<' ( modifiers NAME ( ':' type )? ) % ',' ','? '>' ;

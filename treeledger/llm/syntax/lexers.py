@@ -20,14 +20,15 @@ class _Out:
     def __init__(self, grammar: Grammar):
         self.get, self.kinds, self.breaks, self.starts = grammar.kinds.get, [], [], []
 
+        self.name = grammar.kinds.get("ID", BAD)
+
     def add(self, text: str, start: int, broke: bool = False) -> None:
         self.kinds.append(self.get(text, BAD))
         self.breaks.append(broke)
         self.starts.append(start)
 
-    def word(self, text: str, start: int, broke: bool = False, name: str = "ID") -> None:
-        k = self.get(text)
-        self.kinds.append(self.get(name) if k is None else k)
+    def word(self, text: str, start: int, broke: bool = False) -> None:
+        self.kinds.append(self.get(text, self.name))
         self.breaks.append(broke)
         self.starts.append(start)
 
@@ -94,6 +95,9 @@ def script_tokens(text: str, grammar: Grammar, at: int) -> Tokens:
         return -1
 
     while at < size:
+        if text[at] == " ":
+            at += 1
+            continue
         if text[at] == "/" and last not in _JS_VALUE_END and (m := _JS_REGEX.match(text, at)):
             out.add("REGEX", at, broke)
             at, broke, last = m.end(), False, "regex"
@@ -403,6 +407,9 @@ _RUST = re.compile(
 def rust_tokens(text: str, grammar: Grammar, at: int) -> Tokens:
     out, size = _Out(grammar), len(text)
     while at < size:
+        if text[at] == " ":
+            at += 1
+            continue
         m = _RUST.match(text, at)
         if not m:
             return out.broken(at)
@@ -465,6 +472,9 @@ def kotlin_tokens(text: str, grammar: Grammar, at: int) -> Tokens:
             i = m.end()
 
     while at < size:
+        if text[at] == " ":
+            at += 1
+            continue
         m = _KT.match(text, at)
         if not m:
             return out.broken(at)
