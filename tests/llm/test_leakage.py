@@ -1,7 +1,9 @@
 import random
+import time
 
 from conftest import rows
 
+from treeledger.llm import leakage
 from treeledger.llm.leakage import bare, leaked, tiles
 
 
@@ -64,3 +66,25 @@ def test_reordered_passages_are_covered(spark):
     i = spark.createDataFrame([(1, "".join(parts))], "item_id bigint, text string")
     got = leaked(d, i).first()
     assert got["coverage"] > 0.95 and got["longest_run"] < 100
+
+
+def test_long_documents(spark):
+    random.seed(9)
+    parts = ["".join(random.choices("abcdefghijklmnop", k=30)) for _ in range(100)]
+    document = "".join("".join(random.choices("qrstuvwxyz", k=2000)) + p for p in random.sample(parts, 100))
+    began = time.time()
+    assert sorted(n for *_, n in tiles(document, "".join(parts), 15))[:1] == [30] and sum(n for *_, n in tiles(document, "".join(parts), 15)) == 3000
+    assert time.time() - began < 5
+
+
+def test_shared_boilerplate_and_many_items(spark, monkeypatch):
+    random.seed(4)
+    shared = "".join(random.choices("abcdefgh", k=200))
+    items = [(i, shared[i : i + 80] + "".join(random.choices("ijklmnop", k=50))) for i in range(50)]
+    docs = [(n, "".join(random.choices("qrstuvwxyz", k=100)) + (shared if n % 3 == 0 else shared[:50]) + items[n][1][60:]) for n in range(50)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(n, k) for n, t in docs for k, x in items if longest(t, x) >= 60}
+    assert {(r[0], r[1]) for r in leaked(d, i).collect()} == want
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(leakage, "BROADCAST_TEXT", 0)
+    assert {(r[0], r[1]) for r in leaked(d, i).collect()} == want

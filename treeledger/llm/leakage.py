@@ -1,32 +1,37 @@
 """Held-out test texts inside a training corpus, by greedy string tiling.
 
-Texts are reduced to letters and digits. Each document is cut into blocks of half the
-least run, each test item into all its windows of that length; a run that both share and
-that is at least twice as long contains a whole block of the document, so joining blocks
-with windows by hash loses no pair. Joined pairs are tiled: the longest common run that no
-tile covers yet is found by rolling Karp-Rabin hashes and marked in both texts, again and
-again, so passages are found in any order.
+Texts are reduced to letters and digits. Each document gives a seed at every 20th place,
+each test item all its windows of a seed's length; a run that both share and that is long
+enough for a case holds a whole seed of the document, so joining seeds with windows by hash
+loses no pair. Joined pairs are tiled: the longest common run that no tile covers yet is
+found by rolling Karp-Rabin hashes and marked in both texts, again and again, so passages
+are found in any order.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeledger.session import read_table
+from treeledger.session import all_salts, read_table, salted
 
-#: Least shared run of a case. Seeds have half its length, so that any such run holds a whole block.
-MIN_RUN = 60
+#: Least shared run of a case, and how far apart the seeds of a document stand.
+MIN_RUN, STRIDE = 60, 20
 #: Least tile that counts for coverage.
 MIN_TILE = 15
-#: Windows of test items up to this number are broadcast; with 16 bytes each they stay under 64 MB.
-BROADCAST_WINDOWS = 2_000_000
+#: Windows of test items up to this number, and item texts of up to so many characters, are broadcast; with 16 and 4 bytes each both stay under 64 MB.
+BROADCAST_WINDOWS, BROADCAST_TEXT = 2_000_000, 8_000_000
+#: Beyond that the seeds of one hash are spread over so many keys.
+SALTS = 16
+#: Items of one document that are tiled in one row.
+ITEMS_IN_A_ROW = 16
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -41,14 +46,15 @@ def bare_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: bare(t) if t else "")
 
 
-class _Rolling:
-    """Karp-Rabin hashes of all windows of a text, modulo 2**64."""
+class _Hashes:
+    """Karp-Rabin hashes of the windows of a text, modulo 2**64."""
 
     BASE = 0x9E3779B97F4A7C15
     INVERSE = pow(BASE, -1, 1 << 64)
 
     def __init__(self, text: str):
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        self.made: dict[int, np.ndarray] = {}
         n = len(self.codes)
         powers = np.ones(n + 1, np.uint64)
         backs = np.ones(n + 1, np.uint64)
@@ -56,32 +62,47 @@ class _Rolling:
         with np.errstate(over="ignore"):
             powers, self.backs = np.multiply.accumulate(powers), np.multiply.accumulate(backs)
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(self.codes * powers[:n])])
-        self.marked = np.zeros(n + 1, np.int64)  # number of marked places before each
-
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows without a marked place."""
-        n = len(self.codes) - length + 1
-        if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        free = np.flatnonzero(self.marked[length:] == self.marked[:n])
+
+    def of(self, starts: np.ndarray, length: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return free, (self.sums[free + length] - self.sums[free]) * self.backs[free]
+            return (self.sums[starts + length] - self.sums[starts]) * self.backs[starts]
+
+    def all(self, length: int) -> np.ndarray:
+        if length not in self.made:
+            self.made[length] = self.of(np.arange(max(0, len(self.codes) - length + 1)), length)
+        return self.made[length]
+
+
+@lru_cache(1)
+def _document(text: str) -> _Hashes:
+    """Hashes of the document that is tiled at present, made once for all of its items."""
+    return _Hashes(text)
+
 
-    def mark(self, start: int, length: int) -> None:
-        self.marked[start + 1 : start + length + 1] += np.arange(1, length + 1)
-        self.marked[start + length + 1 :] += length
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of the values that occur among ``known``."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    known = np.sort(known)
+    places = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.flatnonzero(known[places] == values)
 
 
-def _common(a: _Rolling, b: _Rolling, length: int) -> tuple[int, int] | None:
-    """First place of a and of b where an unmarked run of this length is the same."""
-    at_b, hash_b = b.windows(length)
-    at_a, hash_a = a.windows(length)
+def _runs(places: np.ndarray) -> np.ndarray:
+    """For each place how many follow each other from it on."""
+    ends = np.flatnonzero(np.append(np.diff(places) != 1, True))
+    return places[ends[np.searchsorted(ends, np.arange(len(places)))]] - places + 1
+
+
+def _common(a: _Hashes, b: _Hashes, at_a: np.ndarray, at_b: np.ndarray, length: int) -> tuple[int, int] | None:
+    """First of the places of a, with the first of b, where a run of this length is the same."""
     if not len(at_a) or not len(at_b):
         return None
+    hash_a, hash_b = a.of(at_a, length), b.of(at_b, length)
     order = np.argsort(hash_b, kind="stable")
-    places = np.searchsorted(hash_b[order], hash_a)
-    places[places == len(order)] = 0
-    for i in np.flatnonzero(hash_b[order][places] == hash_a):
+    sorted_b = hash_b[order]
+    places = np.minimum(np.searchsorted(sorted_b, hash_a), len(order) - 1)
+    for i in np.flatnonzero(sorted_b[places] == hash_a):
         x, y = int(at_a[i]), int(at_b[order[places[i]]])
         if np.array_equal(a.codes[x : x + length], b.codes[y : y + length]):
             return x, y
@@ -89,23 +110,32 @@ def _common(a: _Rolling, b: _Rolling, length: int) -> tuple[int, int] | None:
 
 
 def tiles(document: str, item: str, least: int) -> list[tuple[int, int, int]]:
-    """(place in the document, place in the item, length), longest first, none overlapping."""
-    a, b = _Rolling(document), _Rolling(item)
-    found, most = [], min(len(a.codes), len(b.codes))
-    while most >= least:
-        at, low, high = _common(a, b, least), least, most
+    """(place in the document, place in the item, length), longest first, none overlapping.
+
+    Only places whose next ``least`` characters occur in the other text, unmarked in both, can
+    be part of a tile, so a search looks at no others.
+    """
+    a, b = _document(document), _Hashes(item)
+    free_a = _among(a.all(least), b.all(least))
+    free_b = _among(b.all(least), a.all(least)[free_a])
+    found, most = [], len(item)
+    while len(free_a) and len(free_b):
+        run_a, run_b = _runs(free_a), _runs(free_b)
+        common = lambda n: _common(a, b, free_a[run_a > n - least], free_b[run_b > n - least], n)  # noqa: B023, E731
+        most = min(most, int(run_a.max()) + least - 1, int(run_b.max()) + least - 1)
+        at, low, high = common(least), least, most
         if at is None:
             break
         while low < high:  # a longer run holds all shorter ones
             middle = (low + high + 1) // 2
-            hit = _common(a, b, middle)
+            hit = common(middle)
             if hit is None:
                 high = middle - 1
             else:
                 at, low = hit, middle
         found.append((*at, low))
-        a.mark(at[0], low)
-        b.mark(at[1], low)
+        free_a = free_a[(free_a + least <= at[0]) | (free_a >= at[0] + low)]
+        free_b = free_b[(free_b + least <= at[1]) | (free_b >= at[1] + low)]
         most = low
     return found
 
@@ -121,15 +151,23 @@ def leaked(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN, min_t
     nothing, as do items shorter than ``min_run``; repeated rows count once. ``coverage`` is
     the share of the item in tiles of at least ``min_tile`` characters, in any order.
     """
-    seed = min_run // 2
+    stride = max(1, min(STRIDE, min_run // 3))
+    seed = min_run - stride + 1
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     tests = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), bare_text("text").alias("item_text")).where(F.length("item_text") >= min_run).distinct()
     windows = tests.select("item_id", F.explode(F.expr(rf"regexp_extract_all(item_text, '(?=(.{{{seed}}}))', 1)")).alias("w")).select("item_id", F.xxhash64("w").alias("h")).distinct()
-    if windows.count() <= BROADCAST_WINDOWS:
-        windows, tests = F.broadcast(windows), F.broadcast(tests)
-    blocks = docs.select("doc_id", bare_text("text").alias("bare")).select("doc_id", F.explode(F.expr(f"regexp_extract_all(bare, '.{{{seed}}}', 0)")).alias("w"))
-    pairs = blocks.select("doc_id", F.xxhash64("w").alias("h")).join(windows, "h").select("doc_id", "item_id").distinct()
-    wanted = pairs.join(tests, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    seeds = docs.select("doc_id", bare_text("text").alias("bare")).select("doc_id", F.explode(F.expr(rf"regexp_extract_all(bare, '(?=(.{{{seed}}})).{{{stride}}}', 1)")).alias("w")).select("doc_id", F.xxhash64("w").alias("h"))
+    n_windows, n_text = windows.count(), tests.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    if n_windows <= BROADCAST_WINDOWS:
+        pairs = seeds.join(F.broadcast(windows), "h")
+    else:  # a seed that a third of the documents share is spread over many keys
+        everywhere = windows.select("item_id", "h", F.explode(all_salts(F.lit(True), SALTS)).alias("salt"))
+        pairs = seeds.withColumn("salt", salted(F.lit(True), F.hash("doc_id"), SALTS)).join(everywhere, ["h", "salt"])
+    pairs = pairs.select("doc_id", "item_id").distinct()
+    texts = pairs.join(F.broadcast(tests) if n_text <= BROADCAST_TEXT else tests, "item_id")
+    # A document of many items has several rows, each with a bounded number of them.
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id", "item_text")) - 1
+    wanted = texts.withColumn("part", F.floor(place / F.lit(ITEMS_IN_A_ROW))).groupBy("doc_id", "part").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
 
     @F.pandas_udf(_TILED)
     def tile(texts: pd.Series, lists: pd.Series) -> pd.Series:
