@@ -1,24 +1,25 @@
 """Encoding of whole texts with a public byte-level tokenizer, by a tree of joined halves.
 
 A text is halved until its parts are short; parts are encoded on their own and joined again
-from the bottom up. A join keeps the left part's tokens up to the last split that later
-text cannot move, and encodes a window from there over the seam. The window grows until one
-of its splits is also a split of the right part: the splitting pattern reads from left to
-right and never looks back, so from a common split on both runs are the same, and the right
-part's tokens stand. The order of joins does not matter, so parts of very long texts are
-encoded in separate tasks.
+from the bottom up. The pattern that splits a text before the merges keeps letters, digits,
+white space and other characters apart, but for a space before the three others and an
+apostrophe before letters. So where a character and the next are of different kinds, and the
+first is neither white space nor an apostrophe before a letter, no split of any text goes
+over the place between them: tokens on both sides stand, whatever else the text holds. A join
+keeps the left part's tokens up to its last such place and the right part's from its first
+one on, and encodes the window between them, which grows from the seam until both are found.
+The order of joins does not matter, so parts of very long texts are encoded in separate tasks.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from functools import cache, lru_cache
-from itertools import chain
+import unicodedata
+from functools import cache
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +29,42 @@ from treeledger.session import read_table
 VOCABULARIES = "/opt/tokenizers"
 #: Pattern of the byte-level vocabularies, which splits a text before the merges. A fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: No match of the pattern depends on text further than this behind its own end.
-LOOK_AHEAD = 3
+
+
+@cache
+def _settled() -> dict[str, str]:
+    """Character classes, as parts of patterns, of the kinds that the splitting pattern tells apart.
+
+    Regular expression engines follow different versions of Unicode, so only characters of the
+    basic plane that have been of one kind since version 3.2 are in a class.
+    """
+
+    def kind(data, c: str) -> str:
+        category = data.category(c)
+        return category[0] if category[0] in "LN" else "S" if category == "Zs" else "" if category[0] in "CZ" else "P"
+
+    places: dict[str, list[int]] = {"L": [], "N": [], "P": [], "S": list(map(ord, "\t\n\v\f\r"))}
+    for code in range(0x10000):
+        now = kind(unicodedata, chr(code))
+        if now and now == kind(unicodedata.ucd_3_2_0, chr(code)) and chr(code) not in "'\u180e":
+            places[now].append(code)
+    classes = {}
+    for name, codes in places.items():
+        starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+        ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+        classes[name] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+    return classes
+
+
+def stable_places() -> str:
+    """Pattern of the places that no split crosses."""
+    c = _settled()
+    pairs = ((c["L"], c["N"] + c["P"] + c["S"] + "'"), (c["N"], c["L"] + c["P"] + c["S"] + "'"), (c["P"], c["L"] + c["N"] + c["S"]), ("'", c["N"] + c["S"]))
+    return "|".join(f"(?<=[{before}])(?=[{after}])" for before, after in pairs)
+
+
 #: Code points of a leaf of the tree, far fewer than usual texts have, and of a part that is a row of its own.
 LEAF, PART = 256, 1 << 20
-#: Splits whose tokens are kept for the next texts, and the code points of the longest of them.
-KEPT, KEPT_LENGTH = 1 << 16, 32
 
 
 class Encoder:
@@ -43,73 +74,48 @@ class Encoder:
 
         with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.tiktoken = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN)
+        self.leaf = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.first, self.last = regex.compile(stable_places()), regex.compile("(?r)" + stable_places())
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.kept = lru_cache(KEPT)(self.tiktoken.encode_ordinary)
+        self.size = {v: len(k) for k, v in ranks.items()}
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
+        """The tokens of ``text``: those of its halves, joined."""
         if len(text) <= leaf:
-            return self.tiktoken.encode_ordinary(text)
-        return self.tree(text, leaf).ids.tolist()
-
-    def tree(self, text: str, leaf: int = LEAF) -> Part:
-        """The part of ``text``: its halves' parts joined."""
-        if len(text) <= leaf:
-            return self.part(text)
+            return self.leaf(text)
         half = len(text) // 2
-        return self.join(self.tree(text[:half], leaf), self.tree(text[half:], leaf))
-
-    def part(self, text: str) -> Part:
-        """A leaf: splits and tokens of a text that stands alone."""
-        pieces = self.split.findall(text)  # they cover the text
-        tokens = [self.kept(p) if len(p) <= KEPT_LENGTH else self.tiktoken.encode_ordinary(p) for p in pieces]
-        cuts, firsts = np.cumsum([0, *map(len, pieces)]), np.cumsum([0, *map(len, tokens)])
-        return Part(text, cuts[:-1], firsts[:-1], np.array(list(chain.from_iterable(tokens)), np.int32))
-
-    def join(self, a: Part, b: Part, window: int = 64) -> Part:
-        if not a.text or not b.text:
-            return a if a.text else b
-        size, text = len(a.text), a.text + b.text
-        # The last split of a that holds whatever follows, and how many of a's splits and tokens stay.
-        keep = max(0, int(np.searchsorted(a.cuts, size - LOOK_AHEAD, "right")) - 1)
-        start = int(a.cuts[keep])
-        while True:
-            end = min(len(text), size + window)
-            seam = self.part(text[start:end])
-            sure = len(seam.cuts) if end == len(text) else int(np.searchsorted(seam.cuts, end - start - LOOK_AHEAD, "right"))
-            places = seam.cuts[:sure] + start - size
-            found = np.minimum(np.searchsorted(b.cuts, places), len(b.cuts) - 1)
-            common = np.flatnonzero(b.cuts[found] == places)
-            if len(common) or end == len(text):
+        left, right = text[:half], text[half:]
+        return self.join(left, self.encode(left, leaf), right, self.encode(right, leaf))
+
+    def join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
+        """Tokens of ``left + right`` from those of each, without reading more than the window at the seam."""
+        p, q = self.last.search(left), self.first.search(right)
+        end, begin = left[p.start() if p else 0 :], right[: q.start() if q else len(right)]
+        return a[: len(a) - self._count(reversed(a), end)] + self.leaf(end + begin) + b[self._count(b, begin) :]
+
+    def _count(self, ids, text: str) -> int:
+        """How many of the tokens, one after the other, make up the bytes of ``text``."""
+        left, n = len(text.encode("utf-8", "replace")), 0
+        for i in ids:
+            if left <= 0:
                 break
-            window *= 2
-        n = int(common[0]) if len(common) else len(seam.cuts)
-        seam_ids = int(seam.firsts[n]) if n < len(seam.firsts) else len(seam.ids)
-        rest = int(np.searchsorted(b.cuts, places[n])) if len(common) else len(b.cuts)
-        rest_ids = int(b.firsts[rest]) if rest < len(b.firsts) else len(b.ids)
-        kept_ids = int(a.firsts[keep])
-        return Part(
-            text,
-            np.concatenate([a.cuts[:keep], seam.cuts[:n] + start, b.cuts[rest:] + size]),
-            np.concatenate([a.firsts[:keep], seam.firsts[:n] + kept_ids, b.firsts[rest:] + (kept_ids + seam_ids - rest_ids)]),
-            np.concatenate([a.ids[:kept_ids], seam.ids[:seam_ids], b.ids[rest_ids:]]),
-        )
+            left -= self.size[i]
+            n += 1
+        return n
+
+    def ends(self, text: str) -> tuple[str, str, str] | None:
+        """``text`` in three at its first and last stable place; None without any."""
+        first = self.first.search(text)
+        if first is None:
+            return None
+        p, q = first.start(), self.last.search(text).start()
+        return text[:p], text[p:q], text[q:]
 
     def decode(self, ids) -> str:
         """Bytes of tokens concatenate, so decoding needs no seams."""
         return b"".join(self.bytes_of[int(i)] for i in ids).decode("utf-8", "replace")
 
 
-class Part:
-    """A text with its splits (``cuts``), the number of tokens before each (``firsts``) and its tokens."""
-
-    __slots__ = ("text", "cuts", "firsts", "ids")
-
-    def __init__(self, text, cuts, firsts, ids):
-        self.text, self.cuts, self.firsts, self.ids = text, cuts, firsts, ids
-
-
 @cache
 def encoder(name: str, folder: str) -> Encoder:
     return Encoder(name, folder)
@@ -131,32 +137,34 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", voc
     long = F.coalesce(F.length(text) > part, F.lit(False))
     short = documents.where(~long).select(F.col(key), encode(F.col(text)).alias("ids"))
 
-    encoded = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("cuts", "firsts", "ids")])
+    thirds = T.StructType([T.StructField("head", T.StringType()), T.StructField("tail", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf(encoded)
+    @F.pandas_udf(thirds)
     def encode_part(texts: pd.Series) -> pd.DataFrame:
         e = encoder(vocabulary, folder)
-        parts = [e.tree(t, leaf) for t in texts]
-        return pd.DataFrame({"cuts": [p.cuts for p in parts], "firsts": [p.firsts for p in parts], "ids": [p.ids for p in parts]})
+        cut = [e.ends(t) for t in texts]
+        # A part without a stable place is all head, and has no tokens of its own.
+        return pd.DataFrame({"head": [c[0] if c else t for c, t in zip(cut, texts)], "tail": [c[2] if c else None for c in cut], "ids": [e.encode(c[1], leaf) if c else None for c in cut]})
 
+    # Parts of very long texts: each task encodes what lies between the first and the last stable place of its part,
+    # then the seams, from the last place of one part to the first of the next that has any, are encoded in further tasks.
     numbers = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / part).cast("int"))
-    pieces = (
+    parts = (
         documents.where(long)
         .select(F.col(key).alias("k"), F.posexplode(F.transform(numbers, lambda i: F.substring(F.col(text), i * part + 1, F.lit(part)))).alias("n", "piece"))
         .repartition("k", "n")
-        .withColumn("e", encode_part("piece"))
-        .select("k", "n", "piece", "e.cuts", "e.firsts", "e.ids")
+        .select("k", "n", encode_part("piece").alias("e"))
+        .select("k", "n", "e.*", F.count("e.tail").over(Window.partitionBy("k").orderBy("n")).alias("place"))
     )
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        e = encoder(vocabulary, folder)
-        parts = [Part(r.piece, np.array(r.cuts, np.int64), np.array(r.firsts, np.int64), np.array(r.ids, np.int32)) for r in rows.sort_values("n").itertuples()]
-        while len(parts) > 1:
-            parts = [e.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return pd.DataFrame({key: [rows["k"].iloc[0]], "ids": [parts[0].ids]})
-
-    schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return short.unionByName(pieces.groupBy("k").applyInPandas(fold, schema))
+    cut = F.col("tail").isNotNull()
+    heads = F.struct((F.col("place") - cut.cast("int")).alias("place"), (F.col("n") * 2).alias("at"), F.col("head").alias("text"))
+    tails = F.struct(F.col("place"), (F.col("n") * 2 + 1).alias("at"), F.col("tail").alias("text"))
+    seams = parts.select("k", F.explode(F.when(cut, F.array(heads, tails)).otherwise(F.array(heads))).alias("s")).groupBy("k", "s.place").agg(F.array_sort(F.collect_list(F.struct("s.at", "s.text"))).alias("texts"))
+    joined = seams.select("k", (F.col("place") * 2 + 1).alias("place"), encode(F.array_join("texts.text", "")).alias("ids"))
+    middles = parts.where(cut).select("k", (F.col("place") * 2).alias("place"), "ids")
+    # One row for each text, as asked for: its runs of tokens in order.
+    whole = middles.unionByName(joined).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("runs"))
+    return short.unionByName(whole.select(F.col("k").alias(key), F.flatten("runs.ids").alias("ids")))
 
 
 def decoded(rows: DataFrame, ids: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
