@@ -82,6 +82,30 @@ def test_units_hold_all_characters():
     assert all(not text[a].isspace() and not text[b - 1].isspace() for a, b in units) and len(units) == 4
 
 
+MISREAD = [
+    "Am 3. März kam es, o. ä. Pfade. | „Wann?“, fragte sie. | Größe usw. ohne Sperre.",
+    "C’est l’été, c.-à-d. Peu. | « Est-ce vrai ? » demande-t-elle. | Hélas… le cache.",
+    "Véase la pág. 3 y el núm. 4. | ¿Cuándo? | —¿Sí? —preguntó.",
+    "См. рис. 3. | Это связи и т. д. после. | 好。|“好吗？”他问道。|是。",
+]
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("case", MISREAD)
+def test_misread_text_is_cut_like_the_right_one(case, encoding):
+    misread = lambda t: "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in t.encode())
+    text = misread("".join(case.split("|")))
+    assert [text[a:b] for a, b in sentence_units(text)] == [misread(p.strip()) for p in case.split("|")]
+    assert sentence_units("Ã") == [(0, 1)] and sentence_units("Â\xa0x. YÂ\xa0") == [(0, 4), (5, 7)]
+
+
+def test_abbreviations_of_each_script():
+    cases = ["Siehe Abs. 3 | Ну. | Стр. 4 и напр. Это.", "He uses, e. g. this. | And, i. e. that."]
+    for case in cases:
+        text = "".join(case.replace(" | Ну. | ", ". | Ну. | ").split("|"))
+        assert [text[a:b] for a, b in sentence_units(text)] == [p.strip() for p in case.replace(" | Ну. | ", ". | Ну. | ").split("|")]
+
+
 def test_long_text():
     assert len(sentence_units("One sentence here. " * 20000)) == 20000
     assert len(sentence_units("e.g. " * 20000)) == 1

@@ -3,10 +3,11 @@
 Blocks come first: blank lines, headings, list items and fenced code part a text. Inside a
 block every final mark, every quotation or bracket that holds one at its end, and every
 space between Thai letters is a candidate. Ordered pairs of regular expressions, one for
-the unit so far and one for what follows, decide it: tables for quotations, pauses,
-abbreviations of each language and dates form a cascade, and the first pair that matches
-says break or no break. All languages' tables are tried for every text, as labels are
-often wrong and texts mixed.
+the unit so far and one for what follows, decide it: tables for quotations, pauses, each language's
+abbreviations, ends of lists and dates form a cascade, and the first pair that matches says
+break or no break. As labels are often wrong and texts mixed, the languages of a place are
+those of the script of its last letter. Text whose UTF-8 was read as Latin-1 is repaired
+for the rules, and offsets are told in the text as it stands.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ _THAI = r"ก-๎"
 _W = r"(?:\s|(?<=\n)>)"
 _LOWER = r"[a-zß-öø-ÿа-яё]"
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]"
-_MONTHS = "Januar|Jänner|Februar|März|MÃ¤rz|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jan|Feb|Apr|Jun|Jul|Aug|Sept?|Okt|Nov|Dez"
+_MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jan|Feb|Apr|Jun|Jul|Aug|Sept?|Okt|Nov|Dez"
 #: Never the end of a sentence.
 _TITLES = {
     "en": r"e\.\s?g|i\.\s?e|cf|approx|viz|vs|incl|resp|Mr|Mrs|Ms|Dr|Prof|Rev|Gen|Sen|Gov|Capt|Lt|St",
-    "de": r"z\.\s?B|d\.\s?h|u\.\s?a|o\.\s?(?:ä|Ã¤|g)|i\.\s?d\.\s?R|z\.\s?T|ca|bzw|vgl|sog|evtl|ggf|inkl|zzgl|Hr|Fr|Dipl",
-    "fr": r"c\.-\s?(?:à|Ã\s)-\s?d|p\.\s?ex|env|MM|Mme|Mlle|chap|éd",
+    "de": r"z\.\s?B|d\.\s?h|u\.\s?a|o\.\s?[äg]|i\.\s?d\.\s?R|z\.\s?T|ca|bzw|vgl|sog|evtl|ggf|inkl|zzgl|Hr|Fr|Dipl",
+    "fr": r"c\.-\s?à-\s?d|p\.\s?ex|env|MM|Mme|Mlle|chap|éd",
     "es": r"p\.\s?ej|aprox|Sr|Sra|Srta|Dra|Uds?|EE|p\.\s?e",
     "ru": r"т\.\s?е|т\.\s?н|т\.\s?к|ок|напр|им|[Сс]м|[Сс]р|проф|акад",
     "hi": r"डॉ|प्रो|श्री|सं",
@@ -48,7 +49,7 @@ _NUMBERED = {
     "en": r"Nos?|Secs?|Sect|Figs?|Eqs?|Chs?|Tab|Vol|Art|Ver|Pt|p|pp|no|sec|fig|vol|art",
     "de": r"Nr|Abs|Abb|Kap|Bd|S|Art|Ziff",
     "fr": r"art|fig|chap|vol|n",
-    "es": r"p(?:á|Ã¡)gs?|art|n(?:ú|Ãº)m|cap|fig",
+    "es": r"págs?|art|núm|cap|fig",
     "ru": r"рис|стр|гл|разд|табл|п|пп|ст|с|Рис|Стр|Гл|Табл",
 }
 #: Closed word classes. Prepositions and conjunctions carry a sentence on behind "etc." and the like, unless they open a clause of their own.
@@ -83,16 +84,23 @@ _FRONTED = rf"(?:{_PREPOSITIONS['en']}){_W}+(?:(?:{_DETERMINERS}){_W}+)?(?:(?!(?
 _QUOTED = rf"[:：]{_W}*(?:\"[^\"]*|“[^”]*|„[^“”]*|«[^»]*|「[^」]*|『[^』]*|'[^']*)"
 
 
+#: Longer than any abbreviation with the marks and spaces in it.
+WORD_REACH = 48
+
+
 class Rule:
     """Whether to break between a unit that matches ``before`` at its end and a text that starts with ``after``.
 
-    ``small`` limits a rule to texts that start sentences with small letters (True) or to others (False).
+    ``small`` limits a rule to texts that start sentences with small letters (True) or to
+    others (False). ``word`` rules match the last word of a unit, others may look at all of it.
     """
 
-    __slots__ = ("breaks", "before", "after", "small")
+    __slots__ = ("breaks", "before", "after", "small", "word")
 
-    def __init__(self, breaks: bool, before: str, after: str = "", small: bool | None = None):
-        self.breaks, self.before, self.after, self.small = breaks, re.compile(f"(?:{before})\\Z", re.S), re.compile(after, re.S), small
+    def __init__(self, breaks: bool, before: str, after: str = "", small: bool | None = None, word: bool = False):
+        self.breaks, self.small, self.word = breaks, small, word
+        self.before = re.compile(f"(?:{before})\\Z", re.S).search if before else None
+        self.after = re.compile(after, re.S).match if after else None
 
 
 _START = r"\A(?:>\s*)?(?:[-*]\s+|\d+\.\s+)?"
@@ -109,9 +117,8 @@ GROUP_RULES = (
     Rule(True, ""),
 )
 
-#: Candidates behind final marks, table by table.
-MARK_RULES = (
-    # pauses
+# Candidates behind final marks, table by table.
+PAUSES = (
     Rule(False, rf"[{_CJK}]…+"),
     Rule(False, rf"{_START}\S+(?:…|\.\.\.)", rf"{_W}+[^\s{_UPPER[1:-1]}]"),
     Rule(False, rf"{_START}{_UPPER}.*(?:…|\.\.\.)", rf"{_W}+{_LOWER}+\b(?![\w.`(])"),
@@ -120,27 +127,62 @@ MARK_RULES = (
     Rule(False, "", r"\s*[,;:](?!\S)"),
     # markers of list items and bare numbers of quoted lists
     Rule(False, r"\A(?:>\s*)?\d+\."),
-    # abbreviations
-    Rule(False, rf"(?:^|[\s(>«„“\"'/-])(?:{'|'.join(_TITLES.values())})\."),
-    Rule(False, rf"(?:^|[\s(>«„“\"'])(?:{'|'.join(_NUMBERED.values())})\.", rf"{_W}*\d"),
-    Rule(False, r"(?:^|[\s(>])[zdouiртEpc]\.", rf"{_W}?(?:B|h|a|ä|T|d|е|к|н|д|п|UU|ej|ex)\."),
-    Rule(False, r"(?:^|[\s(>])(?:т|z|d|i|p|EE)\.", rf"{_W}?(?:B|h|d|е|к|н|д|п|ej|ex|UU|e|g)\."),
-    Rule(False, r"\bEE\.\s?UU\.", rf"{_W}+{_LOWER}"),
-    Rule(False, r"\b(?:[A-Z]\.){2,}", rf"{_W}+(?!{_STARTS})\w"),
-    Rule(False, r"\d\s?[aApP]\.\s?[mM]\.", rf"{_W}+(?:[A-Z]{{2,5}}\b|and\b|or\b|to\b|until\b)"),
-    # ends of lists: on where a small letter follows, unless it opens a clause or the text starts its sentences small
+)
+
+
+def _abbreviations(language: str) -> tuple[Rule, ...]:
+    """Words that never end a sentence, and those that do not before a number."""
+    rules = (Rule(False, rf"(?:^|[\s(>«„“\"'/-])(?:{_TITLES[language]})\.", word=True),)
+    return rules + ((Rule(False, rf"(?:^|[\s(>«„“\"'])(?:{_NUMBERED[language]})\.", rf"{_W}*\d"),) if language in _NUMBERED else ())
+
+
+def _halves(first: str, second: str) -> Rule:
+    """Between the halves of an abbreviation of two words."""
+    return Rule(False, rf"(?:^|[\s(>])(?:{first})\.", rf"{_W}?(?:{second})\.", word=True)
+
+
+LANGUAGES = {
+    "en": (
+        *_abbreviations("en"), _halves("e|i", "e|g"),
+        Rule(False, r"\b(?:[A-Z]\.){2,}", rf"{_W}+(?!{_STARTS})\w", word=True),
+        Rule(False, r"\d\s?[aApP]\.\s?[mM]\.", rf"{_W}+(?:[A-Z]{{2,5}}\b|and\b|or\b|to\b|until\b)", word=True),
+    ),
+    "de": (*_abbreviations("de"), _halves("z|d|o|u|i", "B|h|a|ä|T|d|g|R"), Rule(False, r"(?:^|\D)\d{1,2}\.", rf"{_W}+(?:{_MONTHS})\b", word=True)),
+    "fr": (*_abbreviations("fr"), _halves("p", "ex")),
+    "es": (*_abbreviations("es"), _halves("EE?|p", "UU|ej|e"), Rule(False, r"\bEE\.\s?UU\.", rf"{_W}+{_LOWER}", word=True)),
+    "ru": (*_abbreviations("ru"), _halves("т|р|и", "е|к|н|д|п")),
+    "hi": _abbreviations("hi"),
+}
+
+#: On where a small letter follows, unless it opens a clause or the text starts its sentences small.
+LIST_ENDS = (
     Rule(True, _LISTED, rf"{_W}+(?:{_HEADED}|(?:{_SUBORDINATORS}){_CLAUSE})"),
     Rule(True, _LISTED, rf"{_W}+(?:(?:{_DOUBLE}){_CLAUSE}|{_FRONTED})", small=True),
     Rule(False, _LISTED, rf"{_W}+(?:{_ON})\b(?![.(]\w)"),
     Rule(False, _LISTED, rf"{_W}+{_LOWER}+(?![\w.]*[A-Z(.]\w)", small=False),
-    # dates
-    Rule(False, r"(?:^|\D)\d{1,2}\.", rf"{_W}+(?:{_MONTHS})\b"),
-    # full stops of scripts without spaces end a sentence wherever they stand, others before white space
+)
+#: Full stops of scripts without spaces end a sentence wherever they stand, others before white space.
+ENDS = (
     Rule(True, rf"[{_FULL}][{_MARK}]*[{_CLOSE}]*"),
     Rule(True, "", rf"{_W}|\Z"),
     Rule(False, ""),
 )
 
+
+def _cascade(*languages: str) -> tuple[Rule, ...]:
+    return (*PAUSES, *(rule for language in languages for rule in LANGUAGES[language]), *LIST_ENDS, *ENDS)
+
+
+MARK_RULES = _cascade(*LANGUAGES)
+#: The cascade of each script; elsewhere, as behind a digit, all languages count.
+SCRIPTS = ((re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿĀ-ſ]"), _cascade("en", "de", "fr", "es")), (re.compile(r"[Ѐ-ӿ]"), _cascade("ru")), (re.compile(r"[ऀ-ॿ]"), _cascade("hi")), (re.compile(rf"[{_CJK}{_THAI}؀-ۿ]"), _cascade()))
+
+
+@lru_cache(4096)
+def _rules_behind(letter: str) -> tuple[Rule, ...]:
+    return next((rules for script, rules in SCRIPTS if script.match(letter)), MARK_RULES)
+
+
 _TOKENS = rf"""(?P<code>`[^`\n]*`)
     |(?P<group>“[^”]*”|„[^“”]*[“”]|«[^«»]*»|「[^」]*」|『[^』]*』|"[^"]*"|(?<!\w)'[^'\s][^']*'(?!\w)|\((?:[^()]|\([^()]*\))*\)|（[^（）]*）)
     |(?P<mark>[{_MARK}]+[{_CLOSE_ONLY}]*)
@@ -181,8 +223,11 @@ def _unit(text: str, begin: int, at: int, end: int) -> str:
 def _decide(rules: tuple[Rule, ...], text: str, begin: int, end: int, stop: int, at: int) -> bool:
     """Outcome of the rules for a unit of ``text`` from ``begin`` to ``end``, whose last candidate starts at ``at``, in a block that ends at ``stop``."""
     unit = _unit(text, begin, at, end)
+    word = max(0, len(unit) - WORD_REACH)
     for rule in rules:
-        if rule.before.search(unit) and rule.after.match(text, end, stop) and (rule.small is None or rule.small == _small(text, begin)):
+        if rule.after and not rule.after(text, end, stop) or rule.before and not rule.before(unit, word if rule.word else 0):
+            continue
+        if rule.small is None or rule.small == _small(text, begin):
             return rule.breaks
     return False
 
@@ -237,8 +282,49 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _latin_bytes() -> dict[str, int]:
+    """Characters that bytes from 0x80 on become when they are read as Latin-1 or as its Windows form."""
+    windows = {bytes([b]).decode("cp1252", "ignore"): b for b in range(0x80, 0xA0)}
+    return {chr(b): b for b in range(0x80, 0x100)} | {c: b for c, b in windows.items() if c}
+
+
+_BYTES = _latin_bytes()
+_CONTINUED = "".join(re.escape(c) for c, b in _BYTES.items() if b < 0xC0)
+#: UTF-8 of one character beyond ASCII, read as Latin-1.
+_LEAD = re.compile(rf"[Â-ô][{_CONTINUED}]")
+_MISREAD = re.compile(rf"[Â-ß][{_CONTINUED}]|[à-ï][{_CONTINUED}]{{2}}|[ð-ô][{_CONTINUED}]{{3}}")
+
+
+def _repaired(text: str) -> tuple[str, list[int]]:
+    """The text with misread characters made whole, and the place in ``text`` of each of its places.
+
+    White space is left as it stands, as units must hold the characters that it was read as.
+    """
+    pieces, places, done = [], [], 0
+    for m in _MISREAD.finditer(text):
+        try:
+            whole = bytes(_BYTES[c] for c in m.group()).decode()
+        except UnicodeDecodeError:
+            continue
+        if whole.isspace():
+            continue
+        pieces += (text[done : m.start()], whole)
+        places += (*range(done, m.start()), m.start())
+        done = m.end()
+    return "".join((*pieces, text[done:])), [*places, *range(done, len(text) + 1)]
+
+
 def sentence_units(text: str) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, in code points; none for a blank text."""
+    if text.isascii() or not _LEAD.search(text):
+        return _cut(text)
+    whole, places = _repaired(text)
+    units = (_trimmed(text, places[a], places[b]) for a, b in _cut(whole))
+    return [(a, b) for a, b in units if a < b]
+
+
+def _cut(text: str) -> list[tuple[int, int]]:
+    """The units of a text without misread characters."""
     out = []
     last = len(text.rstrip())
     for begin, stop, whole in _blocks(text):
@@ -264,7 +350,7 @@ def sentence_units(text: str) -> list[tuple[int, int]]:
                     out.append((begin, end))
                     begin = _trimmed(text, end, stop)[0]
                     continue
-                if _decide(GROUP_RULES if kind == "group" else MARK_RULES, text, begin, end, stop, m.start()):
+                if _decide(GROUP_RULES if kind == "group" else _rules_behind(text[m.start() - 1]), text, begin, end, stop, m.start()):
                     out.append((begin, end))
                     begin = _trimmed(text, end, stop)[0]
         if begin < stop:
