@@ -130,4 +130,7 @@ def p3_top(spark, folder: str) -> DataFrame:
 
 def _telemetry(spark, folder: str, **how) -> DataFrame:
     events = telemetry_events(read_table(spark, folder, "telemetry")).persist(StorageLevel.MEMORY_AND_DISK)  # read by every round; lost parts are made again
-    return frequent_values(stacked(events, "file_path", "event_type"), **how)
+    try:
+        return cut_lineage(frequent_values(stacked(events, "file_path", "event_type"), **how))  # few rows, after which nothing reads the events
+    finally:
+        events.unpersist()
