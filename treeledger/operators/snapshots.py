@@ -32,12 +32,14 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
         .agg(F.max("best").getField("hash").alias("hash"))
         .withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
     )
-    # One row for each source and delivery: small beside the rows, and never broadcast unchecked.
+    # One row for each source and delivery: small beside the rows, and never broadcast unchecked. It is counted over
+    # the hashes, so that the exchange of ``kept`` is read again and not made twice.
     in_order = Window.partitionBy("source").orderBy("snapshot_no")
     deliveries = (
-        rows.where(F.col("source").isNotNull() & F.col("snapshot_no").isNotNull() & F.col("key").isNotNull())
-        .select("source", "snapshot_no")
-        .distinct()
+        kept.groupBy("source", "snapshot_no")
+        .agg(F.count("hash").alias("n_hashed"))
+        .where("n_hashed >= 0")
+        .drop("n_hashed")
         .withColumn("number", F.row_number().over(in_order))
         .withColumn("next_no", F.lead("snapshot_no").over(in_order))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
