@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import basename, dirname, validated
-from treeledger.functions.text import file_type_relevance, recency, tokens_saved
+from treeledger.functions.text import tokens_saved
 from treeledger.operators import catalogue as cat
 from treeledger.operators import changes, extract, graph, lifecycle, maintenance, memory, outline, projects, ranking, report, search
 from treeledger.session import cut_lineage
@@ -38,8 +38,6 @@ SCHEMAS = {
     "meta": "key string, value string",
 }
 GENERATION_KEY = "summarizer_generation"
-#: A file is not read again when it was changed this long before it was last checked.
-SETTLED_MS = 2000
 
 
 @dataclass(frozen=True)
@@ -124,7 +122,7 @@ class Ledger:
         """
         writable = self._reconcile()
         listed, stored = cut_lineage(self.listing()), self.table("files")
-        settled = F.coalesce(F.col("summary").isNotNull() & (F.col("mtime") < F.col("last_checked") - SETTLED_MS), F.lit(False))
+        settled = F.col("summary").isNotNull() & cat.settled(F.col("mtime"), F.col("last_checked"))
         known = listed.join(stored.select("path", "last_checked", "summary"), "path", "left")
         skipped = known.where(settled).count() if not rebuild else 0
         read = cut_lineage(tree.read_files(self.spark, self.root, known if rebuild else known.where(~settled)))
@@ -187,20 +185,8 @@ class Ledger:
     def get_related_files(self, path: str, limit: int = 10, task_id: str | None = None) -> DataFrame:
         """Related files with their score, best first. A task's files are further anchors and give the task signal."""
         path = validated(self.root, path)
-        files, edges = self.table("files"), self.edges()
-        related = graph.related_files(edges, files, path)
         touched = memory.newest_task_files(self.table("task_files")).where(F.lit(False) if task_id is None else F.col("task_id") == task_id)
-        anchors = self._paths([path]).unionByName(touched.select(F.col("file_path").alias("path"))).select(F.col("path").alias("node"))
-        near = graph.proximity(edges, anchors).select(F.col("node").alias("path"), "proximity")
-        central = graph.node_centrality(edges, related.select(F.col("path").alias("node"))).select(F.col("node").alias("path"), "centrality")
-        context = ranking.task_context(related, touched)
-        joined = related.join(central, "path", "left").join(near, "path", "left").join(context, "path", "left").join(files.select("path", "last_checked"), "path", "left")
-        signals = F.struct(
-            ranking.relationship_score(F.col("relationship")).alias("relationship"), F.coalesce("proximity", F.lit(0.0)).alias("dependencyProximity"),
-            recency(F.lit(_now()) - F.col("last_checked"), ranking.HALF_LIFE_MS).alias("recency"), file_type_relevance(F.col("path")).alias("fileTypeRelevance"),
-            F.col("task_context").alias("taskContextRelevance"), F.coalesce("centrality", F.lit(0.0)).alias("centrality"),
-        )
-        scored = joined.select("path", "relationship", ranking.composite(signals).alias("score"), signals.alias("signals")).orderBy(F.col("score").desc(), "path")
+        scored = ranking.rank_related(self.edges(), self.table("files"), path, touched, F.lit(_now())).orderBy(F.col("score").desc(), "path")
         return scored.limit(limit) if limit > 0 else scored
 
     def get_dependency_graph(self, path: str | None = None, direction: str = "both", depth: int | None = None, symbol: str | None = None, limit: int = 50) -> dict[str, DataFrame]:

@@ -57,6 +57,13 @@ def resolve_sql(path: str) -> str:
     )
 
 
+def inside_root(path: Column) -> Column:
+    """Whether a relative path stays below its root and holds no null character; null for null."""
+    segments = F.filter(F.split(posix(path), "/", -1), lambda s: ~s.isin("", "."))
+    step = lambda depth, s: F.when(depth < 0, depth).otherwise(F.when(s == "..", depth - 1).otherwise(depth + 1))
+    return (F.aggregate(segments, F.lit(0), step) >= 0) & ~path.contains("\0") & ~path.startswith("/")
+
+
 def project_of(path: Column) -> Column:
     """First segment of a resolved path."""
     return F.substring_index(path, "/", 1)

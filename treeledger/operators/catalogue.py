@@ -63,6 +63,11 @@ def indexable(path: Column) -> Column:
     return F.lower(last_dot(path)).isin(*INDEXABLE_EXTENSIONS)
 
 
+def settled(mtime: Column, last_checked: Column, window_ms: int = 2000) -> Column:
+    """Whether a file need not be read again: it was changed more than ``window_ms`` before it was last checked. False where a time is unknown."""
+    return F.coalesce(mtime < last_checked - F.lit(window_ms), F.lit(False))
+
+
 def placeholder(path: Column, hash: Column) -> Column:
     """Whether the file is a ``.gitkeep`` of zero bytes, by the hash of its raw bytes."""
     return (basename(path) == ".gitkeep") & hash.eqNullSafe(F.sha2(F.lit("").cast("binary"), 256))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,11 @@ def parse_since(text: str | None) -> int | None:
     return None if at is None else int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000)
 
 
+def since_ms(text: Column) -> Column:
+    """As ``parse_since`` for a column of times."""
+    return F.when(text != "last_check", F.unix_millis(F.try_to_timestamp(text)))
+
+
 def compare(scan: DataFrame, catalogue: DataFrame, since_ms: int | None = None) -> DataFrame:
     """(path, status) with status added, changed, deleted or unchanged.
 

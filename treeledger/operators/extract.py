@@ -209,7 +209,7 @@ SCRIPT_PASSES = (
 PYTHON_PASSES = (
     (r"(?m)^[ \t]*import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)", 0, 1, "static"),
     # In brackets the names up to the closing one, else those of the line.
-    (r"(?m)^[ \t]*from[ \t]+(\.{0,3}[\w.]*)[ \t]+import\b[ \t]*\(?((?<=\()[^)]*(?=\))|[^(;\n]+)", 2, 1, "static"),
+    (r"(?m)^[ \t]*from[ \t]+(\.{0,3}[\w.]*)[ \t]+import\b[ \t]*\(?((?<=\()[^)]*(?=\))|[^(;\n]+)\)?", 2, 1, "static"),
 )
 
 _ALIASED = r"""(?:([\w.]+)[ \t]+)?"([^"]+)\""""

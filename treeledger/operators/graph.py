@@ -119,14 +119,15 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
 def proximity(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(node, proximity) of nodes near the anchors (column node), the best over all anchors.
 
-    1 for one hop in any direction, 0.5 for two, 0.25 for at most three along the edges.
+    1 for one hop in any direction, 0.5 for two, 0.25 for at most three along the edges or against them.
     Nodes further off have no row; an anchor has one when another hop leads to it.
     """
     both = Walk(undirected(edges))
     anchors = cut_lineage(anchors.select("node").where(F.col("node").isNotNull()).distinct())
     one = cut_lineage(both.step(anchors))
     two = both.step(one).join(anchors, "node", "left_anti")
-    three = reach(edges, anchors, 3).select("node")
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    three = reach(edges, anchors, 3).select("node").unionByName(reach(back, anchors, 3).select("node"))
     scored = one.select("node", F.lit(1.0).alias("p")).unionByName(two.select("node", F.lit(0.5).alias("p"))).unionByName(three.select("node", F.lit(0.25).alias("p")))
     return scored.groupBy("node").agg(F.max("p").alias("proximity"))
 

@@ -79,9 +79,10 @@ def retain_since(events: DataFrame, now_ms: Column, days: int) -> DataFrame:
 
 
 def sample_events(events: DataFrame, rate: float) -> DataFrame:
-    """A repeatable sample by the hash of the id; the rate is clamped to 0..1."""
+    """A repeatable sample by a hash of the id; the rate is clamped to 0..1. Events without an id are kept only at 1."""
     rate = min(1.0, max(0.0, rate))
-    return events.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000)))
+    place = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    return events if rate == 1 else events.where(place < F.lit(int(rate * (1 << 32))))
 
 
 def to_jsonl(events: DataFrame) -> DataFrame:

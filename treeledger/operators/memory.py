@@ -41,6 +41,14 @@ def frontier(files: DataFrame, task_files: DataFrame, task_id: str | None = None
     return files.select("path").join(touched.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
 
 
+def activated(tasks: DataFrame, task_files: DataFrame) -> DataFrame:
+    """Newest tasks after their files were marked: a created task with a file is active since its first one, others stay."""
+    first = newest_task_files(task_files).groupBy(F.col("task_id").alias("id")).agg(F.min("explored_at").alias("marked_at"), F.lit(True).alias("marked"))
+    begins = F.coalesce((F.col("state") == "created") & F.col("marked"), F.lit(False))
+    joined = newest_tasks(tasks).join(first, "id", "left")
+    return joined.select("id", "name", F.when(begins, "active").otherwise(F.col("state")).alias("state"), "created_at", F.when(begins, F.greatest("updated_at", "marked_at")).otherwise(F.col("updated_at")).alias("updated_at"), "session_id")
+
+
 def delete_tasks(tasks: DataFrame, task_files: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tasks and task files without the ids of ``gone``."""
     return tasks.join(gone.select("id"), "id", "left_anti"), task_files.join(gone.select(F.col("id").alias("task_id")), "task_id", "left_anti")

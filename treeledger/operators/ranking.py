@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import dirname, resolve_path
+from treeledger.functions.text import file_type_relevance, recency
+from treeledger.operators import graph
 
 # Default weights and relationship scores.
 WEIGHTS = {"relationship": 0.30, "dependencyProximity": 0.25, "recency": 0.15, "fileTypeRelevance": 0.10, "taskContextRelevance": 0.15, "centrality": 0.05}
@@ -40,6 +42,25 @@ def ranked(rows: DataFrame) -> DataFrame:
     return newest.select("query_file", "path", "row.score", F.round(composite(F.col("row.signals")), 9).alias("composite"))
 
 
+def rank_related(edges: DataFrame, files: DataFrame, path: str, touched: DataFrame, now_ms: Column, half_life_ms: int = HALF_LIFE_MS, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """(path, relationship, score, signals) of the files related to one, from all six signals.
+
+    ``touched`` (file_path, status) are the files of a task: further anchors of proximity and
+    the task context. Centrality is told against the candidates.
+    """
+    related = graph.related_files(edges, files, path)
+    start = edges.sparkSession.createDataFrame([(path,)], "node string")
+    near = graph.proximity(edges, start.unionByName(touched.select(F.col("file_path").alias("node")))).select(F.col("node").alias("path"), "proximity")
+    central = graph.node_centrality(edges, related.select(F.col("path").alias("node"))).select(F.col("node").alias("path"), "centrality")
+    joined = related.join(central, "path", "left").join(near, "path", "left").join(task_context(related, touched), "path", "left").join(files.select("path", "last_checked"), "path", "left")
+    signals = F.struct(
+        relationship_score(F.col("relationship")).alias("relationship"), F.coalesce("proximity", F.lit(0.0)).alias("dependencyProximity"),
+        recency(now_ms - F.col("last_checked"), half_life_ms).alias("recency"), file_type_relevance(F.col("path")).alias("fileTypeRelevance"),
+        F.col("task_context").alias("taskContextRelevance"), F.coalesce("centrality", F.lit(0.0)).alias("centrality"),
+    )
+    return joined.select("path", "relationship", composite(signals, weights).alias("score"), signals.alias("signals"))
+
+
 def task_context(candidates: DataFrame, task_files: DataFrame) -> DataFrame:
     """(path, task_context) against all files that tasks touched.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeledger.functions.paths import last_dot, normal_hash, project_of, resolve_path
+from treeledger.functions.paths import inside_root, last_dot, normal_hash, project_of, resolve_path
 from treeledger.functions.text import file_type_relevance, recency, token_estimate
 from treeledger.operators import catalogue as cat
 from treeledger.operators import changes, extract, graph, lifecycle, maintenance, memory, outline, projects, ranking, report, search
@@ -147,8 +147,6 @@ def event_log(s, d):
 
 def latest_events(s, d):
     """The hundred latest events with their place."""
-    from pyspark.sql import Window
-
     latest = report.event_log(_events(s, d).where(F.col("id").isNotNull() & F.col("timestamp").isNotNull()), limit=100)
     return latest.withColumn("place", F.row_number().over(Window.orderBy(F.col("timestamp").desc(), "id"))).select("place", "id", "timestamp", "event_type")
 
@@ -366,6 +364,159 @@ def summary_savings(s, d):
     return summed.groupBy(project_of(F.col("path")).alias("project")).agg(F.count("*").alias("n_files"), F.sum(tokens_saved(F.col("contents"), F.col("summary"))).alias("tokens_saved"))
 
 
+def _placed(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` with their place; only for results that a limit has made small."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def ordered_paths(s, d):
+    """The first hundred paths of a scan in byte order."""
+    return _placed(_files(s, d).select("path").orderBy("path").limit(100), "path")
+
+
+def known_paths(s, d):
+    """Paths of the catalogue and of the texts, together."""
+    texts = read_table(s, d, "source_files").select(resolve_path(F.col("path")).alias("path")).where("path <> ''")
+    return _files(s, d).select("path").unionByName(texts).distinct()
+
+
+def safe_paths(s, d):
+    """Spellings of paths that stay below the root."""
+    raw = read_table(s, d, "files").select("path").where("path is not null").distinct()
+    return raw.select("path", inside_root(F.col("path")).alias("inside"))
+
+
+def shown_files(s, d):
+    files = _files(s, d)
+    return files.where(~cat.placeholder(F.col("path"), F.col("hash"))).select("path")
+
+
+def settled_sources(s, d):
+    """Texts that need not be read again."""
+    newest = read_table(s, d, "source_files").select(resolve_path(F.col("path")).alias("path"), "mtime").where("path <> ''").groupBy("path").agg(F.max("mtime").alias("mtime"))
+    both = newest.join(_files(s, d).select("path", "last_checked"), "path", "left")
+    return both.select("path", cat.settled(F.col("mtime"), F.col("last_checked")).alias("settled"))
+
+
+def index_counters(s, d):
+    """Files by what an index run would do with them."""
+    return file_freshness(s, d).groupBy("status").agg(F.count("*").alias("n_files"))
+
+
+def batch_counters(s, d):
+    """Hits, misses and errors of asking for the summary of every imported file."""
+    asked = _edges(s, d).select(F.col("dst").alias("path")).distinct()
+    there = _files(s, d).select("path", F.col("summary").isNotNull().alias("hit"))
+    found = asked.join(there, "path", "left")
+    return found.agg(F.count_if("hit").alias("n_hits"), F.count_if(~F.col("hit")).alias("n_misses"), F.count_if(F.col("hit").isNull()).alias("n_errors"))
+
+
+def cleared_summaries(s, d):
+    return maintenance.clear_summaries(_files(s, d)).select("path", "hash", "last_checked", F.col("summary").isNull().alias("cleared"))
+
+
+def removed_node(s, d):
+    """Edges without the most connected file."""
+    edges = _edges(s, d)
+    left = maintenance.remove_node(edges.select(F.col("src").alias("source"), F.col("dst").alias("target")), _hub(s, d, edges))
+    return left.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+
+
+def sampled_events(s, d):
+    """A tenth of the events, by a hash of the id."""
+    return maintenance.sample_events(_events(s, d).where("id is not null"), 0.1).select("id", "timestamp", "event_type")
+
+
+def session_totals(s, d):
+    """Totals of the events since the latest session began."""
+    latest = memory.sessions(read_table(s, d, "tasks")).orderBy(F.col("started_at").desc(), "session_id").limit(1)
+    start = latest.agg(F.max("started_at")).first()[0]
+    return report.totals(report.since(_events(s, d), start))
+
+
+def formatted_counts(s, d):
+    """Counts by type as a report prints them."""
+    counts = report.events_by_type(_events(s, d))
+    total = counts.agg(F.sum("n_events")).first()[0] or 1
+    return counts.select("event_type", F.format_number("n_events", 0).alias("shown"), F.concat(F.format_number(F.round(F.col("n_events") * 100 / F.lit(total), 1), 1), F.lit("%")).alias("share"))
+
+
+def hub_neighbourhood(s, d):
+    """Files at most two imports from the most connected one, either way."""
+    edges = _edges(s, d)
+    return graph.neighbourhood(edges, _hub(s, d, edges), "both", 2)
+
+
+def candidate_centrality(s, d):
+    """Centrality of the entry points among themselves."""
+    c = graph.node_centrality(_edges(s, d), _starts(s, d))
+    return c.select("node", "degree", F.round("centrality", 9).alias("centrality"))
+
+
+def related_ranked(s, d):
+    """Files related to the most connected one, with their score (half-life of a week)."""
+    edges, files = _edges(s, d), read_table(s, d, "files")
+    none = memory.newest_task_files(read_table(s, d, "task_files")).where(F.lit(False))
+    scored = ranking.rank_related(edges, cat.newest_files(files), _hub(s, d, edges), none, F.lit(_newest(files)), 7 * DAY_MS)
+    return scored.select("path", ranking.relationship_score(F.col("relationship")).alias("relationship"), F.round("score", 9).alias("score"))
+
+
+def served_lines(s, d):
+    """Matches of a search and ten times their mean line count."""
+    files = _files(s, d)
+    hits = search.search(files, "test fold graph entry").join(files.select("path", "summary.lineCount"), "path")
+    return hits.agg(F.count("*").alias("n_results"), F.round(F.avg("lineCount") * 10).cast("bigint").alias("tokens"))
+
+
+def latest_sessions(s, d):
+    return _placed(memory.sessions(read_table(s, d, "tasks")).orderBy(F.col("started_at").desc(), "session_id").limit(10), F.col("started_at").desc(), "session_id")
+
+
+def latest_tasks(s, d):
+    """The ten active tasks that were updated last."""
+    order = F.col("updated_at").desc(), F.col("id")
+    active = memory.newest_tasks(read_table(s, d, "tasks")).where("state = 'active'").orderBy(*order).limit(10)
+    return _placed(active, *order).select("place", "id", "name", "updated_at")
+
+
+def activated_tasks(s, d):
+    return memory.activated(read_table(s, d, "tasks"), read_table(s, d, "task_files"))
+
+
+def task_files_left(s, d):
+    """Files of the tasks that a collection leaves."""
+    tasks = memory.newest_tasks(read_table(s, d, "tasks"))
+    done = tasks.where(F.col("state").isin("completed", "archived"))
+    return memory.delete_tasks(tasks, memory.newest_task_files(read_table(s, d, "task_files")), done)[1].select("task_id", "file_path", "status", "explored_at")
+
+
+def explored_files(s, d):
+    """Files of the largest task in the order in which they were explored."""
+    rows = memory.newest_task_files(read_table(s, d, "task_files"))
+    largest = rows.groupBy("task_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "task_id").limit(1)
+    return rows.join(largest, "task_id", "left_semi").select("file_path", "status", "notes", "explored_at").orderBy("explored_at", "file_path")
+
+
+def generation_actions(s, d):
+    """What each of the tags made from the tasks' times would do to summaries of two modes."""
+    tag = F.concat(F.element_at(F.array(*map(F.lit, ("ast:", "regex:", "Ast:", ""))), (F.col("created_at") % 4 + 1).cast("int")), (F.col("updated_at") % 5).cast("string"))
+    tags = memory.newest_tasks(read_table(s, d, "tasks")).select("id", tag.alias("tag"))
+    return tags.select("id", "tag", lifecycle.generation_action(F.col("tag"), "regex").alias("regex_action"), lifecycle.generation_action(F.col("tag"), "ast").alias("ast_action"))
+
+
+def iso_times(s, d):
+    """Times of documents written as ISO text and read again."""
+    at = F.col("updated_at").cast("timestamp")
+    text = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return read_table(s, d, "documents").select("doc_id", text.alias("iso"), changes.since_ms(text).alias("ms"))
+
+
+def first_sentences(s, d):
+    """First sentence of the first line of every document."""
+    line = F.substring_index(F.regexp_replace("text", r"\r", ""), "\n", 1)
+    return read_table(s, d, "documents").where("text is not null").select("doc_id", outline.first_sentence(line).alias("sentence"))
+
+
 CATALOGUE = {
     f.__name__: f
     for f in (
@@ -375,5 +526,7 @@ CATALOGUE = {
         language_breakdown, folder_counts, folder_counts_shallow, import_edges, node_degrees, most_connected, graph_summary, graph_adjacency, node_centrality, symbol_edges, symbol_usage,
         reach_two, reach_all, dependents_all, proximity, related_files, rank_composite, rank_signals, search_purpose, search_scores,
         frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, source_outlines, import_refs, diff_classes, smart_summaries, summary_savings, stream_type_counts,
+        ordered_paths, known_paths, safe_paths, shown_files, settled_sources, index_counters, batch_counters, cleared_summaries, removed_node, sampled_events, session_totals, formatted_counts,
+        hub_neighbourhood, candidate_centrality, related_ranked, served_lines, latest_sessions, latest_tasks, activated_tasks, task_files_left, explored_files, generation_actions, iso_times, first_sentences,
     )
 }

@@ -45,7 +45,12 @@ STARTS = "starts AS (SELECT path AS node FROM f WHERE starts_with(summary.purpos
 QUERY_JSON = "CASE WHEN json_valid(metadata_json) AND json_type(metadata_json, '$.{0}') = 'VARCHAR' THEN json_extract_string(metadata_json, '$.{0}') END"
 
 
-def _walk(start: str, edges: str, depth: int | None) -> str:
+BACK = "back AS (SELECT dst AS src, src AS dst FROM e)"
+
+
+def _walk(start: str, edges: str, depth: int | None, name: str = "walk") -> str:
+    if depth is not None and name != "walk":
+        return _walk(start, edges, depth).replace("walk", name)
     if depth is None:
         return f"walk AS (SELECT DISTINCT dst AS node FROM {edges} JOIN {start} s ON src = s.node UNION SELECT dst FROM walk JOIN {edges} ON src = node)"
     return f"walk AS (SELECT DISTINCT dst AS node, 1 AS depth FROM {edges} JOIN {start} s ON src = s.node UNION SELECT dst, depth + 1 FROM walk JOIN {edges} ON src = node WHERE depth < {depth})"
@@ -132,8 +137,9 @@ WHERE source IS NOT NULL AND target NOT LIKE '%:%' AND (target LIKE '%/%' OR con
     "reach_all": f"WITH RECURSIVE {F}, {E}, {STARTS}, {_walk('starts', 'e', None)} SELECT node FROM walk WHERE node NOT IN (SELECT node FROM starts)",
     "dependents_all": f"WITH RECURSIVE {F}, {E}, b AS (SELECT dst AS src, src AS dst FROM e), starts AS (SELECT path AS node FROM f WHERE contains(path, '/config/')), {_walk('starts', 'b', None)} SELECT node FROM walk WHERE node NOT IN (SELECT node FROM starts)",
     "proximity": f"""WITH RECURSIVE {E}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), starts AS (SELECT DISTINCT {resolve_sql('file_path')} AS node FROM task_files WHERE status = 'flagged' AND file_path IS NOT NULL),
-h1 AS (SELECT DISTINCT dst AS node FROM u JOIN starts ON src = node), h2 AS (SELECT DISTINCT dst AS node FROM u JOIN h1 ON src = node), {_walk('starts', 'e', 3)},
-s AS (SELECT node, CAST(1 AS DOUBLE) AS p FROM h1 UNION ALL SELECT node, 0.5 FROM h2 WHERE node NOT IN (SELECT node FROM starts) UNION ALL SELECT node, 0.25 FROM walk WHERE node NOT IN (SELECT node FROM starts))
+h1 AS (SELECT DISTINCT dst AS node FROM u JOIN starts ON src = node), h2 AS (SELECT DISTINCT dst AS node FROM u JOIN h1 ON src = node), {BACK}, {_walk('starts', 'e', 3)}, {_walk('starts', 'back', 3, 'rewalk')},
+s AS (SELECT node, CAST(1 AS DOUBLE) AS p FROM h1 UNION ALL SELECT node, 0.5 FROM h2 WHERE node NOT IN (SELECT node FROM starts)
+  UNION ALL SELECT node, 0.25 FROM walk WHERE node NOT IN (SELECT node FROM starts) UNION ALL SELECT node, 0.25 FROM rewalk WHERE node NOT IN (SELECT node FROM starts))
 SELECT node, CAST(max(p) AS DOUBLE) AS proximity FROM s GROUP BY node""",
     "related_files": f"""WITH {E}, {F}, {DEG}, hub AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 1),
 o1 AS (SELECT DISTINCT dst AS node FROM e JOIN hub ON src = node), i1 AS (SELECT DISTINCT src AS node FROM e JOIN hub ON dst = node),
@@ -175,5 +181,50 @@ SELECT w.path, w.mtime, CASE WHEN partial THEN 'diff-partial' ELSE 'full' END AS
   CAST(len(exports) AS INTEGER) AS n_exports, CAST(len(imports) AS INTEGER) AS n_imports, CAST(len(declarations) AS INTEGER) AS n_declarations FROM w JOIN sums USING (key)""",
     "import_refs": import_refs_sql(SRC, F),
     "stream_type_counts": "SELECT lower(regexp_replace(event_type, '^\\s+|\\s+$', '', 'g')) AS event_type, count(*) AS n_events FROM telemetry GROUP BY 1",
+    "ordered_paths": f"WITH {F} SELECT path, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS place FROM f ORDER BY path LIMIT 100",
+    "known_paths": f"WITH {F} SELECT path FROM f UNION SELECT {resolve_sql('path')} FROM source_files WHERE {resolve_sql('path')} <> ''",
+    "safe_paths": """WITH p AS (SELECT DISTINCT path, list_filter(string_split(replace(path, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')) AS seg FROM files WHERE path IS NOT NULL)
+SELECT path, NOT starts_with(path, '/') AND coalesce(list_min(list_transform(range(1, len(seg) + 1), lambda n: list_sum(list_transform(seg[1:n], lambda s: CASE WHEN s = '..' THEN -1 ELSE 1 END)))), 0) >= 0 AS inside FROM p""",
+    "shown_files": f"WITH {F} SELECT path FROM f WHERE NOT (string_split(path, '/')[-1] = '.gitkeep' AND coalesce(hash = sha256(''), false))",
+    "settled_sources": f"""WITH {F}, m AS (SELECT {resolve_sql('path')} AS path, max(mtime) AS mtime FROM source_files WHERE {resolve_sql('path')} <> '' GROUP BY 1)
+SELECT m.path, coalesce(mtime < last_checked - 2000, false) AS settled FROM m LEFT JOIN f ON f.path = m.path""",
+    "index_counters": f"""WITH {F}, {LAST} SELECT CASE WHEN lastd.path IS NULL THEN 'deleted' WHEN f.path IS NULL THEN 'new' WHEN f.hash = lastd.hash AND summary IS NOT NULL THEN 'hit' WHEN f.hash = lastd.hash THEN 'pending' ELSE 'stale' END AS status, count(*) AS n_files
+  FROM f FULL JOIN lastd ON f.path = lastd.path GROUP BY 1""",
+    "batch_counters": f"""WITH {E}, {F}, a AS (SELECT DISTINCT dst AS path FROM e) SELECT count(*) FILTER (f.path IS NOT NULL AND summary IS NOT NULL) AS n_hits, count(*) FILTER (f.path IS NOT NULL AND summary IS NULL) AS n_misses,
+  count(*) FILTER (f.path IS NULL) AS n_errors FROM a LEFT JOIN f ON f.path = a.path""",
+    "cleared_summaries": f"WITH {F} SELECT path, hash, last_checked, true AS cleared FROM f",
+    "removed_node": f"WITH {E}, {DEG}, hub AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 1) SELECT src, dst FROM e WHERE src <> (SELECT node FROM hub) AND dst <> (SELECT node FROM hub)",
+    "sampled_events": f"WITH {EV} SELECT id, timestamp, event_type FROM ev WHERE id IS NOT NULL AND CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) < {int(0.1 * (1 << 32))}",
+    "session_totals": f"WITH {TK}, {EV}, st AS (SELECT min(created_at) AS began FROM tk WHERE session_id IS NOT NULL GROUP BY session_id ORDER BY 1 DESC LIMIT 1) {TOTALS} WHERE timestamp >= (SELECT began FROM st)",
+    "formatted_counts": f"WITH {EV}, c AS (SELECT event_type, count(*) AS n FROM ev GROUP BY 1) SELECT event_type, format('{{:,}}', n) AS shown, format('{{:.1f}}', round(n * 100 / sum(n) OVER (), 1)) || '%' AS share FROM c",
+    "hub_neighbourhood": f"""WITH RECURSIVE {E}, {DEG}, {BACK}, starts AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 1), {_walk('starts', 'e', 2)}, {_walk('starts', 'back', 2, 'rewalk')}
+SELECT DISTINCT 'dependencies' AS direction, node FROM walk WHERE node NOT IN (SELECT node FROM starts) UNION ALL SELECT DISTINCT 'dependents', node FROM rewalk WHERE node NOT IN (SELECT node FROM starts)""",
+    "candidate_centrality": f"WITH {E}, {F}, {DEG}, {STARTS} SELECT node, degree, round(ln(1 + degree) / ln(1 + max(degree) OVER ()), 9) AS centrality FROM deg WHERE node IN (SELECT node FROM starts)",
+    "related_ranked": f"""WITH RECURSIVE {E}, {F}, {NOW}, {DEG}, {BACK}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), starts AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 1),
+o1 AS (SELECT DISTINCT dst AS node FROM e JOIN starts ON src = node), i1 AS (SELECT DISTINCT src AS node FROM e JOIN starts ON dst = node),
+r AS (SELECT node, CAST(1 AS DOUBLE) AS k FROM o1 UNION ALL SELECT node, 1.0 FROM i1 UNION ALL SELECT dst, 0.5 FROM e JOIN o1 ON src = node UNION ALL SELECT src, 0.5 FROM e JOIN i1 ON dst = node
+  UNION ALL SELECT path, 0.25 FROM f, starts WHERE {DIR.format('path')} = {DIR.format('starts.node')}),
+c AS (SELECT node, CAST(max(k) AS DOUBLE) AS relationship FROM r WHERE node <> (SELECT node FROM starts) GROUP BY 1),
+h1 AS (SELECT DISTINCT dst AS node FROM u JOIN starts ON src = node), h2 AS (SELECT DISTINCT dst AS node FROM u JOIN h1 ON src = node), {_walk('starts', 'e', 3)}, {_walk('starts', 'back', 3, 'rewalk')},
+near AS (SELECT node, max(p) AS p FROM (SELECT node, CAST(1 AS DOUBLE) AS p FROM h1 UNION ALL SELECT node, 0.5 FROM h2 UNION ALL SELECT node, 0.25 FROM walk UNION ALL SELECT node, 0.25 FROM rewalk) GROUP BY 1)
+SELECT c.node AS path, c.relationship, round({WEIGHTS['relationship']} * c.relationship + {WEIGHTS['dependencyProximity']} * coalesce(near.p, 0)
+  + {WEIGHTS['recency']} * CASE WHEN last_checked IS NULL THEN 0.5 WHEN t - last_checked <= 0 THEN 1.0 ELSE pow(2.0, -(floor((t - last_checked) / 60000) * 60000) / {7 * DAY}.0) END
+  + {WEIGHTS['fileTypeRelevance']} * {file_type_relevance_sql('c.node')} + {WEIGHTS['taskContextRelevance']} * 0.1 + {WEIGHTS['centrality']} * coalesce(CAST(ln(1 + degree) AS DOUBLE) / ln(1 + max(degree) OVER ()), 0), 9) AS score
+FROM c CROSS JOIN now LEFT JOIN near ON near.node = c.node LEFT JOIN f ON f.path = c.node LEFT JOIN deg ON deg.node = c.node""",
+    "served_lines": f"WITH hits AS ({_search('test fold graph entry')} ORDER BY score DESC, path LIMIT 20), {F} SELECT count(*) AS n_results, CAST(round(avg(summary.lineCount) * 10) AS BIGINT) AS tokens FROM hits JOIN f ON f.path = hits.path",
+    "latest_sessions": f"WITH {TK}, s AS (SELECT session_id, count(*) AS n_tasks, min(created_at) AS started_at, max(updated_at) AS ended_at FROM tk WHERE session_id IS NOT NULL GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY started_at DESC, session_id) AS INTEGER) AS place FROM s ORDER BY place LIMIT 10",
+    "latest_tasks": f"WITH {TK} SELECT CAST(row_number() OVER (ORDER BY updated_at DESC, id) AS INTEGER) AS place, id, name, updated_at FROM tk WHERE state = 'active' ORDER BY place LIMIT 10",
+    "activated_tasks": f"""WITH {TK}, {TF}, m AS (SELECT task_id, min(explored_at) AS marked FROM tf GROUP BY 1)
+SELECT id, name, CASE WHEN state = 'created' AND task_id IS NOT NULL THEN 'active' ELSE state END AS state, created_at, CASE WHEN state = 'created' AND task_id IS NOT NULL THEN greatest(updated_at, marked) ELSE updated_at END AS updated_at, session_id FROM tk LEFT JOIN m ON task_id = id""",
+    "task_files_left": f"WITH {TK}, {TF} SELECT task_id, file_path, status, explored_at FROM tf WHERE task_id NOT IN (SELECT id FROM tk WHERE state IN ('completed', 'archived'))",
+    "explored_files": f"""WITH {TF}, l AS (SELECT task_id FROM tf GROUP BY 1 ORDER BY count(*) DESC, task_id LIMIT 1)
+SELECT file_path, status, notes, explored_at FROM tf JOIN l USING (task_id)""",
+    "generation_actions": f"""WITH {TK}, g AS (SELECT id, ['ast:', 'regex:', 'Ast:', ''][CAST(created_at % 4 + 1 AS INTEGER)] || CAST(updated_at % 5 AS VARCHAR) AS tag FROM tk),
+n AS (SELECT *, TRY_CAST(nullif(regexp_extract(tag, '^[a-z]+:([0-9]+)$', 1), '') AS INTEGER) AS v FROM g)
+SELECT id, tag, CASE WHEN v > 3 THEN 'block' WHEN tag = 'regex:3' THEN 'keep' WHEN tag IS NULL OR tag IN ('regex:1', 'regex:2') THEN 'retag' ELSE 'clear' END AS regex_action,
+  CASE WHEN v > 3 THEN 'block' WHEN tag = 'ast:3' THEN 'keep' ELSE 'clear' END AS ast_action FROM n""",
+    "iso_times": "SELECT doc_id, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, epoch_ms(updated_at) AS ms FROM documents",
+    "first_sentences": """WITH l AS (SELECT doc_id, trim(regexp_replace(string_split(replace(text, chr(13), ''), chr(10))[1], '\\s+', ' ', 'g'), ' ') AS line FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN regexp_matches(line, '\\.\\s') THEN regexp_extract(line, '^(.*?\\.)\\s', 1) ELSE line END AS sentence FROM l""",
     "invalidated": f"WITH {F} SELECT CAST(0 AS BIGINT) AS timestamp, 'invalidation' AS event_type, path AS file_path FROM f WHERE contains(path, '/tests/')",
 }
