@@ -82,3 +82,12 @@ def test_summaries(spark):
     assert got["M.java"]["exports"] == ["M", "N", "main"] and got["M.java"]["imports"] == ["a.b.C"] and got["M.java"]["purpose"].startswith("entry point: class M")
     assert got["src/s.ts"]["exports"] == ["A", "C"] and got["src/s.ts"]["topLevelDeclarations"] == ["class A", "class Hidden", "class C"]
     assert all(s["confidence"] == "high" for p, s in got.items() if p in WANT and p != "e.ts")
+
+
+def test_bodies_on_one_line(spark):
+    files = [
+        ("a.ts", "export class A { m() { return {}; } }\nexport class B {\n  x() {\n  }\n  y() {\n  }\n}\nexport class C {}\n"), ("J.java", "class A {}\nclass B {\n    int f() { return 1; }\n}\n"),
+        ("m.go", "package m\ntype A struct{}\ntype B struct {\n\tx int\n}\nfunc (b B) F() {}\n"), ("l.rs", "pub struct A {}\nimpl A { }\nimpl A {\n    pub fn f() {}\n}\n"), ("K.kt", "class A { }\nclass B {\n    fun f() {}\n}\nclass C\n"),
+    ]
+    got = {r["path"]: (r["classes"], r["methods"]) for r in outlines(spark.createDataFrame(files, "path string, contents string")).collect()}
+    assert got == {"a.ts": (["A", "B", "C"], 2), "J.java": (["A", "B"], 1), "m.go": (["A", "B"], 1), "l.rs": (["A"], 1), "K.kt": (["A", "B", "C"], 1)}

@@ -23,7 +23,9 @@ MOST = 160
 _BLOCK_DOC = r"(?:/\*\*[ \t]*\r?\n?[ \t]*\*?[ \t]*([^\n*/]*)[^/]*/[ \t]*\r?\n)?"
 _SLASH_DOC = r"(?:^//[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?"
 _RUST_DOC = r"(?:^///[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?(?:^#\[[^\n]*\n)*+"
-_BODY = r"[^{;]*\{([\s\S]*?)^\}"
+#: Up to the brace that ends the line, or the one that starts a later one, or to the next declaration or the end where that one is missing.
+_BRACED = r"\{([^\n]*(?=\}[ \t\r]*$)|[\s\S]*?(?=^\}|^(?:\w+[ \t]+)*?(?:class|interface|object|enum|record|struct)[ \t]+\w|\z))\}?"
+_BODY = rf"(?:[^{{;]*{_BRACED})?"
 
 
 _DECLARED = "array<struct<doc:string,exported:boolean,kind:string,name:string,body:string>>"
@@ -53,7 +55,7 @@ RULES = {
         "export",
     ),
     "python": Rules(
-        r"(?m)()^()(class)\s+(\w+)[^\n]*\n((?:(?:[ \t]++[^\n]*+)?+\n)*+(?:[ \t]+[^\n]*)?)",
+        r"(?m)()^()(class)\s+(\w+)[^\n]*(?:\n|\z)((?:(?:[ \t]++[^\n]*+)?+\n)*+(?:[ \t]+[^\n]*)?)",
         r"(?m)()^()(?:async\s+)?(def)\s+(\w+)()",
         r"(?m)()^()(type)\s+(\w+)\s*=()",
         r"(?m)()^()()([A-Z][A-Z0-9_]*)\s*(?::[^=\n]*)?=()",
@@ -77,7 +79,7 @@ RULES = {
         "pub", False, r"(?m)\A\s*//![ \t]?([^\n]+)",
     ),
     "kotlin": Rules(
-        rf"(?m){_BLOCK_DOC}^((?:(?:public|private|internal|protected|open|abstract|sealed|inline|value|annotation|fun)\s+)*)((?:data |enum )?class|interface|object)\s+(\w+)(?:[^{{;\n]*\{{([\s\S]*?)^\}})?",
+        rf"(?m){_BLOCK_DOC}^((?:(?:public|private|internal|protected|open|abstract|sealed|inline|value|annotation|fun)\s+)*)((?:data |enum )?class|interface|object)\s+(\w+)(?:[^{{;\n]*{_BRACED})?",
         rf"(?m){_BLOCK_DOC}^((?:(?:public|private|internal|inline|suspend|operator|infix|tailrec)\s+)*)(fun)\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?(\w+)\s*\(()",
         r"(?m)()^((?:(?:public|private|internal)\s+)*)(typealias)\s+(\w+)()",
         r"(?m)()^((?:(?:public|private|internal|const)\s+)*)(val|var)\s+(\w+)()",
@@ -234,5 +236,5 @@ def _method_counts(name: str, rules: Rules) -> Column:
         return F.transform("shown", lambda c: F.regexp_count(text, F.concat(F.lit(r"(?m)^func\s+\([^)]*\b"), c["name"], F.lit(r"\b[^)]*\)"))))
     if name == "rust":
         text = F.col("contents")
-        return F.transform("shown", lambda c: F.regexp_count(F.array_join(F.regexp_extract_all(text, F.concat(F.lit(r"(?m)^impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?"), c["name"], F.lit(r"\b[^{]*\{([\s\S]*?)^\}")), F.lit(1)), "\n"), F.lit(rules.method)))
+        return F.transform("shown", lambda c: F.regexp_count(F.array_join(F.regexp_extract_all(text, F.concat(F.lit(r"(?m)^impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?"), c["name"], F.lit(r"\b[^{]*" + _BRACED)), F.lit(1)), "\n"), F.lit(rules.method)))
     return F.transform("shown", lambda c: F.regexp_count(c["body"], F.lit(rules.method)))

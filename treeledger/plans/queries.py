@@ -336,6 +336,11 @@ def source_outlines(s, d):
     return outline.outlines(_sources(s, d))
 
 
+def outline_names(s, d):
+    """Names that every source declares, without its purpose line."""
+    return outline.outlines(_sources(s, d)).select("path", "language", "classes", "functions", "types", "constants", "lines")
+
+
 def import_refs(s, d):
     files = _sources(s, d)
     refs = extract.resolve_refs(extract.import_refs(files), _files(s, d), project_of)
@@ -525,7 +530,7 @@ CATALOGUE = {
         report_by_type, report_totals, report_last_hours, report_top_files, report_file_use, report_missed, report_sessions, age_histogram, token_report,
         language_breakdown, folder_counts, folder_counts_shallow, import_edges, node_degrees, most_connected, graph_summary, graph_adjacency, node_centrality, symbol_edges, symbol_usage,
         reach_two, reach_all, dependents_all, proximity, related_files, rank_composite, rank_signals, search_purpose, search_scores,
-        frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, source_outlines, import_refs, diff_classes, smart_summaries, summary_savings, stream_type_counts,
+        frontier_files, task_summaries, sessions, session_unchecked, garbage_counts, invalidated, regex_summaries, source_outlines, outline_names, import_refs, diff_classes, smart_summaries, summary_savings, stream_type_counts,
         ordered_paths, known_paths, safe_paths, shown_files, settled_sources, index_counters, batch_counters, cleared_summaries, removed_node, sampled_events, session_totals, formatted_counts,
         hub_neighbourhood, candidate_centrality, related_ranked, served_lines, latest_sessions, latest_tasks, activated_tasks, task_files_left, explored_files, generation_actions, iso_times, first_sentences,
     )

@@ -7,7 +7,7 @@ from treeledger.functions.text import file_type_relevance_sql, identifier_tokens
 from treeledger.operators.catalogue import BINARY_EXTENSIONS, INDEXABLE_EXTENSIONS, SKIPPED_SEGMENTS
 from treeledger.operators.ranking import WEIGHTS
 from treeledger.operators.search import FIELD_WEIGHTS
-from treeledger.plans.source_sql import VERSIONS, import_refs_sql, summaries_sql
+from treeledger.plans.source_sql import VERSIONS, import_refs_sql, outline_names_sql, summaries_sql
 
 DAY = 86_400_000
 
@@ -180,6 +180,7 @@ read AS (SELECT key, path, CASE WHEN partial THEN before ELSE contents END AS co
 SELECT w.path, w.mtime, CASE WHEN partial THEN 'diff-partial' ELSE 'full' END AS summary_source, purpose, CAST(CASE WHEN w.contents = '' THEN 0 ELSE len(string_split(w.contents, chr(10))) END AS INTEGER) AS "lineCount", confidence,
   CAST(len(exports) AS INTEGER) AS n_exports, CAST(len(imports) AS INTEGER) AS n_imports, CAST(len(declarations) AS INTEGER) AS n_declarations FROM w JOIN sums USING (key)""",
     "import_refs": import_refs_sql(SRC, F),
+    "outline_names": outline_names_sql(SRC),
     "stream_type_counts": "SELECT lower(regexp_replace(event_type, '^\\s+|\\s+$', '', 'g')) AS event_type, count(*) AS n_events FROM telemetry GROUP BY 1",
     "ordered_paths": f"WITH {F} SELECT path, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS place FROM f ORDER BY path LIMIT 100",
     "known_paths": f"WITH {F} SELECT path FROM f UNION SELECT {resolve_sql('path')} FROM source_files WHERE {resolve_sql('path')} <> ''",

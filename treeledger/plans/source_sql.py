@@ -188,3 +188,43 @@ looked AS (SELECT source, ordinal, module, specifiers, import_type, fam, b, in_c
 hit AS (SELECT l.source, l.ordinal, l.module, arg_min(f.path, l.k) AS path FROM looked l JOIN f ON f.path = l.x GROUP BY 1, 2, 3)
 SELECT t.source, t.ordinal, t.module, coalesce(hit.path, CASE WHEN fam = 'python' AND NOT starts_with(t.module, '.') THEN replace(t.module, '.', '/') ELSE coalesce(in_crate, b, t.module) END) AS target, specifiers, import_type, hit.path IS NULL AS external
 FROM tried t LEFT JOIN hit ON hit.source = t.source AND hit.ordinal = t.ordinal AND hit.module = t.module"""
+
+
+_W = "[A-Za-z0-9_]+"
+# kind, language, pattern of a line that declares a name, group.
+NAME_RULES = (
+    ("classes", "script", rf"^(export{_SPACE})?(default{_SPACE})?(declare{_SPACE})?(abstract{_SPACE})?class{_SPACE}({_W})", 5),
+    ("functions", "script", rf"^(export{_SPACE})?(default{_SPACE})?(declare{_SPACE})?(async{_SPACE})?function[ \t]*\*?[ \t]*({_W})", 5),
+    ("types", "script", rf"^(export{_SPACE})?(declare{_SPACE})?(const{_SPACE})?(interface|type|enum){_SPACE}({_W})", 5),
+    ("constants", "script", rf"^(export{_SPACE})?const{_SPACE}({_W})", 2),
+    ("classes", "python", rf"^class{_SPACE}({_W})", 1),
+    ("functions", "python", rf"^(async{_SPACE})?def{_SPACE}({_W})", 2),
+    ("types", "python", rf"^type{_SPACE}({_W})[ \t]*=", 1),
+    ("constants", "python", r"^([A-Z][A-Z0-9_]*)[ \t]*(:[^=]*)?=", 1),
+    ("classes", "go", rf"^type{_SPACE}({_W}){_SPACE}struct\b", 1),
+    ("functions", "go", rf"^func{_SPACE}({_W})[ \t]*(\[[^\]]*\])?\(", 1),
+    ("constants", "go", rf"^(const|var){_SPACE}({_W})", 2),
+    ("classes", "rust", rf"^(pub{_SPACE})?(struct|enum|trait){_SPACE}({_W})", 3),
+    ("functions", "rust", rf"^(pub{_SPACE})?((const|async|unsafe){_SPACE})*fn{_SPACE}({_W})", 4),
+    ("types", "rust", rf"^(pub{_SPACE})?type{_SPACE}({_W})", 2),
+    ("constants", "rust", rf"^(pub{_SPACE})?(const|static){_SPACE}({_W})", 3),
+    ("classes", "kotlin", rf"^((public|private|internal|protected|open|abstract|sealed|inline|value|annotation|fun){_SPACE})*(data class|enum class|class|interface|object){_SPACE}({_W})", 4),
+    ("functions", "kotlin", rf"^((public|private|internal|inline|suspend|operator|infix|tailrec){_SPACE})*fun{_SPACE}(<[^>]*>[ \t]*)?([A-Za-z0-9_<>?, ]+\.)?({_W})[ \t]*\(", 5),
+    ("types", "kotlin", rf"^((public|private|internal){_SPACE})*typealias{_SPACE}({_W})", 3),
+    ("constants", "kotlin", rf"^((public|private|internal|const){_SPACE})*(val|var){_SPACE}({_W})", 4),
+    ("classes", "java", rf"^((public|protected|private|abstract|final|sealed|non-sealed|static|strictfp){_SPACE})*(class|interface|enum|record|@interface){_SPACE}({_W})", 4),
+)
+
+
+def outline_names_sql(sources: str) -> str:
+    """Declared names by kind, one line of a text at a time."""
+    rows = "\n  UNION ALL ".join(f"SELECT path, '{k}', n, regexp_extract(line, {_quoted(p)}, {g}) FROM lines WHERE language = '{f}' AND regexp_matches(line, {_quoted(p)})" for k, f, p, g in NAME_RULES)
+    # Go types that are no structs: RE2 has no look-ahead.
+    types = f"SELECT path, 'types', n, regexp_extract(line, '^type{_SPACE}({_W})', 1) FROM lines WHERE language = 'go' AND regexp_matches(line, '^type{_SPACE}{_W}{_SPACE}[^ \\t\\r]') AND NOT regexp_matches(line, '^type{_SPACE}{_W}{_SPACE}struct\\b')"
+    listed = ", ".join(f"coalesce((SELECT list(name ORDER BY n) FROM named WHERE named.path = t.path AND kind = '{k}'), CAST([] AS VARCHAR[])) AS {k}" for k in ("classes", "functions", "types", "constants"))
+    return f"""WITH {sources}, t AS (SELECT path, contents, CASE WHEN regexp_matches(path, '\\.(ts|tsx|js|jsx|mjs|cjs)$') THEN 'script' WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.go') THEN 'go' WHEN ends_with(path, '.rs') THEN 'rust'
+  WHEN regexp_matches(path, '\\.kts?$') THEN 'kotlin' WHEN ends_with(path, '.java') THEN 'java' END AS language FROM src WHERE contents IS NOT NULL),
+lines AS (SELECT path, language, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT path, language, string_split(contents, chr(10)) AS l FROM t WHERE language IS NOT NULL)),
+named(path, kind, n, name) AS ({rows}
+  UNION ALL {types})
+SELECT path, language, {listed}, CAST(CASE WHEN contents = '' THEN 0 ELSE len(string_split(contents, chr(10))) END AS INTEGER) AS lines FROM t WHERE language IS NOT NULL"""
