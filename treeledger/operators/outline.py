@@ -20,9 +20,9 @@ from treeledger.functions.text import line_count
 from treeledger.operators import extract
 
 MOST = 160
-_BLOCK_DOC = r"(?:/\*\*[ \t]*\r?\n?[ \t]*\*?[ \t]*([^\n*/]*)[^/]*/[ \t]*\r?\n)?"
-_SLASH_DOC = r"(?:^//[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?"
-_RUST_DOC = r"(?:^///[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?(?:^#\[[^\n]*\n)*+"
+_BLOCK_DOC = r"(?:/\*\*[ \t]*\r?\n?[ \t]*\*?[ \t]*([^\n*]*)[^*]*+(?:\*(?!/)[^*]*+)*+\*/[ \t]*\r?\n)?"
+_SLASH_DOC = r"(?://[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?"
+_RUST_DOC = r"(?:///[ \t]?([^\n]*)\n(?://[^\n]*\n)*+)?(?:#\[[^\n]*\n)*+"
 #: Up to the brace that ends the line, or the one that starts a later one, or to the next declaration or the end where that one is missing.
 _BRACED = r"\{([^\n]*(?=\}[ \t\r]*$)|[\s\S]*?(?=^\}|^(?:\w+[ \t]+)*?(?:class|interface|object|enum|record|struct)[ \t]+\w|\z))\}?"
 _BODY = rf"(?:[^{{;]*{_BRACED})?"
@@ -47,47 +47,47 @@ class Rules:
 # The rules of each language. Groups: doc, exported part, kind, name, body.
 RULES = {
     "script": Rules(
-        rf"(?m){_BLOCK_DOC}^((?:export\s+)?)(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(class)\s+(\w+){_BODY}",
-        rf"(?m){_BLOCK_DOC}^((?:export\s+)?)(?:default\s+)?(?:declare\s+)?(?:async\s+)?(function)\s*\*?\s*(\w+)()",
-        r"(?m)()^((?:export\s+)?)(?:declare\s+)?(?:const\s+)?(interface|type|enum)\s+(\w+)()",
-        r"(?m)()^((?:export\s+)?)(const)\s+(\w+)()",
+        rf"(?m)^{_BLOCK_DOC}((?:export\s+)?)(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(class)\s+(\w+){_BODY}",
+        rf"(?m)^{_BLOCK_DOC}((?:export\s+)?)(?:default\s+)?(?:declare\s+)?(?:async\s+)?(function)\s*\*?\s*(\w+)()",
+        r"(?m)^()((?:export\s+)?)(?:declare\s+)?(?:const\s+)?(interface|type|enum)\s+(\w+)()",
+        r"(?m)^()((?:export\s+)?)(const)\s+(\w+)()",
         r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|get|set|override|abstract)\s+)*\*?#?(?!constructor\b|if\b|for\b|while\b|switch\b|catch\b|return\b)[\w$]+\s*(?:<[^>\n]*>)?\([^)]*\)[^;{=]*\{",
         "export",
     ),
     "python": Rules(
-        r"(?m)()^()(class)\s+(\w+)[^\n]*(?:\n|\z)((?:(?:[ \t]++[^\n]*+)?+\n)*+(?:[ \t]+[^\n]*)?)",
-        r"(?m)()^()(?:async\s+)?(def)\s+(\w+)()",
-        r"(?m)()^()(type)\s+(\w+)\s*=()",
-        r"(?m)()^()()([A-Z][A-Z0-9_]*)\s*(?::[^=\n]*)?=()",
+        r"(?m)^()()(class)\s+(\w+)[^\n]*(?:\n|\z)((?:(?:[ \t]++[^\n]*+)?+\n)*+(?:[ \t]+[^\n]*)?)",
+        r"(?m)^()()(?:async\s+)?(def)\s+(\w+)()",
+        r"(?m)^()()(type)\s+(\w+)\s*=()",
+        r"(?m)^()()()([A-Z][A-Z0-9_]*)\s*(?::[^=\n]*)?=()",
         r"(?m)^(?:    |\t)(?:async\s+)?def\s+(?!__init__\b)\w+",
         "^[^_]", True, r"""\A(?:\s*#[^\n]*\n)*+\s*(?:\"\"\"|\'\'\')[ \t]*\n?[ \t]*([^\n"']+)""",
     ),
     "go": Rules(
-        rf"(?m){_SLASH_DOC}^()type\s+()(\w+)\s+struct\b{_BODY}",
-        rf"(?m){_SLASH_DOC}^()(func)\s+(\w+)\s*(?:\[[^\]]*\])?\(()",
-        r"(?m)()^()type\s+()(\w+)\s+(?!struct\b)()\S",
-        r"(?m)()^()(const|var)\s+(\w+)()",
+        rf"(?m)^{_SLASH_DOC}()type\s+()(\w+)\s+struct\b{_BODY}",
+        rf"(?m)^{_SLASH_DOC}()(func)\s+(\w+)\s*(?:\[[^\]]*\])?\(()",
+        r"(?m)^()()type\s+()(\w+)\s+(?!struct\b)()\S",
+        r"(?m)^()()(const|var)\s+(\w+)()",
         "",
         "^[A-Z]", True, r"(?m)^//[ \t]?([^\n]+)\n(?://[^\n]*\n)*+package\b",
     ),
     "rust": Rules(
-        rf"(?m){_RUST_DOC}^((?:pub\s+)?)(struct|enum|trait)\s+(\w+)()",
-        rf"(?m){_RUST_DOC}^((?:pub\s+)?)(?:const\s+|async\s+|unsafe\s+)*(fn)\s+(\w+)()",
-        r"(?m)()^((?:pub\s+)?)(type)\s+(\w+)()",
-        r"(?m)()^((?:pub\s+)?)(const|static)\s+(\w+)()",
+        rf"(?m)^{_RUST_DOC}((?:pub\s+)?)(struct|enum|trait)\s+(\w+)()",
+        rf"(?m)^{_RUST_DOC}((?:pub\s+)?)(?:const\s+|async\s+|unsafe\s+)*(fn)\s+(\w+)()",
+        r"(?m)^()((?:pub\s+)?)(type)\s+(\w+)()",
+        r"(?m)^()((?:pub\s+)?)(const|static)\s+(\w+)()",
         r"(?m)^[ \t]+(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+\w+",
         "pub", False, r"(?m)\A\s*//![ \t]?([^\n]+)",
     ),
     "kotlin": Rules(
-        rf"(?m){_BLOCK_DOC}^((?:(?:public|private|internal|protected|open|abstract|sealed|inline|value|annotation|fun)\s+)*)((?:data |enum )?class|interface|object)\s+(\w+)(?:[^{{;\n]*{_BRACED})?",
-        rf"(?m){_BLOCK_DOC}^((?:(?:public|private|internal|inline|suspend|operator|infix|tailrec)\s+)*)(fun)\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?(\w+)\s*\(()",
-        r"(?m)()^((?:(?:public|private|internal)\s+)*)(typealias)\s+(\w+)()",
-        r"(?m)()^((?:(?:public|private|internal|const)\s+)*)(val|var)\s+(\w+)()",
+        rf"(?m)^{_BLOCK_DOC}((?:(?:public|private|internal|protected|open|abstract|sealed|inline|value|annotation|fun)\s+)*)((?:data |enum )?class|interface|object)\s+(\w+)(?:[^{{;\n]*{_BRACED})?",
+        rf"(?m)^{_BLOCK_DOC}((?:(?:public|private|internal|inline|suspend|operator|infix|tailrec)\s+)*)(fun)\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?(\w+)\s*\(()",
+        r"(?m)^()((?:(?:public|private|internal)\s+)*)(typealias)\s+(\w+)()",
+        r"(?m)^()((?:(?:public|private|internal|const)\s+)*)(val|var)\s+(\w+)()",
         r"(?m)^[ \t]+(?:(?:public|private|internal|protected|open|override|abstract|inline|suspend|operator|infix|tailrec|final)\s+)*fun\s+",
         r"^(?![\s\S]*\b(?:private|internal|protected)\b)",
     ),
     "java": Rules(
-        rf"(?m){_BLOCK_DOC}^((?:(?:public|protected|private|abstract|final|sealed|non-sealed|static|strictfp)\s+)*)(class|interface|enum|record|@interface)\s+(\w+){_BODY}",
+        rf"(?m)^{_BLOCK_DOC}((?:(?:public|protected|private|abstract|final|sealed|non-sealed|static|strictfp)\s+)*)(class|interface|enum|record|@interface)\s+(\w+){_BODY}",
         None, None, None,
         r"(?m)^(?:    |\t)(?:(?:public|protected|private|abstract|final|static|synchronized|default|native)\s+)*(?:<[^>\n]*>\s*)?[\w<>\[\], ?.]+\s+\w+\s*\([^)]*\)[^;{=]*[{;]",
         "public", members=r"(?m)^(?:    |\t)public\s+[^\n(=;{]*?\b(\w+)\s*[(=;{]",
