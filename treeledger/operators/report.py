@@ -104,20 +104,20 @@ def token_report(telemetry: DataFrame, since_ms: int | None = None) -> DataFrame
     kind = F.when(F.col("event_type").isin(*KINDS), F.col("event_type")).otherwise("other")
     rows = events.select(kind.alias("event_type"), "file_path", missed_query(events).alias("query"), "tokens_estimated", "timestamp")
     counted = cut_lineage(rows.groupBy("event_type", "file_path", "query").agg(F.count("*").alias("n"), F.sum("tokens_estimated").alias("tokens"), F.max("timestamp").alias("last_at")))
-    one, n = F.lit(1).alias("one"), F.sum("n")
+    n = F.sum("n")
     hits, misses = (F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("n"))), F.lit(0)) for k in ("cache_hit", "cache_miss"))
     saved = F.sum(F.when(F.col("event_type").isin(*SAVING), F.col("tokens")))
     sums = counted.agg(F.coalesce(n, F.lit(0)).alias("total_events"), hits.alias("cache_hits"), misses.alias("cache_misses"), F.coalesce(saved, F.lit(0)).alias("tokens_saved"))
     asked = F.col("cache_hits") + F.col("cache_misses")
-    out = sums.withColumn("hit_ratio", F.when(asked > 0, F.col("cache_hits") / asked).otherwise(0.0)).select("*", one)
+    out = sums.withColumn("hit_ratio", F.when(asked > 0, F.col("cache_hits") / asked).otherwise(0.0))
     kinds = counted.groupBy("event_type").agg(n.alias("n_events")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n_events")))).alias("events_by_type"))
     named = counted.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(n.alias("n_events"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.max("last_at").alias("last_at"))
     missed = counted.where(F.col("query").isNotNull()).groupBy("query").agg(n.alias("n_missed"))
     files = _best(named, [F.col("n_events").desc(), F.col("last_at").desc(), F.col("file_path")], "top_files", "file_path", "n_events", "tokens")
     queries = _best(missed, [F.col("n_missed").desc(), F.col("query")], "top_missed_queries", "query", "n_missed")
-    for part in (kinds, files, queries):  # one row each
-        out = out.join(part.select("*", one), "one")
-    return out.drop("one")
+    for part in (kinds, files, queries):  # one row each, as are the totals
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])
 
 
 def _best(rows: DataFrame, order: list[Column], name: str, *fields: str) -> DataFrame:
